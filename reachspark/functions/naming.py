@@ -36,7 +36,7 @@ def discharge_token(q) -> Column:
     q = as_col(q)
     whole = q == F.floor(q)
     fraction = F.translate(F.format_string("%010.3f", q), ".", "_")
-    return F.when(whole, F.format_string("%06d", q.cast("bigint"))).otherwise(fraction)
+    return F.when(whole, F.format_string("%06d", q.cast("bigint"))).when(~whole, fraction)
 
 
 def own_token(name) -> Column:
@@ -46,17 +46,10 @@ def own_token(name) -> Column:
 
 
 def discharge_label(q) -> Column:
-    """Six significant digits without trailing zeros: ``550``, ``1.06``, ``1e+06``.
-
-    Scientific form applies from a million up and below 0.0001.
-    """
-    q = as_col(q).cast("double")
-    mantissa, exponent = F.split(F.format_string("%.5e", q), "e")[0], F.split(F.format_string("%.5e", q), "e")[1]
-    power = exponent.cast("int")
-    trim = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    scientific = F.concat(trim(mantissa), F.lit("e"), exponent)
-    exact = (F.concat(mantissa, F.lit("e"), exponent)).cast("decimal(38,10)").cast("string")
-    return F.when((q != 0) & ((power >= 6) | (power < -4)), scientific).otherwise(trim(exact))
+    """Six significant digits without trailing zeros: ``550``, ``1.06``, ``1e+06``."""
+    text = F.format_string("%.6g", as_col(q).cast("double"))
+    text = F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.when(as_col(q).isNotNull(), F.regexp_replace(text, r"\.(e|$)", "$1"))
 
 
 def short_code(species, lifestage) -> Column:

@@ -30,16 +30,18 @@ def parse_definitions(lines: DataFrame) -> DataFrame:
     body = F.trim(F.substring_index("line", "#", 1))
     cut_at = F.instr(body, "=")
     keyed = lines.withColumn("_b", body).filter(cut_at > 0)
-    key = F.lower(F.trim(F.substring_index("_b", "=", 1)))
+    keyed = keyed.withColumn("_k", F.lower(F.trim(F.substring_index("_b", "=", 1))))
     raw = F.trim(F.expr("substring(_b, instr(_b, '=') + 1)"))
-    attribute = None
-    for text, name in sorted(K.table_rows(K.DEFINITION_KEYS), key=lambda row: -len(row[0])):
-        hit = key.contains(text)
-        attribute = F.when(hit, name) if attribute is None else attribute.when(hit, name)
+    known = sorted(K.table_rows(K.DEFINITION_KEYS), key=lambda row: -len(row[0]))
+    texts = F.array(*[F.lit(text) for text, _ in known])
+    names = F.create_map(*[F.lit(part) for row in known for part in row])
+    # One lookup instead of a CASE chain: filters pushed to this column stay small.
+    longest = F.get(F.filter(texts, lambda t: F.contains(F.col("_k"), t)), F.lit(0))
+    attribute = F.try_element_at(names, longest)
     keyed = keyed.select("condition", "line_no", attribute.alias("attribute"), raw.alias("raw"))
     keyed = keyed.filter("attribute IS NOT NULL AND raw <> ''")
     last = keyed.groupBy("condition", "attribute").agg(F.max_by("raw", "line_no").alias("raw"))
-    items = F.filter(F.transform(F.split("raw", ","), F.trim), lambda item: item != "")
+    items = F.filter(F.transform(F.split("raw", ","), lambda item: F.trim(item)), lambda item: item != "")
     listed = F.col("attribute").endswith("_rasters") | (F.col("attribute") == "return_periods")
     items = F.when(listed, items).otherwise(F.slice(items, 1, 1))
     return last.select("condition", "attribute", F.posexplode(items).alias("pos", "item"))

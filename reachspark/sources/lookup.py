@@ -92,7 +92,7 @@ def features_from_table(table: DataFrame) -> DataFrame:
         name, kind = part.split(" ", 1)
         if kind == "array<string>":
             text = F.col(name) if name in table.columns else F.lit("")
-            items = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+            items = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda item: F.trim(item))
             out.append(F.filter(items, lambda i: (i != "") & (F.lower(i) != "na")).alias(name))
         elif name not in table.columns:
             out.append(F.lit(getattr(base, name)).cast(kind).alias(name))
