@@ -123,18 +123,21 @@ def polygonize(cells: DataFrame, grid: Grid, value: str = "v", connectivity: int
 def outlines(labelled: DataFrame, grid: Grid, connectivity: int = 4, one_task_sides: int = 500_000) -> DataFrame:
     """Closed rings of every region: ``label, ring, seq, x, y``, corners only.
 
-    Regions whose outline has at most ``one_task_sides`` sides are traced in one group each;
-    longer outlines are ordered by pointer doubling over joins, without grouping a region.
+    Regions whose outline has at most ``one_task_sides`` sides are hashed into buckets of about
+    that many sides, each traced in one task; longer outlines are ordered by pointer doubling
+    over joins, without ever gathering a region.
     """
     sides = cut(boundary_sides(labelled))
     counts = sides.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     long = counts.filter(F.col("_n") > one_task_sides).select("label")
+    buckets = max(1, -(-sides.count() // min(one_task_sides, 100_000)))
     shape = "label bigint, ring bigint, seq bigint, r int, c int"
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+    def trace(pdf):
         return _trace(pdf, connectivity, grid.ncols)
 
-    rings = sides.join(long, "label", "left_anti").groupBy("label").applyInPandas(lambda p: trace(p), shape)
+    short = sides.join(long, "label", "left_anti").withColumn("_b", F.pmod(F.xxhash64("label"), F.lit(buckets)))
+    rings = short.groupBy("_b").applyInPandas(lambda p: trace(p), shape)
     if not long.isEmpty():
         rings = rings.unionByName(_trace_by_joins(sides.join(long, "label", "left_semi"), connectivity, grid.ncols))
     x = F.lit(grid.x0) + F.col("c") * F.lit(grid.dx)
@@ -147,17 +150,17 @@ def _side_id(r1, c1, side, ncols):
 
 
 def _trace(pdf: pd.DataFrame, connectivity: int, ncols: int) -> pd.DataFrame:
-    """Order the sides of one region into rings and drop the straight vertices."""
-    r1, c1, r2, c2, side = (pdf[n].to_numpy(np.int64) for n in ("r1", "c1", "r2", "c2", "side"))
+    """Order the sides of some regions into rings and drop the straight vertices."""
+    r1, c1, r2, c2, side, lab = (pdf[n].to_numpy(np.int64) for n in ("r1", "c1", "r2", "c2", "side", "label"))
     sid = _side_id(r1, c1, side, ncols)
     by = np.argsort(sid)
-    r1, c1, r2, c2, side, sid = (a[by] for a in (r1, c1, r2, c2, side, sid))
+    r1, c1, r2, c2, side, lab, sid = (a[by] for a in (r1, c1, r2, c2, side, lab, sid))
     n = len(sid)
     nxt = np.full(n, -1)
-    for turn in ((1, 0, 3) if connectivity == 4 else (3, 0, 1)):
+    for turn in (1, 0, 3) if connectivity == 4 else (3, 0, 1):
         want = _side_id(r2, c2, (side + turn) % 4, ncols)
         pos = np.clip(np.searchsorted(sid, want), 0, n - 1)
-        nxt = np.where((nxt < 0) & (sid[pos] == want), pos, nxt)
+        nxt = np.where((nxt < 0) & (sid[pos] == want) & (lab[pos] == lab), pos, nxt)
     ring, jump, span = np.arange(n), nxt.copy(), 1
     while span < n:
         ring = np.minimum(ring, ring[jump])
@@ -177,7 +180,7 @@ def _trace(pdf: pd.DataFrame, connectivity: int, ncols: int) -> pd.DataFrame:
     seq = size[ring] - 1 - left
     before = np.empty(n, dtype=np.int64)
     before[nxt] = side
-    out = pd.DataFrame({"label": pdf["label"].iloc[0], "ring": sid[ring], "seq": seq, "r": r1, "c": c1})[before != side]
+    out = pd.DataFrame({"label": lab, "ring": sid[ring], "seq": seq, "r": r1, "c": c1})[before != side]
     out = out.sort_values(["ring", "seq"])
     out["seq"] = out.groupby("ring").cumcount()
     close = out[out["seq"] == 0].assign(seq=out.groupby("ring").size().to_numpy())

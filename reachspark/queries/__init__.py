@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     q_algebra,
     q_cells,
     q_flow,
+    q_plans,
     q_regions,
     q_sources,
 )

@@ -122,7 +122,7 @@ def periods(d: Data):
 )
 def flood_periods(d: Data):
     maxima = d.flow.groupBy((F.year("d") * 100 + F.month("d")).alias("block")).agg(F.max("q").alias("peak"))
-    return rounded(duration.return_periods(maxima, d.flow.select("q").distinct()), 5)
+    return rounded(duration.return_periods(maxima, d.flow.select("q").distinct()), 5, q=9)
 
 
 @query(
@@ -130,13 +130,13 @@ def flood_periods(d: Data):
     sql(
         "flow_v",
         ctes="m_v as (select unnest([1000.0, 2000.0, 3000.0, 4000.0, 5000.0, 6000.0]) m)",
-        body="""select d, q, lo q_lo, hi q_hi, round(case when hi > lo then (q - lo) / (hi - lo) else 0 end, 6) weight from (
+        body="""select d, q, lo q_lo, hi q_hi, round(case when hi > lo then (q - lo) / (hi - lo) else 0 end, 11) weight from (
           select d, q, cast(case when q <= 1000 then 1000 when q >= 6000 then 6000 else (select max(m) from m_v where m < q) end as double) lo,
             cast(case when q <= 1000 then 1000 when q >= 6000 then 6000 else (select min(m) from m_v where m >= q) end as double) hi from flow_v)""",
     ),
 )
 def brackets(d: Data):
-    return rounded(recruitment.flow_brackets(d.flow, d.discharges.filter("q < 7000").select("q")))
+    return rounded(recruitment.flow_brackets(d.flow, d.discharges.filter("q < 7000").select("q")), 11)
 
 
 @query(

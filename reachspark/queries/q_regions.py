@@ -15,15 +15,16 @@ LIMIT = 50
 
 def region_sql(source: str, keys: str = "", value: str = "", diagonal: bool = False, name: str = "lab_v") -> str:
     """CTE: cells of ``source`` with ``label``, the smallest row-major number of their region."""
-    steps = "(values (0,1),(1,0),(0,-1),(-1,0),(1,1),(1,-1),(-1,-1),(-1,1)) s(i,j)" if diagonal else "(values (0,1),(1,0),(0,-1),(-1,0)) s(i,j)"
+    moves = "(values (0,1),(1,0),(0,-1),(-1,0),(1,1),(1,-1),(-1,-1),(-1,1)) s(i,j)" if diagonal else "(values (0,1),(1,0),(0,-1),(-1,0)) s(i,j)"
     k = f"{keys}, " if keys else ""
-    on = f"b.{keys} = a.{keys} and " if keys else ""
+    ak, on = (f"a.{keys}, ", f"b.{keys} = a.{keys} and ") if keys else ("", "")
+    wk, won = (f"w.{keys}, ", f"e.{keys} = w.{keys} and ") if keys else ("", "")
     same = f" and b.{value} = a.{value}" if value else ""
-    return f"""{name}_e as (select {f'a.{keys}, ' if keys else ''}a.r * 128 + a.c id, b.r * 128 + b.c nb from {source} a, {steps} join {source} b on {on}b.r = a.r + i and b.c = a.c + j{same}),
-      {name}_w({k}id, label) using key ({k}id) as (select {k}r * 128 + c, r * 128 + c from {source}
-        union (select {f'e.{keys}, ' if keys else ''}e.id, min(w.label) from {name}_w w join {name}_e e on {f'e.{keys} = w.{keys} and ' if keys else ''}e.nb = w.id
-          join recurring.{name}_w o on {f'o.{keys} = e.{keys} and ' if keys else ''}o.id = e.id where w.label < o.label group by {f'e.{keys}, ' if keys else ''}e.id)),
-      {name} as (select {f'm.{keys}, ' if keys else ''}m.* exclude ({keys or 'r'}){'' if keys else ', m.r'}, label from {source} m join {name}_w w on {f'w.{keys} = m.{keys} and ' if keys else ''}w.id = m.r * 128 + m.c)"""
+    # Seeds are the cells with no region cell before them in row-major order among their neighbours.
+    return f"""{name}_e as (select {ak}a.r * 128 + a.c id, b.r * 128 + b.c nb from {source} a, {moves} join {source} b on {on}b.r = a.r + i and b.c = a.c + j{same}),
+      {name}_w as (select {k}r * 128 + c id, r * 128 + c label from {source} a where not exists (select 1 from {name}_e e where {f'e.{keys} = a.{keys} and ' if keys else ''}e.id = a.r * 128 + a.c and e.nb < e.id)
+        union select {wk}e.nb, w.label from {name}_w w join {name}_e e on {won}e.id = w.id),
+      {name} as (select m.*, label from {source} m join (select {k}id, min(label) label from {name}_w group by {k}id) w on {f'w.{keys} = m.{keys} and ' if keys else ''}w.id = m.r * 128 + m.c)"""
 
 
 def rsql(*views: str, body: str, ctes: str) -> str:
@@ -53,7 +54,7 @@ def sizes(d: Data):
 
 @query(
     "largest_region",
-    rsql("cells_v", ctes=WET + region_sql("wet_v"), body="select cast(label as bigint) label, count(*) cells from lab_v group by 1 order by 2 desc, 1 limit 1"),
+    rsql("cells_v", ctes=WET + region_sql("wet_v"), body="select cast(label as bigint) label, count(*) cells from lab_v group by label qualify row_number() over (order by count(*) desc, label) = 1"),
 )
 def largest(d: Data):
     return regions.largest_region(label_query(d))
@@ -102,7 +103,7 @@ def outlines_query(d: Data):
     return polygons.outlines(cut(label_query(d)), d.grid)
 
 
-H_MIN = 1.0
+H_MIN = 4.6
 STRAND = (
     f"wq_v as (select q, r, c from hydraulics_v where h > {H_MIN}),"
     + region_sql("wq_v", keys="q")

@@ -33,7 +33,7 @@ VIEWS = {
         from {lineitem} group by l_orderkey, l_linenumber""",
     "flow_v": """
         select cast(o_orderdate as date) d,
-          1000 + cast(cast(sum(cast(round(o_totalprice*100) as bigint)) as bigint) % 600000 as double)/100 q
+          1000 + cast(cast(sum(cast(round(o_totalprice*100) as bigint)) as bigint) % 768000 as double)/128 q
         from {orders} group by cast(o_orderdate as date)""",
     "gauge_flow_v": """
         select cast(l_suppkey as int) gauge, cast(l_shipdate as date) d, cast(max(l_extendedprice) as double) q
