@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..session import cut
+from ..session import cut, spread
 
 CHUNK = 2_000_000
 
@@ -84,8 +84,9 @@ def _search(targets, sources, grid, k, keys, tile, columns, finish, value, skip_
         whole = size >= max(nrows, ncols)
         tr, tc = F.floor(F.col("r") / size).cast("int"), F.floor(F.col("c") / size).cast("int")
         near = have.withColumn("_o", F.explode(ring)).withColumn("_tr", tr + F.col("_o.i")).withColumn("_tc", tc + F.col("_o.j"))
-        left = want.withColumn("_tr", tr).withColumn("_tc", tc).groupBy(*keys, "_tr", "_tc")
-        found = left.cogroup(near.drop("_o").groupBy(*keys, "_tr", "_tc")).applyInPandas(solver(size), ddl)
+        place = [*keys, "_tr", "_tc"]
+        left = spread(want.withColumn("_tr", tr).withColumn("_tc", tc), *place).groupBy(*place)
+        found = left.cogroup(spread(near.drop("_o"), *place).groupBy(*place)).applyInPandas(solver(size), ddl)
         if whole:
             results.append(found.filter("done"))
             break

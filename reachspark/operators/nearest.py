@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
+from ..session import spread
 
 
-def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: str = "v", keys: Sequence[str] = (), block_cells: int = 262144) -> DataFrame:
+def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: str = "v", keys: Sequence[str] = (), block_cells: int = 65536) -> DataFrame:
     """Distance, position and value of the source nearest to every target cell.
 
     Ties go to the smallest (row, column). Returns ``keys, r, c, src_r, src_c, dist, v``;
@@ -53,7 +54,7 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
         return out.astype({"r": "int32", "c": "int32", "src_r": "int32"})
 
     columns = (
-        src.withColumn("_b", F.floor(F.col("c") / cols_per_block))
+        spread(src.withColumn("_b", F.floor(F.col("c") / cols_per_block)), *keys, "_b")
         .groupBy(*keys, "_b")
         .applyInPandas(by_column, f"{key_ddl}r int, c int, src_r int, v double")
     )
@@ -91,9 +92,9 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
     block = F.floor(F.col("r") / rows_per_block)
     want = targets.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
     return (
-        want.withColumn("_b", block)
+        spread(want.withColumn("_b", block), *keys, "_b")
         .groupBy(*keys, "_b")
-        .cogroup(columns.withColumn("_b", block).groupBy(*keys, "_b"))
+        .cogroup(spread(columns.withColumn("_b", block), *keys, "_b").groupBy(*keys, "_b"))
         .applyInPandas(by_row, f"{key_ddl}r int, c int, src_r int, src_c int, dist double, v double")
     )
 

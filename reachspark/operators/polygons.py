@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..session import cut
+from ..session import cut, spread
 from .align import _span
 from .regions import label_regions
 
@@ -130,14 +130,14 @@ def outlines(labelled: DataFrame, grid: Grid, connectivity: int = 4, one_task_si
     sides = cut(boundary_sides(labelled))
     counts = sides.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     long = counts.filter(F.col("_n") > one_task_sides).select("label")
-    buckets = max(1, -(-sides.count() // min(one_task_sides, 100_000)))
+    buckets = max(1, -(-sides.count() // min(one_task_sides, 20_000)))
     shape = "label bigint, ring bigint, seq bigint, r int, c int"
 
     def trace(pdf):
         return _trace(pdf, connectivity, grid.ncols)
 
     short = sides.join(long, "label", "left_anti").withColumn("_b", F.pmod(F.xxhash64("label"), F.lit(buckets)))
-    rings = short.groupBy("_b").applyInPandas(lambda p: trace(p), shape)
+    rings = spread(short, "_b").groupBy("_b").applyInPandas(lambda p: trace(p), shape)
     if not long.isEmpty():
         rings = rings.unionByName(_trace_by_joins(sides.join(long, "label", "left_semi"), connectivity, grid.ncols))
     x = F.lit(grid.x0) + F.col("c") * F.lit(grid.dx)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..session import cut
+from ..session import cut, spread
 
 ONE_TASK_EDGES = 500_000
 
@@ -83,7 +83,8 @@ def _label_tiles(cells, grid, connectivity, value, keys, tile):
         return pdf[list(types)].assign(label=low[root])
 
     tiled = base.withColumn("_tr", F.floor(F.col("r") / tile)).withColumn("_tc", F.floor(F.col("c") / tile))
-    return tiled.groupBy(*keys, "_tr", "_tc").applyInPandas(lambda pdf: solve(pdf), ddl)
+    place = [*keys, "_tr", "_tc"]
+    return spread(tiled, *place).groupBy(*place).applyInPandas(lambda pdf: solve(pdf), ddl)
 
 
 def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..session import cut
+from ..session import cut, spread
 
 STEPS = [(0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, -1), (-1, 1)]
 
@@ -97,7 +97,8 @@ def least_cost_distance(
     def finite(df: DataFrame) -> DataFrame:
         return df.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))
 
-    state = finite(by_tile(state).groupBy(*keys, "_tr", "_tc").applyInPandas(lambda p: solve(p), ddl))
+    place = [*keys, "_tr", "_tc"]
+    state = finite(spread(by_tile(state), *place).groupBy(*place).applyInPandas(lambda p: solve(p), ddl))
     if grid.nrows <= tile and grid.ncols <= tile:
         return state.filter("cost IS NOT NULL").select(*keys, "r", "c", "cost")
     state = cut(state)
@@ -123,13 +124,12 @@ def least_cost_distance(
         better = cut(better)
         if better.isEmpty():
             break
-        place = [*keys, "_tr", "_tc"]
         active = by_tile(better).select(*place).distinct()
         tiled = by_tile(state.drop("fresh"))
         calm = tiled.join(active, place, "left_anti").drop("_tr", "_tc").withColumn("fresh", F.lit(False))
         stirred = tiled.join(active, place, "left_semi").join(better, [*keys, "r", "c"], "left")
         stirred = stirred.withColumn("base", F.col("cost")).withColumn("cost", F.coalesce("_new", "cost")).drop("_new")
-        solved = finite(stirred.groupBy(*place).applyInPandas(lambda p: _resolve(p, solve), ddl))
+        solved = finite(spread(stirred, *place).groupBy(*place).applyInPandas(lambda p: _resolve(p, solve), ddl))
         state = cut(calm.unionByName(solved))
     return state.filter("cost IS NOT NULL").select(*keys, "r", "c", "cost")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import channel
+from ..session import spread
 
 DESIGN_DDL = (
     "reach_id bigint, pool_width double, riffle_width double, residual_depth double, pool_depth double, riffle_depth double, "
@@ -53,13 +54,11 @@ def design_pool_riffle(reaches: DataFrame, unit: str = "si", tau_cr: float = K.C
     back = 1.0 / K.FEET_PER_METRE_INVERSE if unit == "us" else 1.0
     q_back = 1.0 / K.CFS_TO_CMS if unit == "us" else 1.0
 
-    def steps(x: dict, i: np.ndarray) -> pd.DataFrame:
+    def steps(x: dict, i: np.ndarray) -> tuple:
         """Geometry of steps ``i`` (reaches x steps)."""
         pool, riffle = x["base_width"] - i * increment, x["base_width"] + i * increment
-        m, shape = x["bank_slope"], i.shape
-        depth = channel.invert_increasing(
-            lambda h: channel.manning_q(h, m, x["roughness"], pool, x["slope"]), np.broadcast_to(x["reversal_q"], shape), np.maximum(pool, 1.0)
-        )
+        m = x["bank_slope"]
+        depth = channel.normal_depths(x["reversal_q"], m, x["roughness"], pool, x["slope"])
         area = depth * (pool + m * depth)
         speed = x["reversal_q"] / area
         shallow = (-riffle + np.sqrt(riffle**2 + 4.0 * m * area)) / (2.0 * m)
@@ -115,6 +114,6 @@ def design_pool_riffle(reaches: DataFrame, unit: str = "si", tau_cr: float = K.C
                 }
             )
 
-    return rows.mapInPandas(solve, DESIGN_DDL)
+    return spread(rows, "reach_id").mapInPandas(solve, DESIGN_DDL)
 
 

@@ -40,15 +40,20 @@ def exceedance_at(curve: DataFrame, discharges: DataFrame, keys: Sequence[str] =
     exceedance. ``discharges`` has ``q`` and, if it differs by key, the keys.
     """
     keys = list(keys)
-    points = curve.groupBy(*keys, "q").agg(F.max("exceedance").alias("e"))
-    if keys and not set(keys) <= set(discharges.columns):
-        shared = [k for k in keys if k in discharges.columns]
-        every = points.select(*keys).distinct()
-        listed = discharges.groupBy(*shared).agg(F.collect_set("q").alias("_q"))
-        every = every.join(listed, shared) if shared else every.withColumn("_q", listed.select("_q").scalar())
-        discharges = every.select(*keys, F.explode("_q").alias("q"))
-    asked = discharges.select(*keys, "q").distinct().withColumn("asked", F.lit(True))
-    both = points.withColumn("asked", F.lit(None).cast("boolean")).unionByName(asked.withColumn("e", F.lit(None).cast("double")))
+    none = F.lit(None).cast("double")
+    if keys and set(keys) <= set(discharges.columns):
+        points = curve.select(*keys, "q", F.col("exceedance").alias("e"), F.lit(None).cast("boolean").alias("asked"))
+        both = points.unionByName(discharges.select(*keys, "q", none.alias("e"), F.lit(True).alias("asked")))
+    else:
+        # The first point of every curve carries the shared questions along: one scan, no join.
+        shared = discharges.agg(F.collect_set(F.col("q").cast("double")).alias("l")).scalar()
+        rows = F.when(F.col("rank") == 1, F.concat(F.array(none), shared)).otherwise(F.array(none))
+        both = curve.select(*keys, "q", "exceedance", F.explode(rows).alias("_x")).select(
+            *keys,
+            F.coalesce("_x", "q").alias("q"),
+            F.when(F.col("_x").isNull(), F.col("exceedance")).alias("e"),
+            F.when(F.col("_x").isNotNull(), True).alias("asked"),
+        )
     merged = both.groupBy(*keys, "q").agg(F.max("e").alias("e"), F.max("asked").alias("asked"))
     spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("q")
     point = F.when(F.col("e").isNotNull(), F.struct("q", "e"))

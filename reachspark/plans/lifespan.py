@@ -209,14 +209,13 @@ def best_summary(lifespans: DataFrame, cell_area: float, keys: Sequence[str] = (
     Features that win nowhere are listed with zero area.
     """
     keys = list(keys)
-    won = best_cells(lifespans, keys).groupBy(*keys, "fid").agg((F.count(F.lit(1)) * F.lit(cell_area)).alias("area"), F.max("lifespan").alias("max_lifespan"))
-    total = lifespans.select(*keys, "r", "c").distinct().groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(cell_area)).alias("_t"))
-    listed = lifespans.select(*keys, "fid").distinct().join(won, [*keys, "fid"], "left")
-    if keys:
-        listed = listed.join(total, keys)
-        whole = F.col("_t")
-    else:
-        whole = total.scalar()
-    area = F.coalesce("area", F.lit(0.0))
-    out = listed.select(*keys, "fid", area.alias("area"), (area / whole * 100.0).alias("share"), "max_lifespan")
+    cell = Window.partitionBy(*keys, "r", "c")
+    ranked = lifespans.withColumn("_best", F.max("lifespan").over(cell)).withColumn("_k", F.row_number().over(cell.orderBy("fid")))
+    won = F.when(F.col("lifespan") == F.col("_best"), F.col("lifespan"))
+    # Each mapped cell is counted once, on its first feature row; the per-feature table is small.
+    per = ranked.groupBy(*keys, "fid").agg(F.count(won).alias("_w"), F.max(won).alias("max_lifespan"), F.count(F.when(F.col("_k") == 1, True)).alias("_c"))
+    mapped = F.sum("_c").over(Window.partitionBy(*(keys or [F.lit(0)])))
+    out = per.withColumn("_t", mapped).select(
+        *keys, "fid", (F.col("_w") * F.lit(cell_area)).alias("area"), (F.col("_w") / F.col("_t") * 100.0).alias("share"), "max_lifespan"
+    )
     return out.orderBy(*keys, F.desc("area"), "fid")

@@ -20,6 +20,7 @@ from .. import constants as K
 from ..functions import shear
 from ..functions.algebra import in_range, ladder
 from ..functions.season import date_in
+from ..session import spread
 from ..sources.lookup import RecruitmentParameters
 
 MAX_DAYS = 400
@@ -175,7 +176,7 @@ def recession(crop: DataFrame, modelled: list[float], days: list[tuple[dt.date,
             mortality = (lethal / tracked * 100.0 * 3.0 + stress / tracked * 100.0) / 3.0
             yield pdf[["r", "c"]].assign(mortality=mortality, longest=longest.astype("int32"))
 
-    tracked = crop.select("r", "c", "dem", "w").mapInPandas(walk, "r int, c int, mortality double, longest int")
+    tracked = spread(crop.select("r", "c", "dem", "w"), "r", "c").mapInPandas(walk, "r int, c int, mortality double, longest int")
     desiccation = ladder("mortality", [(">", 30.0, 0.0), (">=", 20.0, 0.5)], 1.0)
     inundation = ladder("longest", [(">", p.inundation_lethal, 0.0), (">=", p.inundation_stress, 0.5)], 1.0)
     return tracked.withColumn("desiccation", desiccation).withColumn("inundation", inundation)

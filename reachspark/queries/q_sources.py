@@ -269,11 +269,10 @@ def features(d: Data):
 
 @query(
     "feature_groups",
-    f"select grp, min(cast(ord as int)) \"first\", string_agg(fid, ',' order by cast(ord as int)) fids from ({THRESHOLDS.format(part='part')}) group by grp",
+    f"select grp, min(cast(ord as int)) over (partition by grp) \"first\", cast(ord as int) ord, fid from ({THRESHOLDS.format(part='part')})",
 )
 def groups(d: Data):
-    table = lookup.features_from_table(d.spark.sql(THRESHOLDS, part=d.table("part")))
-    return lookup.feature_groups(table).withColumn("fids", F.array_join("fids", ","))
+    return lookup.feature_groups(lookup.features_from_table(d.spark.sql(THRESHOLDS, part=d.table("part"))))
 
 
 @query("planting_limits", f"select grp, coalesce(min(case when size % 4 = 0 then size end), 10.0) d2w_max from (select p_brand grp, cast(p_size as double) size from part) group by grp")
@@ -282,7 +281,7 @@ def limits(d: Data):
     return lookup.planting_limits(table)
 
 
-CURVES = """select p_brand species, p_type lifestage, case when p_size % 2 = 0 then 'h' else 'u' end param, cast(p_partkey as int) pt,
+CURVES = """select concat(p_brand, ' ', cast(floor(p_partkey / 60.0) as int)) species, p_type lifestage, case when p_size % 2 = 0 then 'h' else 'u' end param, cast(p_partkey as int) pt,
   cast(p_size / 4.0 as double) x, case when p_partkey % 31 = 0 then null else cast((p_partkey % 11) / 10.0 as double) end y from {part}"""
 
 

@@ -59,6 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by the keys of a following Python group step, at full shuffle width.
+
+    Without this the adaptive planner sizes partitions by bytes, which starves steps whose cost
+    is computing, not volume. The grouping reuses the partitioning.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

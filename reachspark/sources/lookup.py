@@ -114,10 +114,10 @@ def load_features(table: DataFrame, limit: int = 10_000) -> list[Feature]:
 
 
 def feature_groups(features: DataFrame) -> DataFrame:
-    """Features per group, groups and members in definition order."""
-    members = F.array_sort(F.collect_list(F.struct("ord", "fid")))
-    grouped = features.withColumn("grp", F.when(F.coalesce("grp", F.lit("")) == "", "Other").otherwise(F.col("grp"))).groupBy("grp")
-    return grouped.agg(F.min("ord").alias("first"), F.transform(members, lambda m: m["fid"]).alias("fids")).orderBy("first")
+    """``grp, first, ord, fid``: features by group, groups and members in definition order."""
+    named = features.withColumn("grp", F.when(F.coalesce("grp", F.lit("")) == "", "Other").otherwise(F.col("grp")))
+    first = named.groupBy("grp").agg(F.min("ord").alias("first"))
+    return named.join(first, "grp").select("grp", "first", "ord", "fid").orderBy("first", "ord")
 
 
 def planting_depth_limit(features: Iterable[Feature] | None = None, fids: Sequence[str] | None = None) -> float:
