@@ -322,6 +322,6 @@ def design(d: Data):
     from ..plans.channels import design_pool_riffle
 
     reaches = d.spark.sql(REACHES, part=d.table("part")).withColumn("target_depth", F.col("depth") / 3.0)
-    return rounded(design_pool_riffle(reaches.drop("depth"), increment=0.01))
+    return rounded(design_pool_riffle(reaches.drop("depth")))
 
 
