@@ -50,12 +50,8 @@ def gradients(dem: DataFrame, grid: Grid, value: str = "v", keys: Sequence[str]
     dem = dem.filter(F.col(value).isNotNull())
     around = gather(dem, {"_up": (-1, 0), "_down": (1, 0), "_left": (0, -1), "_right": (0, 1)}, value, keys)
     mean = dem.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    if keys:
-        around = around.join(mean, list(keys))
-        fill = F.col("_mean")
-    else:
-        fill = mean.scalar()
-    v = F.col(value)
+    around = around.join(mean, list(keys)) if keys else around.withColumn("_mean", mean.scalar())
+    v, fill = F.col(value), F.col("_mean")
 
     def slope_along(before: str, after: str, index: str, size: int, step: float) -> Column:
         if size < 2:

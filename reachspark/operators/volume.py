@@ -33,8 +33,8 @@ def triangles(quads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ``a`` is the corner where the legs meet, ``b`` its neighbour along the row, ``d`` along
     the column. Triangles with a missing corner are dropped.
     """
-    tri = lambda a, b, d: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
-    both = F.array(tri("ul", "ur", "ll"), tri("lr", "ll", "ur"))
+    tri = lambda k, a, b, d: F.struct(F.lit(k).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
+    both = F.array(tri(0, "ul", "ur", "ll"), tri(1, "lr", "ll", "ur"))
     flat = quads.select(*keys, F.explode(both).alias("t")).select(*keys, "t.*")
     return flat.filter("a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL")
 
@@ -72,27 +72,34 @@ def _above(h: list[Column], area: float) -> tuple[Column, Column]:
     return volume, share
 
 
-def surface_volume(cells: DataFrame, grid: Grid, plane: float = 0.0, reference: str = "ABOVE", value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
+def surface_volume(cells: DataFrame, grid: Grid, plane: float = 0.0, reference: str = "ABOVE", value: str = "v", keys: Sequence[str] = (), legacy_draped: bool = False) -> DataFrame:
     """``volume, area_2d, area_3d`` on one side of the plane."""
     side = reference.upper()
     if side not in ("ABOVE", "BELOW"):
         raise ValueError(f"reference must be ABOVE or BELOW, got {reference!r}")
-    both = volumes_both_sides(cells, grid, plane, value, keys)
+    both = volumes_both_sides(cells, grid, plane, value, keys, legacy_draped)
     s = side.lower()
     return both.select(
         *keys, F.col(f"volume_{s}").alias("volume"), F.col(f"area_{s}").alias("area_2d"), F.col(f"draped_{s}").alias("area_3d")
     )
 
 
-def volumes_both_sides(cells: DataFrame, grid: Grid, plane: float = 0.0, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
-    """Volume, planimetric and draped area above and below the plane, in one pass."""
+def volumes_both_sides(cells: DataFrame, grid: Grid, plane: float = 0.0, value: str = "v", keys: Sequence[str] = (), legacy_draped: bool = False) -> DataFrame:
+    """Volume, planimetric and draped area above and below the plane, in one pass.
+
+    ``legacy_draped`` measures the second triangle of a quad from its upper right corner, which
+    is not where its legs meet; it reproduces draped areas published that way.
+    """
     dx, dy = abs(grid.dx), abs(grid.dy)
     area = 0.5 * dx * dy
     tri = triangles(corners(cells, value, keys), keys)
     h = [F.col(n) - F.lit(float(plane)) for n in ("a", "b", "d")]
-    draped = F.lit(area) * F.sqrt(
-        F.lit(1.0) + F.pow((F.col("b") - F.col("a")) / dx, 2.0) + F.pow((F.col("d") - F.col("a")) / dy, 2.0)
-    )
+    gx, gy = F.col("b") - F.col("a"), F.col("d") - F.col("a")
+    if legacy_draped:
+        second = F.col("k") == 1
+        gx = F.when(second, F.col("a") - F.col("d")).otherwise(gx)
+        gy = F.when(second, F.col("b") - F.col("d")).otherwise(gy)
+    draped = F.lit(area) * F.sqrt(F.lit(1.0) + F.pow(gx / dx, 2.0) + F.pow(gy / dy, 2.0))
     va, fa = _above(h, area)
     vb, fb = _above([-x for x in h], area)
     parts = tri.select(*keys, va.alias("va"), fa.alias("fa"), vb.alias("vb"), fb.alias("fb"), draped.alias("dr"))

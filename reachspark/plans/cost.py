@@ -114,27 +114,35 @@ def cost_benefit(totals: DataFrame, gains: DataFrame) -> DataFrame:
 
 
 def report(lines: DataFrame, rates: Sequence[tuple[str, str, float]] = K.RATES, gains: DataFrame | None = None) -> DataFrame:
-    """All rows of the cost report ``project, section, item, quantity, per, rate, cost``."""
+    """All rows of the cost report ``project, section, item, quantity, per, rate, cost``.
+
+    Priced lines, group sums, and everything that follows from a project's total; the last part
+    is one row per project expanded into its report rows.
+    """
     none = F.lit(None).cast("double")
+    columns = ["project", "section", "item", "quantity", "per", "rate", "cost"]
+    priced = lines.filter("quantity <> 0").withColumn("section", F.col("grp")).withColumn("item", F.col("task")).select(columns)
+    sums = group_sums(lines)
+    grouped = sums.filter("cost <> 0").select(
+        "project", F.lit("SUM").alias("section"), F.col("grp").alias("item"), none.alias("quantity"), F.lit("").alias("per"), none.alias("rate"), "cost"
+    )
 
-    def rows(df, section, item, cost, quantity=none, per=None, rate=none):
-        return df.select(
-            "project", F.lit(section).alias("section") if isinstance(section, str) else section.alias("section"), item.alias("item"),
-            quantity.alias("quantity"), (F.lit("") if per is None else per).alias("per"), rate.alias("rate"), cost.alias("cost"),
+    def row(section, item, cost, quantity=None):
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(item).alias("item"), (none if quantity is None else quantity).alias("quantity"),
+            F.lit("").alias("per"), none.alias("rate"), cost.alias("cost"),
         )
 
-    priced = lines.filter("quantity <> 0")
-    out = rows(priced, F.col("grp"), F.col("task"), F.col("cost"), F.col("quantity"), F.col("per"), F.col("rate"))
-    sums = group_sums(lines).filter("cost <> 0")
-    out = out.unionByName(rows(sums, "SUM", F.col("grp"), F.col("cost")))
-    totals = construction(lines)
-    out = out.unionByName(rows(totals, "SUM", F.lit("TOTAL CONSTRUCTION WORKS"), F.col("construction")))
-    out = out.unionByName(rows(applied_rates(totals, rates), "RATE", F.col("label"), F.col("amount"), F.col("fraction") * 100.0))
-    full = grand_total(totals, rates)
-    out = out.unionByName(rows(full, "TOTAL", F.lit(""), F.col("total")))
+    full = grand_total(sums.groupBy("project").agg(F.sum("cost").alias("construction")), rates)
+    whole = F.col("construction")
+    rows = [row("SUM", "TOTAL CONSTRUCTION WORKS", whole)]
+    rows += [row("RATE", label, whole * F.lit(share), F.lit(fraction * 100.0)) for _, _, label, fraction, share in compounded(rates)]
+    rows.append(row("TOTAL", "", F.col("total")))
     if gains is not None:
-        both = cost_benefit(full, gains)
+        full = full.join(gains, "project", "left")
+        gained = F.when(F.col("gain") > 0, F.col("total") / F.when(F.col("gain") > 0, F.col("gain")))
         for item, name in (("SHArea before", "before"), ("SHArea after", "after"), ("net gain", "gain")):
-            out = out.unionByName(rows(both, "HABITAT", F.lit(item), none, F.col(name)))
-        out = out.unionByName(rows(both.filter("cost_per_area IS NOT NULL"), "HABITAT", F.lit("cost per area gained"), F.col("cost_per_area")))
-    return out
+            rows.append(F.when(F.col(name).isNotNull(), row("HABITAT", item, none, F.col(name))))
+        rows.append(F.when(gained.isNotNull(), row("HABITAT", "cost per area gained", gained)))
+    totals = full.select("project", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("project", "s.*")
+    return priced.unionByName(grouped).unionByName(totals.select(columns))

@@ -15,36 +15,34 @@ from ..operators.stencil import focal_fraction, grid_cells, within_radius
 Curve = Sequence[tuple[float, float]]
 
 
-def composite_suitability(hydraulics: DataFrame, depth_curve: Curve, velocity_curve: Curve, cover: DataFrame | None = None, method: str = "geometric_mean", keys: Sequence[str] = ("q",)) -> DataFrame:
+def composite_suitability(hydraulics: DataFrame, depth_curve: Curve, velocity_curve: Curve, cover: DataFrame | None = None, method: str = "geometric_mean", keys: Sequence[str] = ("q",), keep_dry: bool = False) -> DataFrame:
     """``keys, r, c, chsi`` of the wet cells with both depth and velocity.
 
     ``cover`` (``keys, r, c, cover``) multiplies in where given; wet cells without cover have
-    no suitability then. Cells without suitability are dropped.
+    no suitability then. Cells without suitability are dropped unless ``keep_dry``, which keeps
+    them as NULL so that later aggregates see every discharge in the same scan.
     """
     cell = [*keys, "r", "c"]
-    rows = hydraulics.select(*cell, "h", "u").filter("h > 0 AND u IS NOT NULL")
+    rows = hydraulics.select(*cell, "h", "u").filter("h IS NOT NULL AND u IS NOT NULL" if keep_dry else "h > 0 AND u IS NOT NULL")
     if cover is not None:
-        rows = rows.join(cover, [k for k in cell if k in cover.columns])
+        rows = rows.join(cover, [k for k in cell if k in cover.columns], "left" if keep_dry else "inner")
     rows = rows.withColumn("_d", algebra.apply_curve("h", depth_curve)).withColumn("_v", algebra.apply_curve("u", velocity_curve))
     chsi = algebra.composite_hsi("h", "_d", "_v", "cover" if cover is not None else None, method)
-    return rows.select(*cell, chsi.alias("chsi")).filter("chsi IS NOT NULL")
+    out = rows.select(*cell, chsi.alias("chsi"))
+    return out if keep_dry else out.filter("chsi IS NOT NULL")
 
 
-def usable_area(chsi: DataFrame, cell_area: float, threshold: float = 0.4, weighted: bool = False, keys: Sequence[str] = ("q",), discharges: DataFrame | None = None) -> DataFrame:
-    """``usable_area, mean_chsi`` per discharge.
+def usable_area(chsi: DataFrame, cell_area: float, threshold: float = 0.4, weighted: bool = False, keys: Sequence[str] = ("q",)) -> DataFrame:
+    """``usable_area, mean_chsi`` per discharge; NULL suitability counts as none.
 
     Usable cells exceed the threshold; ``weighted`` multiplies by their mean suitability.
-    ``discharges`` keeps those without any suitable cell, with zeros.
     """
     good = F.col("chsi") > F.lit(threshold)
     area = F.count(F.when(good, True)) * F.lit(cell_area)
     if weighted:
         area = area * F.coalesce(F.avg(F.when(good, F.col("chsi"))), F.lit(1.0))
-    out = chsi.groupBy(*keys).agg(area.cast("double").alias("usable_area"), F.avg("chsi").alias("mean_chsi"))
-    if discharges is not None:
-        out = discharges.select(*keys).distinct().join(out, list(keys), "left")
-        out = out.withColumn("usable_area", F.coalesce("usable_area", F.lit(0.0)))
-    return out.withColumn("mean_chsi", F.coalesce("mean_chsi", F.lit(0.0)))
+    mean = F.coalesce(F.avg("chsi"), F.lit(0.0))
+    return chsi.groupBy(*keys).agg(area.cast("double").alias("usable_area"), mean.alias("mean_chsi"))
 
 
 def seasonal_area(areas: DataFrame, duration: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -144,6 +142,6 @@ def habitat(
     weighted: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Usable area per discharge and, with a duration table, the seasonal habitat area."""
-    chsi = composite_suitability(hydraulics, depth_curve, velocity_curve, cover, method)
-    areas = usable_area(chsi, cell_area, threshold, weighted, discharges=hydraulics.filter("h IS NOT NULL AND u IS NOT NULL"))
+    chsi = composite_suitability(hydraulics, depth_curve, velocity_curve, cover, method, keep_dry=True)
+    areas = usable_area(chsi, cell_area, threshold, weighted)
     return areas, None if duration is None else seasonal_area(areas, duration)

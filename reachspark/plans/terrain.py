@@ -67,10 +67,10 @@ def fill_and_cut(dod: DataFrame) -> DataFrame:
     return dod.select("r", "c", "v", F.when(v > 0, v).alias("fill"), F.when(v < 0, v).alias("excavation"))
 
 
-def volume_assessment(dod: DataFrame, grid: Grid, unit: str = "us") -> DataFrame:
+def volume_assessment(dod: DataFrame, grid: Grid, unit: str = "us", legacy_draped: bool = False) -> DataFrame:
     """Fill, excavation and net volume (cubic yards or metres) with their areas."""
     factor = F.lit(1.0 / K.CUBIC_FEET_PER_YARD if unit.lower() == "us" else 1.0)
-    v = volumes_both_sides(dod, grid)
+    v = volumes_both_sides(dod, grid, legacy_draped=legacy_draped)
     return v.select(
         (F.col("volume_above") * factor).alias("fill_volume"),
         (F.col("volume_below") * factor).alias("excavation_volume"),

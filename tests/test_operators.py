@@ -225,6 +225,8 @@ def test_draped_area_of_tilted_planes(grid_table):
     g = Grid(11, 11)
     assert volume.surface_volume(one, g, -1000).first()["area_3d"] == pytest.approx(100 * 2**0.5)
     assert volume.surface_volume(both, g, -1000).first()["area_3d"] == pytest.approx(100 * 3**0.5)
+    old = volume.surface_volume(both, g, -1000, legacy_draped=True).first()
+    assert old["area_3d"] == pytest.approx(50 * 3**0.5 + 50 * 2**0.5)
     below = volume.surface_volume(one, g, 5.0, "BELOW").first()
     assert below["volume"] == pytest.approx(125.0)
 
