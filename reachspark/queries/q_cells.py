@@ -298,9 +298,20 @@ def resample_query(d: Data):
     return rounded(align.resample(d.layer(), d.grid, 2.0, "mean")[0], 9)
 
 
-@query("resample_bilinear")
+@query(
+    "resample_bilinear",
+    sql(
+        "cells_v",
+        ctes="""n_v as (select max(r) + 1 n, cast(floor((max(r) + 1) / 2.0) as int) m from cells_v),
+          t_v as (select r, c, (c + 0.5) * 2 - 0.5 px, (r + 0.5) * (n / m) - 0.5 py, n from n_v, range(0, (select m from n_v)) a(r), range(0, 64) b(c)),
+          o_v as (select i, j from range(0, 2) a(i), range(0, 2) b(j))""",
+        body="""select cast(r as int) r, cast(c as int) c, round(sum(w * z) / sum(w), 9) v from (
+          select t.r, t.c, s.z, (1 - abs(px - s.c)) * (1 - abs(py - s.r)) w from t_v t, o_v join cells_v s on s.c = floor(px) + j and s.r = floor(py) + i
+          where px >= -0.5 and py >= -0.5 and px < 127.5 and py < n - 0.5) where w > 0 group by 1, 2""",
+    ),
+)
 def resample_bilinear_query(d: Data):
-    return rounded(align.resample(d.layer(), d.grid, 2.0)[0], 5)
+    return rounded(align.resample(d.layer(), d.grid, 2.0)[0], 9)
 
 
 @query(

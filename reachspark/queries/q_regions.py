@@ -8,6 +8,7 @@ from ..grid import Grid
 from ..operators import polygons, regions, routes
 from ..plans import lifespan, stranding
 from ..session import cut
+from .q_plans import BEST, lifespans
 from .registry import Data, query, rounded, sql
 
 LIMIT = 50
@@ -199,10 +200,19 @@ def strand_velocity(d: Data):
     return rounded(stranding.stranding(d.hydraulics, d.grid, H_MIN, u_max=2.5).per_discharge)
 
 
-@query("best_feature_polygons")
+@query(
+    "best_feature_polygons",
+    rsql(
+        "cells_v",
+        "hydraulics_v",
+        ctes=BEST
+        + ", bf_v as (select fid, r, c from best_v where lifespan = best), "
+        + region_sql("bf_v", keys="fid")
+        + """, per_v as (select l.fid, l.label, count(*) p from lab_v l, (values (0,1),(1,0),(0,-1),(-1,0)) s(i,j) left join lab_v n on n.fid = l.fid and n.r = l.r + i and n.c = l.c + j and n.label = l.label where n.r is null group by 1, 2)""",
+        body="""select l.fid, cast(l.label as bigint) label, cast(1 as int) gridcode, count(*) cells, cast(count(*) as double) area, cast(min(p) as double) perimeter from lab_v l join per_v p on p.fid = l.fid and p.label = l.label group by 1, 2""",
+    ),
+)
 def best_polygons(d: Data):
-    from .q_plans import lifespans
-
     best = lifespan.best_cells(lifespans(d))
     coded = best.select("fid", "r", "c", F.lit(1).alias("v"))
     return rounded(polygons.polygonize(coded, d.grid, keys=["fid"]))

@@ -54,11 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     the lineage, and carries its true size, so the optimizer picks join sides from facts.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/reachspark-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application wrote with ``cut``; results built on them end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Hash-partition by the keys of a following Python group step, at full shuffle width.
 

@@ -124,5 +124,6 @@ def cover_layers(cells: DataFrame, grain_layer: str = "dmean", overrides: DataFr
     found = cells.filter(F.col("layer").isin([grain_layer, *names])).select(kind.alias("cover"), "r", "c", "v")
     if overrides is None:
         return found
-    given = overrides.select("cover").distinct()
-    return found.join(given, "cover", "left_anti").unionByName(overrides.select("cover", "r", "c", "v"))
+    # At most one name per cover type, so the replaced layers are a filter, not a join.
+    given = [row[0] for row in overrides.select("cover").filter(F.col("cover").isin(list(K.COVER_ORDER))).distinct().collect()]
+    return found.filter(~F.col("cover").isin(given)).unionByName(overrides.select("cover", "r", "c", "v"))
