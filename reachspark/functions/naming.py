@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .algebra import as_col
 
 # Name patterns of hydraulic layers.
-NUMBER_PATTERN = r"(\d+)(?:_(\d+))?"
-DISCOVERY_PATTERN = r"(?i)^%s\d+(?:_\d+)?\.tif$"
+NUMBER_PATTERN = r"\d+(?:_\d+)?"
+DISCOVERY_PATTERN = r"(?i)^([hu])\d+(?:_\d+)?\.tif$"
 
 
 def base_name(path) -> Column:
@@ -19,16 +19,13 @@ def base_name(path) -> Column:
 
 def discharge_of(name) -> Column:
     """Discharge spelled in a layer name; ``_`` is the decimal point, NULL without digits."""
-    base = base_name(name)
-    whole = F.regexp_extract(base, NUMBER_PATTERN, 1)
-    part = F.regexp_extract(base, NUMBER_PATTERN, 2)
-    text = F.when(part != "", F.concat(whole, F.lit("."), part)).otherwise(whole)
-    return F.when(whole != "", text.cast("double"))
+    digits = F.regexp_extract(base_name(name), NUMBER_PATTERN, 0)
+    return F.nullif(F.translate(digits, "_", "."), F.lit("")).cast("double")
 
 
-def is_hydraulic(name, prefix: str) -> Column:
-    """Does the name spell a layer of ``prefix`` (``h``, ``u``, ``ux``, ``uy``)?"""
-    return base_name(name).rlike(DISCOVERY_PATTERN % prefix)
+def hydraulic_kind(name) -> Column:
+    """``h`` or ``u`` for depth and velocity layers, NULL for any other name."""
+    return F.nullif(F.lower(F.regexp_extract(base_name(name), DISCOVERY_PATTERN, 1)), F.lit(""))
 
 
 def discharge_token(q) -> Column:

@@ -129,6 +129,7 @@ def lifespan_cells(
     manning_n: float = K.MANNING_N,
     codes: dict[str, int] | None = None,
     keys: Sequence[str] = (),
+    per_pass: int = 48,
 ) -> DataFrame:
     """``r, c, fid, lifespan, design`` of every mapped cell.
 
@@ -136,7 +137,18 @@ def lifespan_cells(
     dem_detrend, mu, scour, fill, slope`` (slope as rise over run). A cell that survives every
     flood is not mapped. Without a hydraulic criterion the longest period of the list applies.
     ``design`` is the grain that just moves at the design flood, in inches for U.S. units.
+    More than ``per_pass`` features are mapped in several passes, to keep generated code small.
     """
+    features = list(features)
+    if len(features) > per_pass:
+        parts = [
+            lifespan_cells(hydraulics, floods, terrain, features[i : i + per_pass], unit, manning_n, codes, keys, per_pass)
+            for i in range(0, len(features), per_pass)
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     spark = hydraulics.sparkSession
     cell = [*keys, "r", "c"]
     has_grain = "dmean" in terrain.columns

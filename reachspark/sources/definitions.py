@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.naming import base_name, discharge_label, discharge_of, discharge_token, is_hydraulic
+from ..functions.naming import base_name, discharge_label, discharge_of, discharge_token, hydraulic_kind
 
 
 def read_definition_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +49,8 @@ def parse_definitions(lines: DataFrame) -> DataFrame:
 
 def hydraulic_layers(catalog: DataFrame) -> DataFrame:
     """Depth and velocity layers of the catalogue: ``condition, kind, q, name``."""
-    kind = F.when(is_hydraulic("name", "h"), "h").when(is_hydraulic("name", "u"), "u")
-    return catalog.select("condition", kind.alias("kind"), discharge_of("name").alias("q"), "name").filter("kind IS NOT NULL")
+    marked = catalog.select("condition", hydraulic_kind("name").alias("kind"), "name").filter("kind IS NOT NULL")
+    return marked.select("condition", "kind", discharge_of("name").alias("q"), "name")
 
 
 def discover_discharges(catalog: DataFrame, kind: str = "h") -> DataFrame:
@@ -136,8 +136,7 @@ def validate(definitions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def describe(catalog: DataFrame, other_layers=("dem", "dmean", "d2w", "dem_detrend", "mu")) -> DataFrame:
     """Per condition: layer counts, discharge ranges, and which of the other layers exist."""
-    kind = F.when(is_hydraulic("name", "h"), "h").when(is_hydraulic("name", "u"), "u")
-    marked = catalog.select("condition", "name", kind.alias("kind"), discharge_of("name").alias("q"))
+    marked = catalog.select("condition", "name", hydraulic_kind("name").alias("kind"), discharge_of("name").alias("q"))
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
     pick = lambda k, v: F.when(F.col("kind") == k, v)
     return marked.groupBy("condition").agg(

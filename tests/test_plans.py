@@ -45,6 +45,8 @@ def test_lifespans_of_a_known_reach(reach):
     assert rows[("wil", 0)] == period(0.1) == 25
     assert rows[("whi", 0)] == period(0.06) == 10
     assert rows[("cot", 0)] == 10  # u >= 3 first at the third flood
+    split = lifespan.lifespan_cells(hyd, floods, ground, [features["wil"], features["whi"], features["cot"]], "si", per_pass=2)
+    assert split.exceptAll(got).count() == 0 and split.count() == got.count()
     summary = lifespan.lifespan_summary(got, 1.0).filter("fid = 'wil'").first()
     assert summary["area"] == 40 and summary["median_lifespan"] == 25
 
@@ -378,3 +380,19 @@ def test_layer_store_round_trip(spark, grid_table, tmp_path):
     layers.write_csv(cells, str(tmp_path / "csv"))
     text = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert {x["v"] for x in text.collect()} == {"1.0", "-999.0", "3.0"}
+
+
+def test_lifespans_per_condition(reach):
+    hyd, ground, floods = reach
+    two = lambda df: df.withColumn("condition", F.lit("a")).unionByName(df.withColumn("condition", F.lit("b")))
+    deep = two(hyd).withColumn("u", F.when(F.col("condition") == "b", F.lit(0.1)).otherwise(F.col("u")))
+    got = lifespan.lifespan_cells(deep, floods, two(ground), [default_features()["cot"]], "si", keys=["condition"])
+    assert {x["condition"] for x in got.collect()} == {"a"} and got.count() == 40
+
+
+def test_scratch_folder_is_local_only_here(spark, table):
+    from reachspark import session
+
+    kept = session.cut(table([(1,)], "a int"))
+    assert kept.collect()[0][0] == 1
+    assert session.scratch_dir(spark) == session.scratch_dir(spark)
