@@ -20,7 +20,7 @@ from reachspark.llm.mixing import HASH_BITS, document_hash, thresholds
 from reachspark.llm.textops import LOWER, fingerprints, mix, pieces, spans, utf8
 from reachspark.session import cut
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: n-grams worth of ratio 1 that every text is credited with.
 PRIOR = 10.0
 #: Sums are cut to this range and made integers to find the k-th largest.
@@ -47,7 +47,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in pieces(batches, "text"):
         buckets, offsets = hashed_ngrams(batch.column(0))
-        good = np.repeat(np.asarray(batch.column(1).fill_null(0)) == 1, np.diff(offsets))
+        good = np.repeat(np.asarray(batch.column(1).fill_null(False)), np.diff(offsets))
         raw += np.bincount(buckets, minlength=BUCKETS)
         target += np.bincount(buckets[good], minlength=BUCKETS)
     at = np.flatnonzero(raw)
@@ -55,17 +55,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` labelled documents ``doc_id, good``, chosen by a hash of the id.
+    """At most ``most`` labelled documents ``doc_id, good, fits``, chosen by a hash of the id.
 
-    NULL ids and labels are left out; a document with labels of both kinds counts as not good.
+    One half fits the target model, the other half sets the cut, so that the cut is taken where
+    the model has not seen the texts, as with all other documents. NULL ids and labels are left
+    out; a document with labels of both kinds counts as not good.
     """
+    half = F.pmod(document_hash(F.col("doc_id"), 8), F.lit(2)) == 0
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    return rows.orderBy(document_hash(F.col("doc_id"), 7), "doc_id").limit(most).select("doc_id", F.col("good").cast("int"))
+    return rows.orderBy(document_hash(F.col("doc_id"), 7), "doc_id").limit(most).select("doc_id", F.col("good").cast("int"), half.alias("fits"))
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Log ratio of target to raw probability per bucket; 65 536 sums over all documents."""
-    rows = docs.join(F.broadcast(sample), "doc_id", "left").select("text", "good")
+    """Log ratio of target to raw probability per bucket; 16 384 sums over all documents."""
+    rows = docs.join(F.broadcast(sample), "doc_id", "left").select("text", (F.col("fits") & (F.col("good") == 1)).alias("target"))
     parts = rows.mapInArrow(_counts, "bucket long, raw long, target long")
     table = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
@@ -74,7 +77,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     target[at] += table["target"].to_numpy(float)
     # add-one smoothing of the target follows the raw model, so unseen n-grams are neutral
     prior = raw / raw.sum()
-    smoothed = (target - 1 + prior * BUCKETS) / (target.sum() - BUCKETS + BUCKETS)
+    smoothed = (target - 1 + prior * BUCKETS) / target.sum()
     return np.log(smoothed / prior).astype(np.float64)
 
 
@@ -95,7 +98,7 @@ def _scores(ratio):
 
 
 def weigh(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> DataFrame:
-    """``doc_id, good, n_ngrams, log_weight`` per row; ``good`` is the label of sampled documents.
+    """``doc_id, good, n_ngrams, log_weight`` per row; ``good`` is the label of held-out documents.
 
     Texts without words, NULL texts included, have no weight. The sample of at most
     ``most_labels`` labelled ids is broadcast; the counts cover all texts whole.
@@ -103,14 +106,17 @@ def weigh(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Data
     sample = labelled_sample(labels, most_labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(rows, sample))
-    marked = rows.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "text", "good")
+    held_out = sample.where("not fits").select("doc_id", "good")
+    marked = rows.join(F.broadcast(held_out), "doc_id", "left").select("doc_id", "text", "good")
     return cut(marked.mapInArrow(_scores(ratio), "doc_id long, good int, n_ngrams long, log_weight double"))
 
 
-def share_to_keep(weighed: DataFrame) -> float:
-    """Weight above which labelled documents are best told apart (balanced accuracy).
+def dividing_weight(weighed: DataFrame, good_weight: float = 3.0) -> float:
+    """Weight above which held-out labelled documents are best told apart.
 
-    Reads the labelled sample alone, which is bounded. Without labels of both kinds the cut is 0.
+    A good document lost counts ``good_weight`` times as much as a bad one kept, as shares of their kinds.
+
+    Reads the held-out half of the sample alone, which is bounded. Without labels of both kinds the cut is 0.
     """
     sample = weighed.where("good is not null and log_weight is not null").select("good", "log_weight").toPandas()
     good, bad = (np.sort(sample["log_weight"][sample["good"] == x].to_numpy()) for x in (1, 0))
@@ -118,7 +124,7 @@ def share_to_keep(weighed: DataFrame) -> float:
         return 0.0
     edges = np.unique(np.concatenate((good, bad)))
     middle = (edges[:-1] + edges[1:]) / 2 if len(edges) > 1 else edges
-    accuracy = (1 - np.searchsorted(good, middle) / len(good)) + np.searchsorted(bad, middle) / len(bad)
+    accuracy = good_weight * (1 - np.searchsorted(good, middle) / len(good)) + np.searchsorted(bad, middle) / len(bad)
     best = np.flatnonzero(accuracy >= accuracy.max() - 1e-12)
     return float(middle[best[len(best) // 2]])
 
@@ -150,7 +156,7 @@ def resample(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, temp
     """
     weighed = weigh(docs, labels, most_labels)
     if k is None:
-        k = weighed.where(F.col("log_weight") >= F.lit(share_to_keep(weighed))).count()
+        k = weighed.where(F.col("log_weight") >= F.lit(dividing_weight(weighed))).count()
     return gumbel_top_k(weighed, k, temperature).drop("good")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm import importance, jaccard, mixing, quality_rules, sharding, token_files
+from reachspark.llm import importance, jaccard, mixing, quality_rules, sharding, templates, token_files
 from reachspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
