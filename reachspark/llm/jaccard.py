@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachspark.llm.linking import link_components
+from reachspark.llm.linking import link_components, small_join
 from reachspark.llm.textops import LOWER, fingerprints, mix, pieces, shingles, spans, utf8
 from reachspark.session import cut
 
@@ -169,8 +169,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     shared = cut(shared.where("x != y").select("key", "node", "meta", "length"))
     members = cut(_allocated(shared))
 
-    needed = members.select("node").distinct().join(reps, "node")
-    texts = cut(rows.join(needed, F.col("doc_id") == F.col("rep")).select("node", "text"))
+    needed = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")))
+    texts = cut(small_join(rows, needed, "doc_id").select("node", "text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")

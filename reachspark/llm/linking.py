@@ -49,3 +49,8 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(verify(across.join(tried, ["a", "b"], "left_anti")))
     return components(near.unionByName(rest))
+
+
+def small_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = 500_000) -> DataFrame:
+    """Join a table that is already written; it is broadcast only if counted to at most ``rows`` rows."""
+    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm import importance, jaccard, mixing, quality_rules, sharding, templates, token_files
+from reachspark.llm import fuzzy_lines, importance, jaccard, mixing, quality_rules, sharding, templates, token_files
 from reachspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
