@@ -4,14 +4,15 @@ Sets of similar size form a band; a partner of a set in band ``k`` lies in bands
 ``k + 1``. For the pairs of bands ``k`` and ``k`` or ``k + 1``, two sets that link differ in at most ``H`` shingles, so
 with shingles hashed into ``m = H + 1`` segments at least one segment holds the same shingles in
 both. Some spare segments are also indexed under each of their one-deletion neighbours, which
-finds partners that differ there by one shingle and so counts twice in the pigeonhole sum.
-That credit lets every set skip as many of its other segments: those with the longest
-buckets, if longer than the neighbours cost (an empty segment, a frequent passage). What meets
-in a bucket is verified on the whole sets.
+finds partners that differ there by one shingle and so counts twice in the pigeonhole sum. With
+this credit every set skips its longest buckets (empty segments, frequent passages): a segment
+costs 1, a spare segment 2, one neighbour of it 1. There are as many spare segments as the number of
+empty segments to expect. What meets in a bucket is verified on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,6 @@ from reachspark.llm.linking import link_components, small_join
 from reachspark.llm.textops import LOWER, fingerprints, mix, pieces, shingles, spans, utf8
 from reachspark.session import cut
 
-#: Bucket length from which skipping a segment is cheaper than the spare segment's neighbours.
-SKIP_FROM = 10
-
 
 class Bands:
     """Size bands, segments per band and spare segments for the threshold ``num / den``."""
@@ -48,7 +46,8 @@ class Bands:
         large = small * self.den // self.num
         differ = (small + large) * (self.den - self.num) // (self.den + self.num)
         m = differ + 1
-        return m, 0 if m < 4 else 1 if m < 16 else 2, large
+        empty = m * math.exp(-self.edges[band] / m)
+        return m, min(m, math.ceil(1.15 * empty + 3 * math.sqrt(empty) + 1)), large
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -121,7 +120,7 @@ def _signature_rows(k: int, num: int, den: int):
                 for key, band, kind in signatures(values, bands):
                     keys.append(key)
                     nodes.append(np.full(len(key), node, np.int64))
-                    metas.append((len(values) << 12) + (band << 4) + kind)
+                    metas.append((len(values) << 24) + (band << 16) + kind)
             if keys:
                 columns = [np.concatenate(x) for x in (keys, nodes, metas)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "meta"])
@@ -187,13 +186,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 def _allocated(shared: DataFrame) -> DataFrame:
     """Distinct members with their role: each set skips its longest buckets within its credit."""
-    kind, spare = F.col("meta").bitwiseAND(3), F.shiftright("meta", 2).bitwiseAND(3)
+    kind, spare = F.col("meta").bitwiseAND(3), F.shiftright("meta", 2).bitwiseAND((1 << 14) - 1)
     rows = shared.repartition("node").groupBy("node", "key").agg(F.min("meta").alias("meta"), F.max("length").alias("length"))
-    rows = rows.withColumns({"exact": kind < 2, "plain": kind == 0, "spare": spare, "band": F.shiftright("meta", 4).bitwiseAND(255)})
-    order = Window.partitionBy("node", "band", "plain").orderBy(F.desc("length"), "key")
-    skips = F.col("plain") & (F.row_number().over(order) <= F.col("spare")) & (F.col("length") >= SKIP_FROM)
-    rows = rows.withColumn("probe", ~skips).withColumn("support", F.count("*").over(Window.partitionBy("node")))
-    return rows.select("key", "node", F.shiftright("meta", 12).alias("size"), "probe", "exact", "support")
+    rows = rows.withColumns({"kind": kind, "spare": spare, "band": F.shiftright("meta", 16).bitwiseAND(255)})
+    cost = F.when(F.col("kind") == 1, 2).otherwise(1)
+    longest_first = Window.partitionBy("node", "band").orderBy(F.desc("length"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("probe", F.sum(cost).over(longest_first) > F.col("spare"))
+    rows = rows.withColumn("support", F.count("*").over(Window.partitionBy("node")))
+    return rows.select("key", "node", F.shiftright("meta", 24).alias("size"), "probe", (F.col("kind") < 2).alias("exact"), "support")
 
 
 def one_per_component(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm import fuzzy_lines, importance, jaccard, mixing, quality_rules, sharding, templates, token_files
+from reachspark.llm import fuzzy_lines, importance, jaccard, licences, mixing, quality_rules, sharding, templates, token_files, warc
 from reachspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,24 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query()
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(read(spark, sf_dir, "pages")))
+    return found.select(
+        F.substring("record_id", 2, 20).cast("long").alias("page_id"), "target_uri", "date", "prior", "verdict",
+        F.to_json(F.map_from_entries(F.array_sort(F.map_entries("head")))).alias("head"), F.crc32("payload").alias("payload_crc32"),
+    )
+
+
+@query()
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    block = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", "source", "lang", block, F.col("doc_id").cast("string"))
+    found = licences.scan_licences(docs.select(path.alias("path"), "text"))
+    doc_id = F.substring_index("path", "/", -1).cast("long").alias("doc_id")
+    return found.select(
+        doc_id, "path", "notice", F.round("cosine", 6).alias("cosine"), "n_notices", "file_licence", "licence", "via", "from_dir"
+    )
