@@ -55,7 +55,7 @@ def class_index(value, breaks: Sequence[float], right: bool) -> Column:
 def reclassify(value, breaks: Sequence[float], values: Sequence[float], right: bool = True) -> Column:
     """Class value per interval; intervals are closed on the right unless ``right=False``."""
     if len(values) != len(breaks) + 1:
-        raise ValueError("values must have exactly one more entry than breaks")
+        raise ValueError(f"{len(breaks)} breaks make {len(breaks) + 1} classes, not {len(values)}")
     v = as_col(value)
     out = None
     for b, target in zip(breaks, values):

@@ -70,8 +70,3 @@ def zonal_statistics(zone_cells: DataFrame, cells: DataFrame, zones: DataFrame |
     if zones is None:
         return stats
     return zones.select(zone).distinct().join(stats, zone, "left").withColumn("count", F.coalesce("count", F.lit(0)))
-
-
-def masked_area(masks: DataFrame, cell_area: float, keys: Sequence[str]) -> DataFrame:
-    """Area of the cells per key."""
-    return masks.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(cell_area)).alias("area"))

@@ -41,8 +41,6 @@ def label_regions(
     """
     keys = list(keys)
     local = _label_tiles(cells, grid, connectivity, value, keys, tile)
-    if grid.nrows <= tile and grid.ncols <= tile:
-        return local
     local = cut(local)
     edges = _border_edges(local, connectivity, value, keys, tile)
     merged = components(edges, keys, one_task_edges)

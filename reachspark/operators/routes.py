@@ -22,18 +22,16 @@ STEPS = [(0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, -1), (-1, 1)]
 
 
 def travel_rule(grid: Grid, u_max: float, ux="ux", uy="uy") -> Callable[[int, int], Column]:
-    """Step predicate: the flow component along the step must not oppose faster than ``u_max``.
+    """Step predicate for swimmers: the current against the step may be at most ``u_max``.
 
-    Rows grow southwards, so a step of one row down runs ``dy`` to the south.
+    Every step has a unit vector in map coordinates (x east, y north, rows count southwards); the
+    current along the step is its dot product with the flow. Missing components are still water.
     """
-    east_flow, north_flow = F.coalesce(F.col(ux), F.lit(0.0)), F.coalesce(F.col(uy), F.lit(0.0))
-
-    def allowed(dr: int, dc: int) -> Column:
-        east, north = dc * abs(grid.dx), -dr * abs(grid.dy)
-        along = (east_flow * F.lit(east) + north_flow * F.lit(north)) / F.lit(math.hypot(east, north))
-        return along >= F.lit(-float(u_max))
-
-    return allowed
+    span = np.array([(dc * abs(grid.dx), -dr * abs(grid.dy)) for dr, dc in STEPS])
+    unit = dict(zip(STEPS, span / np.linalg.norm(span, axis=1)[:, None]))
+    current = [F.coalesce(F.col(name), F.lit(0.0)) for name in (ux, uy)]
+    slowest = F.lit(-float(u_max))
+    return lambda dr, dc: sum(v * F.lit(float(w)) for v, w in zip(current, unit[dr, dc])) >= slowest
 
 
 def least_cost_distance(
@@ -99,8 +97,6 @@ def least_cost_distance(
 
     place = [*keys, "_tr", "_tc"]
     state = finite(spread(by_tile(state), *place).groupBy(*place).applyInPandas(lambda p: solve(p), ddl))
-    if grid.nrows <= tile and grid.ncols <= tile:
-        return state.filter("cost IS NOT NULL").select(*keys, "r", "c", "cost")
     state = cut(state)
     ways = F.array(
         *[

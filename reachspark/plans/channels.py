@@ -27,7 +27,7 @@ def expansion_loss(pool, riffle, length, velocity):
 
 def with_reversal(reaches: DataFrame, unit: str = "si", tau_cr: float = K.CRITICAL_SHIELDS) -> DataFrame:
     """Reaches in SI with roughness, reversal discharge and depth, bankfull width and spacing."""
-    to_si = K.FEET_PER_METRE_INVERSE if unit == "us" else 1.0
+    to_si = K.METRES_PER_FOOT if unit == "us" else 1.0
     out = reaches
     for name in ("d50", "base_width", "target_depth"):
         out = out.withColumn(name, F.col(name) * F.lit(to_si))
@@ -51,7 +51,7 @@ def design_pool_riffle(reaches: DataFrame, unit: str = "si", tau_cr: float = K.C
     guard = F.when(positive > 0, F.col("reach_id")).otherwise(F.raise_error(F.lit("reach sizes must be positive")).cast("bigint"))
     rows = with_reversal(reaches.withColumn("reach_id", guard.cast("bigint")), unit, tau_cr)
     rows = rows.select("reach_id", "slope", "base_width", "bank_slope", "target_depth", "roughness", "reversal_h", "reversal_q", "bankfull", "spacing")
-    back = 1.0 / K.FEET_PER_METRE_INVERSE if unit == "us" else 1.0
+    back = 1.0 / K.METRES_PER_FOOT if unit == "us" else 1.0
     q_back = 1.0 / K.CFS_TO_CMS if unit == "us" else 1.0
 
     def steps(x: dict, i: np.ndarray) -> tuple:

@@ -11,16 +11,16 @@ from .. import constants as K
 from ..functions.algebra import as_col
 from ..session import values_table
 
-ITEM_DDL = "pos int, key string, grp string, task string, rate double, per string, source string, note string"
+ITEM_DDL = "pos int, key string, grp string, task string, rate double, per string, source string"
 
 
 def cost_items(spark: SparkSession, unit: str = "us", grp: str | None = None) -> DataFrame:
     """Priced works in one unit system, optionally of one group."""
     pick = 0 if unit == "us" else 1
     rows = []
-    for i, (key, group, task, us, si, per_us, per_si, source, note) in enumerate(K.table_rows(K.COST_TABLE)):
+    for i, (key, group, task, us, si, per_us, per_si, source) in enumerate(K.COST_ITEMS):
         if grp is None or group == grp:
-            rows.append((i, key, group, task, float((us, si)[pick]), (per_us, per_si)[pick], source, note))
+            rows.append((i, key, group, task, float((us, si)[pick]), (per_us, per_si)[pick], source))
     return values_table(spark, rows, ITEM_DDL)
 
 
@@ -53,7 +53,7 @@ def bill(given: DataFrame, unit: str = "us") -> DataFrame:
     """Priced lines ``project, key, grp, task, per, rate, quantity, cost`` of the given quantities."""
     items = cost_items(given.sparkSession, unit)
     named = given.select("project", "key", F.coalesce("quantity", F.lit(0.0)).alias("quantity")).join(items, "key")
-    return named.select("project", "pos", "key", "grp", "task", "per", "rate", "quantity", (F.col("quantity") * F.col("rate")).alias("cost"), "note")
+    return named.select("project", "pos", "key", "grp", "task", "per", "rate", "quantity", (F.col("quantity") * F.col("rate")).alias("cost"))
 
 
 def group_sums(lines: DataFrame) -> DataFrame:

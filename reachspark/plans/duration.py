@@ -18,7 +18,7 @@ from ..sources.flow import numbered_curve
 
 
 def years(flow: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Calendar years the record spans."""
+    """Distinct calendar years per key."""
     return flow.select(*keys, F.year("d").alias("year")).distinct()
 
 

@@ -85,7 +85,8 @@ def cover_suitability(
         raise ValueError("mineral_rule must be radius or fraction")
     keys = list(keys) if depth is not None else []
     cell = [*keys, "r", "c"]
-    present = {row["cover"] for row in layers.select("cover").distinct().collect()}
+    asked = [c for c in K.COVER_ORDER if curves.get(c)] + ["substrate"]
+    present = {row["cover"] for row in layers.filter(F.col("cover").isin(asked)).select("cover").distinct().collect()}
     reach = None
     if depth is not None:
         reach = depth.filter(F.col("h") >= F.lit(float(h_min))).select(*cell)

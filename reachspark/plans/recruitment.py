@@ -65,17 +65,22 @@ def flow_brackets(flow: DataFrame, discharges: DataFrame, keys: list[str] | None
     return rows.withColumn("weight", weight).drop("_m")
 
 
-def surfaces(wle: DataFrame) -> tuple[DataFrame, list[float]]:
+def surfaces(wle: DataFrame, discharges: list[float] | None = None) -> tuple[DataFrame, list[float]]:
     """``r, c, w``: the modelled water surfaces of a cell as one array ordered by discharge.
 
-    Cells that lack a surface for some discharge are left out.
+    A cell without a surface at some discharge has NULL there, which reads as dry. Pass the
+    modelled ``discharges`` if they are known; else they are looked up in the table.
     """
-    modelled = [row[0] for row in wle.select("q").distinct().orderBy("q").limit(10_001).collect()]
-    if not modelled or len(modelled) > 10_000:
-        raise ValueError(f"{len(modelled)} modelled discharges")
-    pairs = F.array_sort(F.collect_list(F.struct("q", F.col("wle").cast("double").alias("wle"))))
-    packed = wle.filter("wle IS NOT NULL").groupBy("r", "c").agg(F.transform(pairs, lambda s: s["wle"]).alias("w"))
-    return packed.filter(F.size("w") == len(modelled)), modelled
+    if discharges is None:
+        discharges = [row[0] for row in wle.select("q").distinct().collect()]
+    modelled = sorted(float(q) for q in discharges)
+    if not modelled:
+        raise ValueError("no modelled discharge")
+    levels = F.map_from_entries(F.collect_list(F.struct(F.col("q").cast("double").alias("q"), F.col("wle").cast("double").alias("wle"))))
+    every = F.array(*[F.lit(q) for q in modelled])
+    known = wle.filter("wle IS NOT NULL").dropDuplicates(["r", "c", "q"])
+    packed = known.groupBy("r", "c").agg(levels.alias("_levels"))
+    return packed.select("r", "c", F.transform(every, lambda q: F.try_element_at("_levels", q)).alias("w")), modelled
 
 
 def surface_at(modelled: list[float], q: float) -> Column:
@@ -105,14 +110,14 @@ def window_peaks(flow: DataFrame, year, p: RecruitmentParameters, keys: list[str
     )
 
 
-def crop_area(dem: DataFrame, packed: DataFrame, modelled: list[float], flow: DataFrame, year: int, p: RecruitmentParameters, unit: str = "us") -> DataFrame:
+def crop_area(dem: DataFrame, packed: DataFrame, modelled: list[float], flow: DataFrame, year: int, p: RecruitmentParameters, unit: str = "us", peaks=None) -> DataFrame:
     """``r, c, dem, w`` of the cells where recruitment is possible.
 
     An elevation band above the baseflow surface if the parameters give one, else the ground
     between the lowest and the highest water of the seed season.
     """
     ground = dem.select("r", "c", F.col("v").alias("dem")).join(packed, ["r", "c"])
-    peaks = window_peaks(flow, year, p).first()
+    peaks = peaks or window_peaks(flow, year, p).first()
     if peaks["seed_low"] is None:
         raise ValueError(f"the record has no day in the {year} seed season")
     if p.band_lower is not None and p.band_upper is not None:
@@ -156,7 +161,7 @@ def recession(crop: DataFrame, modelled: list[float], days: list[tuple[dt.date,
         for pdf in batches:
             if not len(pdf):
                 continue
-            w = np.stack(pdf["w"].to_numpy())
+            w = np.stack([np.asarray(x, dtype=float) for x in pdf["w"]])
             level = w[:, lo] * (1.0 - weight) + w[:, hi] * weight
             dry = ~(level > pdf["dem"].to_numpy()[:, None])
             place = np.arange(n)
@@ -213,6 +218,7 @@ def recruitment(
     unit: str = "us",
     vegetated: DataFrame | None = None,
     graded: DataFrame | None = None,
+    discharges: list[float] | None = None,
 ) -> Recruitment:
     """Score every crop cell: ``bed, desiccation, inundation, scour, mortality, potential``.
 
@@ -222,11 +228,11 @@ def recruitment(
     p = parameters or RecruitmentParameters()
     if year is None:
         year = flow.agg(F.max(F.year("d"))).first()[0]
-    packed, modelled = surfaces(wle)
-    crop = crop_area(dem, packed, modelled, flow, year, p, unit)
+    packed, modelled = surfaces(wle, discharges)
+    peaks = window_peaks(flow, year, p).first()
+    crop = crop_area(dem, packed, modelled, flow, year, p, unit, peaks)
     if vegetated is not None:
         crop = crop.join(vegetated.select("r", "c").distinct(), ["r", "c"], "left_anti")
-    peaks = window_peaks(flow, year, p).first()
     days = recession_days(flow, year, p)
     mobile = mobilising_discharge(hydraulics, grain, {"q_full": p.tau_cr_full, "q_partial": p.tau_cr_partial}, unit)
     cells = recession(crop, modelled, days, year, p, unit).join(mobile, ["r", "c"], "left")

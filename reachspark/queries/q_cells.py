@@ -377,10 +377,19 @@ def zonal(d: Data):
     return rounded(cellstats.zonal_statistics(inside, d.layer(), every), 9, sum=7)
 
 
-@query("extract_by_mask", sql("cells_v", ctes=ZONES_SQL, body="select r, c, round(z, 6) v, 0 row0, 0 col0 from cells_v where (r, c) in (select (r, c) from h_v)"))
+@query(
+    "extract_by_mask",
+    sql(
+        "cells_v",
+        ctes=ZONES_SQL + ", far_v as (select * from b_v where x > 40.5 and y < -20.5)",
+        body="""select r, c, round(z, 6) v, cast(floor(-(select max(y) from far_v)) as int) row0, cast(floor((select min(x) - 0.9 from far_v)) as int) col0
+          from cells_v where (r, c) in (select (r, c) from h_v where id in (select id from far_v))""",
+    ),
+)
 def extract_query(d: Data):
-    out = polygons.extract_by_mask(d.layer(), zones(d)[0], d.grid)
-    return rounded(out.withColumn("row0", F.least("row0", F.lit(0))).withColumn("col0", F.least("col0", F.lit(0))))
+    shapes = zones(d)[0]
+    far = shapes.filter("seq = 0 and x > 40.5 and y < -20.5").select("poly_id")
+    return rounded(polygons.extract_by_mask(d.layer(), shapes.join(far, "poly_id", "left_semi"), d.grid))
 
 
 @query("rasterize_all_touched")

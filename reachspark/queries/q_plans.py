@@ -438,7 +438,8 @@ def recruit(d: Data):
     listed = F.array(*[F.lit(q) for _, q, _ in DISCHARGES])
     wle = cells.select("r", "c", F.explode(listed).alias("q")).withColumn("wle", F.lit(5.0) + F.col("q") / 100.0)
     return recruitment.recruitment(
-        d.layer(), wle, d.hydraulics, d.layer("dmean"), flow, 9.0, YEAR, RecruitmentParameters(), "us", cells.filter("mu = 5"), cells.filter("k7 = 6")
+        d.layer(), wle, d.hydraulics, d.layer("dmean"), flow, 9.0, YEAR, RecruitmentParameters(), "us", cells.filter("mu = 5"), cells.filter("k7 = 6"),
+        [q for _, q, _ in DISCHARGES],
     )
 
 
@@ -493,7 +494,7 @@ def recruitment_summary(d: Data):
 def crop_band(d: Data):
     listed = F.array(*[F.lit(q) for _, q, _ in DISCHARGES])
     wle = d.cells.select("r", "c", F.explode(listed).alias("q")).withColumn("wle", F.lit(5.0) + F.col("q") / 100.0)
-    packed, modelled = recruitment.surfaces(wle)
+    packed, modelled = recruitment.surfaces(wle, [q for _, q, _ in DISCHARGES])
     p = RecruitmentParameters(band_lower=-300.0, band_upper=450.0)
     return rounded(recruitment.crop_area(d.layer(), packed, modelled, d.flow, YEAR, p).drop("w"))
 

@@ -45,6 +45,12 @@ def label_diagonal(d: Data):
     return regions.label_regions(d.layer().filter("v > 60"), d.grid, 8)
 
 
+@query("label_regions_small_tiles", rsql("cells_v", ctes=WET + region_sql("wet_v"), body="select r, c, cast(label as bigint) label from lab_v"))
+def label_small_tiles(d: Data):
+    """Many tiles and no one-task finish: all merging happens by contraction."""
+    return regions.label_regions(d.layer().filter(F.col("v") > LIMIT), d.grid, tile=16, one_task_edges=0)
+
+
 @query(
     "region_sizes",
     rsql("cells_v", ctes=WET + region_sql("wet_v"), body="select cast(label as bigint) label, count(*) cells from lab_v group by 1"),
@@ -171,15 +177,15 @@ def pools_query(d: Data):
     "travel_rule",
     sql(
         "hydraulics_v",
-        body="select q, r, c, ux >= -1.5 east, (ux - uy) / sqrt(2) >= -1.5 south_east, -uy >= -1.5 south, (-ux + uy) / sqrt(2) >= -1.5 north_west from hydraulics_v",
+        body="""select q, r, c, ux >= -1.5 east, (ux - uy) / sqrt(2) >= -1.5 south_east, -uy >= -1.5 south, (-ux - uy) / sqrt(2) >= -1.5 south_west,
+          -ux >= -1.5 west, (-ux + uy) / sqrt(2) >= -1.5 north_west, uy >= -1.5 north, (ux + uy) / sqrt(2) >= -1.5 north_east from hydraulics_v""",
     ),
 )
 def rule_query(d: Data):
     g = Grid(1, 1)
     rule = routes.travel_rule(g, 1.5)
-    return d.hydraulics.select(
-        "q", "r", "c", rule(0, 1).alias("east"), rule(1, 1).alias("south_east"), rule(1, 0).alias("south"), rule(-1, -1).alias("north_west")
-    )
+    names = {(0, 1): "east", (1, 1): "south_east", (1, 0): "south", (1, -1): "south_west", (0, -1): "west", (-1, -1): "north_west", (-1, 0): "north", (-1, 1): "north_east"}
+    return d.hydraulics.select("q", "r", "c", *[rule(*step).alias(name) for step, name in names.items()])
 
 
 @query("least_cost_distance")

@@ -94,7 +94,7 @@ def layer_for(d: Data):
     return definitions.layer_for(d.view("catalog_v"), "h", 13.2)
 
 
-KEY_CASE = " ".join(f"when contains(k, '{text}') then '{name}'" for text, name in sorted(K.table_rows(K.DEFINITION_KEYS), key=lambda row: -len(row[0])))
+KEY_CASE = " ".join(f"when contains(k, '{text}') then '{name}'" for text, name in sorted(K.DEFINITION_KEYS, key=lambda row: -len(row[0])))
 PARSED = f"""
   p1_v as (select condition, line_no, trim(split_part(line, '#', 1)) b from lines_v),
   p2_v as (select condition, line_no, lower(trim(split_part(b, '=', 1))) k, trim(substr(b, instr(b, '=') + 1)) raw from p1_v where instr(b, '=') > 0),

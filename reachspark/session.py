@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -87,6 +88,8 @@ def _literal(value) -> str:
         return "true" if value else "false"
     if isinstance(value, (list, tuple)):
         return "array(" + ", ".join(_literal(v) for v in value) + ")"
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"double('{value}')"
     if isinstance(value, (int, float)):
         return repr(value)
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"

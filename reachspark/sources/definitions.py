@@ -32,7 +32,7 @@ def parse_definitions(lines: DataFrame) -> DataFrame:
     keyed = lines.withColumn("_b", body).filter(cut_at > 0)
     keyed = keyed.withColumn("_k", F.lower(F.trim(F.substring_index("_b", "=", 1))))
     raw = F.trim(F.expr("substring(_b, instr(_b, '=') + 1)"))
-    known = sorted(K.table_rows(K.DEFINITION_KEYS), key=lambda row: -len(row[0]))
+    known = sorted(K.DEFINITION_KEYS, key=lambda row: -len(row[0]))
     texts = F.array(*[F.lit(text) for text, _ in known])
     names = F.create_map(*[F.lit(part) for row in known for part in row])
     # One lookup instead of a CASE chain: filters pushed to this column stay small.

@@ -50,28 +50,100 @@ class Feature:
     design_mapping: bool = False
 
 
+# The default features and their thresholds, U.S. customary units.
+DEFAULT_FEATURES = (
+    Feature(
+        "backwt", "Backwater", "Terraforming", 0,
+        tau_cr=0.047,
+        u_max=0.1,
+        scour_rate=0.3,
+        fill_rate=0.3,
+        design_frequency=5.0,
+        mu_relevant=("agriplain", "backswamp", "mining pit", "pond", "slackwater"),
+        mu_method=1,
+        design_mapping=True,
+    ),
+    Feature(
+        "widen", "Widen", "Terraforming", 1,
+        det_min=17.0,
+        det_max=25.0,
+        mu_relevant=("bank", "floodplain", "high floodplain", "island-floodplain", "island high floodplain", "in-channel bar", "lateral bar", "levee", "spur dike", "terrace"),
+        mu_method=1,
+        lifespan_mapping=False,
+        design_mapping=True,
+    ),
+    Feature(
+        "grade", "Grading", "Terraforming", 2,
+        tau_cr=0.047,
+        d2w_min=7.0,
+        d2w_max=12.0,
+        scour_rate=0.3,
+        inverse_tcd=True,
+        mu_avoid=("bedrock", "hillside"),
+    ),
+    Feature(
+        "sideca", "Side cavities", "Terraforming", 3,
+        fill_rate=1.0,
+        inverse_tcd=True,
+        mu_relevant=("bank", "cutbank", "in-channel bar", "lateral bar", "spur dike", "tailings"),
+        mu_method=1,
+        lifespan_mapping=False,
+        design_mapping=True,
+    ),
+    Feature("sidech", "Side channels", "Terraforming", 4, tau_cr=0.047, fill_rate=1.0, inverse_tcd=True),
+    Feature("Generic", "Generic planting", "Vegetation plantings", 5, tau_cr=0.06),
+    Feature("box", "Box Elder", "Vegetation plantings", 6, tau_cr=0.06, h_max=1.0, d2w_min=1.0, d2w_max=7.0),
+    Feature("cot", "Cottonwood", "Vegetation plantings", 7, h_max=2.1, u_max=3.0, d2w_min=1.0, d2w_max=7.0),
+    Feature("whi", "White Alder", "Vegetation plantings", 8, tau_cr=0.06, d2w_min=1.0, d2w_max=7.0),
+    Feature("wil", "Willow", "Vegetation plantings", 9, tau_cr=0.1, h_max=2.1, d2w_min=1.0, d2w_max=7.0),
+    Feature("Generic_est", "Generic (established)", "Established vegetation", 10, tau_cr=0.06),
+    Feature("Box_est", "Box Elder (established)", "Established vegetation", 11, tau_cr=0.06, h_max=1.0, d2w_min=1.0, d2w_max=7.0),
+    Feature("cot_est", "Cottonwood (established)", "Established vegetation", 12, h_max=2.1, u_max=3.0, d2w_min=1.0, d2w_max=7.0),
+    Feature("Whi_est", "White Alder (established)", "Established vegetation", 13, tau_cr=0.06, d2w_min=1.0, d2w_max=7.0),
+    Feature("Wil_est", "Willow (established)", "Established vegetation", 14, tau_cr=0.1, h_max=2.1, d2w_min=1.0, d2w_max=7.0),
+    Feature("wood", "Streamwood", "Nature-based engineering", 15, h_max=3.34, froude_max=1.0, design_frequency=10.0, design_mapping=True),
+    Feature(
+        "rocks", "Angular boulders", "Nature-based engineering", 16,
+        tau_cr=0.047,
+        safety_factor=1.3,
+        scour_rate=3.0,
+        design_frequency=20.0,
+        design_mapping=True,
+    ),
+    Feature("bio", "Other nature-based eng.", "Nature-based engineering", 17, d2w_max=12.0, terrain_slope=0.2, design_mapping=True),
+    Feature(
+        "gravin", "Gravel: In", "Connectivity", 18,
+        tau_cr=0.047,
+        design_frequency=10.0,
+        mu_relevant=("chute", "fast glide", "flood runner", "bedrock", "in-channel bar", "lateral bar", "medial bar", "pool", "riffle", "riffle transition", "run", "slackwater", "slow glide", "swale", "tailings"),
+        mu_method=1,
+        design_mapping=True,
+    ),
+    Feature(
+        "gravou", "Gravel: Out", "Connectivity", 19,
+        tau_cr=0.047,
+        scour_rate=3.0,
+        design_frequency=1.0,
+        mu_relevant=("agriplain", "backswamp", "bank", "cutbank", "flood runner", "floodplain", "high floodplain", "hillside", "island high floodplain", "island-floodplain", "in-channel bar", "lateral bar", "levee", "medial bar", "mining pit", "point bar", "pond", "spur dike", "tailings", "terrace"),
+        mu_method=1,
+        design_mapping=True,
+    ),
+    Feature(
+        "fines", "Incorporation of fine sediment", "Connectivity", 20,
+        tau_cr=0.03,
+        d2w_min=1.0,
+        d2w_max=10.0,
+        grain_max=0.0066667,
+        scour_rate=3.0,
+        fill_rate=3.36,
+        design_mapping=True,
+    ),
+)
+
+
 def default_features() -> dict[str, Feature]:
     """The built-in features by id, in definition order."""
-    out: dict[str, Feature] = {}
-    group = ""
-    for line in K.FEATURE_TABLE.strip().splitlines():
-        if line.startswith("["):
-            group = line.strip("[] ")
-            continue
-        fid, name, rest = (part.strip() for part in line.split("|"))
-        given: dict = {}
-        for pair in rest.split(";"):
-            key, text = (part.strip() for part in pair.split("="))
-            if key in ("mu_avoid", "mu_relevant"):
-                given[key] = tuple(item.strip() for item in text.split(","))
-            elif key == "mu_method":
-                given[key] = int(text)
-            elif key in ("inverse_tcd", "lifespan_mapping", "design_mapping"):
-                given[key] = text == "1"
-            else:
-                given[key] = float(text)
-        out[fid] = Feature(fid, name, group, len(out), **given)
-    return out
+    return {f.fid: f for f in DEFAULT_FEATURES}
 
 
 def features_table(spark: SparkSession, features: Iterable[Feature] | None = None) -> DataFrame:
@@ -224,7 +296,7 @@ def recruitment_defaults(table: DataFrame) -> DataFrame:
 def unit_codes(mu: DataFrame) -> DataFrame:
     """Morphological unit names with codes; each known alias is added unless the table has it."""
     own = mu.select(F.lower("name").alias("name"), "code")
-    aliases = values_table(mu.sparkSession, K.table_rows(K.UNIT_ALIASES), "alias string, name string")
+    aliases = values_table(mu.sparkSession, K.UNIT_ALIASES, "alias string, name string")
     extra = aliases.join(own, "name").select(F.col("alias").alias("name"), "code").join(own.select("name"), "name", "left_anti")
     return own.unionByName(extra)
 

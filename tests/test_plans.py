@@ -338,12 +338,13 @@ def test_pool_riffle_design(table):
         channels.design_pool_riffle(reaches.withColumn("d50", F.lit(0.0))).collect()
 
 
-def test_both_depth_solvers_agree():
+def test_depth_and_width_solvers():
     rng = np.random.default_rng(2)
     b, m, n, s, h = (rng.uniform(*x, 200) for x in ((0.01, 40), (0.5, 4), (0.02, 0.08), (1e-4, 0.05), (0.01, 9)))
     q = channel.manning_q(h, m, n, b, s)
     assert np.allclose(channel.normal_depths(q, m, n, b, s), h)
-    assert np.allclose(channel.invert_increasing(lambda x: channel.manning_q(x, m, n, b, s), q, np.maximum(b, 1)), h, atol=1e-7)
+    assert np.allclose(channel.base_widths(q, h, m, n, s), b, atol=1e-7)
+    assert np.isnan(channel.base_widths(np.array([1e-6]), 1.0, 1.0, 0.03, 0.01)).all()
 
 
 def test_features_and_grouping(spark, table):
@@ -396,3 +397,15 @@ def test_scratch_folder_is_local_only_here(spark, table):
     kept = session.cut(table([(1,)], "a int"))
     assert kept.collect()[0][0] == 1
     assert session.scratch_dir(spark) == session.scratch_dir(spark)
+
+
+def test_missing_surface_is_dry(spark, table):
+    wle = table([(0, 0, 1.0, 5.0), (0, 0, 2.0, 6.0), (0, 1, 2.0, 6.5)], "r int, c int, q double, wle double")
+    for known in (None, [1.0, 2.0]):
+        packed, modelled = recruitment.surfaces(wle, known)
+        assert modelled == [1.0, 2.0]
+        assert {(x["r"], x["c"]): x["w"] for x in packed.collect()} == {(0, 0): [5.0, 6.0], (0, 1): [None, 6.5]}
+
+
+def test_literals_keep_infinity(spark, table):
+    assert [x["v"] for x in table([(float("inf"),), (float("-inf"),)], "v double").collect()] == [float("inf"), float("-inf")]
