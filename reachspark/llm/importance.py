@@ -140,7 +140,8 @@ def gumbel_top_k(weighed: DataFrame, k: int, temperature: float, seed: int = 0)
     inside = F.greatest(F.least(F.col("key"), F.lit(_RANGE)), F.lit(-_RANGE))
     rows = rows.withColumn("rank", F.floor((F.lit(_RANGE) - inside) * _SCALE).cast("long"))
     spark = weighed.sparkSession
-    sizes = rows.select(F.lit("all").alias("source"), F.col("rank").alias("h"), F.lit(1).cast("long").alias("size"))
+    one_group = F.when(F.col("rank").isNotNull(), "all")
+    sizes = rows.select(one_group.alias("source"), F.col("rank").alias("h"), F.lit(1).cast("long").alias("size"))
     wanted = spark.range(1).select(F.lit("all").alias("source"), F.lit(float(k)).alias("wanted"))
     found = thresholds(sizes, wanted).first()
     limit = found["threshold"] if found else 0
