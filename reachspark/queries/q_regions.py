@@ -188,20 +188,59 @@ def rule_query(d: Data):
     return d.hydraulics.select("q", "r", "c", *[rule(*step).alias(name) for step, name in names.items()])
 
 
-@query("least_cost_distance")
+MOVES = "(values (0,1,ux),(1,0,-uy),(0,-1,-ux),(-1,0,uy)) s(i,j,along)"
+COSTS = """pass_v as (select r, c from cells_v where z > 30),
+  step_v as (select p.r r1, p.c c1, n.r r2, n.c c2, sqrt(abs(i) + abs(j)) w from pass_v p, (values (0,1),(1,0),(0,-1),(-1,0),(1,1),(1,-1),(-1,-1),(-1,1)) s(i,j)
+    join pass_v n on n.r = p.r + i and n.c = p.c + j),
+  way_v(r, c, cost) using key (r, c) as (select r, c, 0.0::double from cells_v where z > 99
+    union select s.r2, s.c2, min(w.cost + s.w) from way_v w join step_v s on s.r1 = w.r and s.c1 = w.c left join recurring.way_v o on o.r = s.r2 and o.c = s.c2
+      where o.cost is null or w.cost + s.w < o.cost - 1e-9 group by s.r2, s.c2)"""
+
+
+@query("least_cost_distance", rsql("cells_v", ctes=COSTS, body="select r, c, round(cost, 6) cost from way_v"))
 def least_cost(d: Data):
     cells = d.layer()
     return rounded(routes.least_cost_distance(cells.filter("v > 30"), cells.filter("v > 99"), d.grid))
 
 
-@query("escape_routes")
+@query("least_cost_distance_small_tiles", rsql("cells_v", ctes=COSTS, body="select r, c, round(cost, 6) cost from way_v"))
+def least_cost_small_tiles(d: Data):
+    """Most routes cross tile borders."""
+    cells = d.layer()
+    return rounded(routes.least_cost_distance(cells.filter("v > 30"), cells.filter("v > 99"), d.grid, tile=16))
+
+
+# A cell steps towards the channel if the current along that step is not stronger against it than allowed.
+ESCAPE = (
+    STRAND
+    + f""", flow_at as (select h.q, h.r, h.c, h.ux, h.uy from hydraulics_v h join wq_v using (q, r, c)),
+  back_v as (select f.q, f.r r1, f.c c1, f.r + i r2, f.c + j c2 from flow_at f, lateral (select * from {MOVES}) where along >= -2.5),
+  way_v(q, r, c, cost) using key (q, r, c) as (select q, r, c, 0.0::double from lab_v where (r, c) in (select (r, c) from main_v)
+    union select b.q, b.r1, b.c1, min(w.cost + 1) from way_v w join back_v b on b.q = w.q and b.r2 = w.r and b.c2 = w.c left join recurring.way_v o on o.q = b.q and o.r = b.r1 and o.c = b.c1
+      where o.cost is null or w.cost + 1 < o.cost - 1e-9 group by b.q, b.r1, b.c1)"""
+)
+
+
+@query("escape_routes", rsql("hydraulics_v", ctes=ESCAPE, body="select q, r, c, round(cost, 6) cost from way_v"))
 def escape(d: Data):
     flow = d.hydraulics
     labelled = cut(regions.label_regions(stranding.wetted(flow, H_MIN), d.grid, keys=["q"]))
     return rounded(stranding.escape_routes(flow, labelled, d.grid, cut(stranding.main_channel(labelled)), 2.5))
 
 
-@query("stranding_velocity")
+@query(
+    "stranding_velocity",
+    rsql(
+        "hydraulics_v",
+        ctes=ESCAPE
+        + """, cut_v as (select l.q, l.r, l.c from lab_v l left join way_v w on w.q = l.q and w.r = l.r and w.c = l.c where w.q is null), """
+        + region_sql("cut_v", keys="q", name="pool_v")
+        + """, vel_v as (select h.q, coalesce(w, 0.0) wetted_area, coalesce(s, 0.0) stranded_area, coalesce(p, 0) pools from (select distinct q from hydraulics_v) h
+    left join (select q, count(*) * 1.0 w from lab_v group by 1) using (q) left join (select q, count(*) * 1.0 s, count(distinct label) p from pool_v group by 1) using (q))""",
+        body="""select q, cast(wetted_area as double) wetted_area, cast(stranded_area as double) stranded_area, pools, round(case when wetted_area > 0 then stranded_area / wetted_area * 100 else 0 end, 6) percent_stranded,
+          round(stranded_area / (select max(wetted_area) from vel_v) * 100, 6) percent_of_max_wetted from vel_v""",
+    ),
+)
 def strand_velocity(d: Data):
     return rounded(stranding.stranding(d.hydraulics, d.grid, H_MIN, u_max=2.5).per_discharge)
 
