@@ -17,6 +17,7 @@ from ..grid import Grid
 from ..session import cut, spread
 from .align import _span
 from .regions import label_regions
+from .stencil import neighbours
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
@@ -85,23 +86,24 @@ def extract_by_mask(cells: DataFrame, vertices: DataFrame, grid: Grid, crop: boo
 def boundary_sides(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Cell sides that separate a region from anything else, directed clockwise.
 
-    ``r1, c1, r2, c2`` are grid corners, ``side`` is 0 top, 1 right, 2 bottom, 3 left. A side
-    seen twice by the same region is inside it.
+    ``r1, c1, r2, c2`` are grid corners, ``side`` is 0 top, 1 right, 2 bottom, 3 left; a side
+    lies between a cell and a neighbour that is absent or of another region.
     """
-    at = lambda dr, dc: (F.col("r") + dr, F.col("c") + dc)
-    turns = [(0, at(0, 0), at(0, 1)), (1, at(0, 1), at(1, 1)), (2, at(1, 1), at(1, 0)), (3, at(1, 0), at(0, 0))]
+    around = neighbours(labelled.select(*keys, "r", "c", "label"), "label", keys)
+    beyond = ("_up", "_right", "_down", "_left")
+    turns = ((0, 0, 0, 1), (0, 1, 1, 1), (1, 1, 1, 0), (1, 0, 0, 0))
     sides = F.array(
         *[
-            F.struct(F.lit(i).alias("side"), a[0].alias("r1"), a[1].alias("c1"), b[0].alias("r2"), b[1].alias("c2"))
-            for i, a, b in turns
+            F.when(
+                ~F.col(there).eqNullSafe(F.col("label")),
+                F.struct(
+                    F.lit(i).alias("side"), (F.col("r") + a).alias("r1"), (F.col("c") + b).alias("c1"), (F.col("r") + d).alias("r2"), (F.col("c") + e).alias("c2")
+                ),
+            )
+            for i, (there, (a, b, d, e)) in enumerate(zip(beyond, turns))
         ]
     )
-    rows = labelled.select(*keys, "label", F.explode(sides).alias("s")).select(*keys, "label", "s.*")
-    place = [F.least("r1", "r2").alias("ra"), F.least("c1", "c2").alias("ca"), (F.col("side") % 2).alias("axis")]
-    seen = rows.groupBy(*keys, "label", *place).agg(
-        F.count(F.lit(1)).alias("n"), F.first(F.struct("side", "r1", "c1", "r2", "c2")).alias("s")
-    )
-    return seen.filter("n = 1").select(*keys, "label", "s.*")
+    return around.select(*keys, "label", F.explode(F.array_compact(sides)).alias("s")).select(*keys, "label", "s.*")
 
 
 def polygonize(cells: DataFrame, grid: Grid, value: str = "v", connectivity: int = 4, keys: Sequence[str] = (), labelled: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Neighbourhood operators.
 
-A neighbourhood is gathered by scattering: every cell is sent to the cells that look at it,
-then one aggregation per target cell collects what arrived. That is one shuffle with map-side
-combining on cell keys, so no group is larger than the stencil, whatever the grid.
+The four neighbours of a cell come from tiles with a rim of one cell. Larger windows are scattered:
+every cell is sent to the cells that look at it, then one aggregation per target cell, combined
+before the shuffle, collects what arrived. No group is larger than a tile or the stencil.
 """
 
 from __future__ import annotations
@@ -10,35 +10,42 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
 from .nearest import nearest_source
 
 
-def gather(cells: DataFrame, offsets: dict[str, tuple[int, int]], value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
-    """Add one column per named offset (dr, dc) holding the value found there, NULL if absent.
+def neighbours(cells: DataFrame, value: str = "v", keys: Sequence[str] = (), tile: int = 64) -> DataFrame:
+    """Add ``_up, _down, _left, _right``: the value of each of the four neighbours, NULL if absent.
 
-    Only cells present in the input are returned.
+    Every cell goes to its tile once, cells on a tile's rim also to the tile beyond (3 % of all at
+    128 cells, 6 % at 64). Inside a tile two sorts bring row and column neighbours next to each other, so
+    one shuffle of about the table's size serves both directions.
     """
-    slots = [("_self", (0, 0)), *offsets.items()]
-    sent = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("slot"),
-                (F.col("r") - dr).alias("r"),
-                (F.col("c") - dc).alias("c"),
-                F.col(value).alias("v"),
-            )
-            for i, (_, (dr, dc)) in enumerate(slots)
-        ]
+    tr, tc = F.floor(F.col("r") / tile), F.floor(F.col("c") / tile)
+    row, column = F.pmod(F.col("r"), F.lit(tile)), F.pmod(F.col("c"), F.lit(tile))
+
+    def place(dr: int, dc: int) -> Column:
+        return F.struct((tr + dr).alias("tr"), (tc + dc).alias("tc"), F.lit(dr == 0 and dc == 0).alias("own"))
+
+    last = tile - 1
+    places = F.array(
+        place(0, 0), F.when(row == 0, place(-1, 0)), F.when(row == last, place(1, 0)), F.when(column == 0, place(0, -1)), F.when(column == last, place(0, 1))
     )
-    rows = cells.select(*keys, F.explode(sent).alias("s")).select(*keys, "s.*")
-    picked = [F.max(F.when(F.col("slot") == i, F.col("v"))).alias(name) for i, (name, _) in enumerate(slots)]
-    present = F.max(F.when(F.col("slot") == 0, True)).alias("_present")
-    out = rows.groupBy(*keys, "r", "c").agg(*picked, present)
-    return out.filter("_present").drop("_present").withColumnRenamed("_self", value)
+    rows = cells.withColumn("_p", F.explode(F.array_compact(places)))
+    rows = rows.withColumns({"_tr": F.col("_p.tr"), "_tc": F.col("_p.tc"), "_own": F.col("_p.own")}).drop("_p")
+    inside = Window.partitionBy(*keys, "_tr", "_tc")
+
+    def beside(line: str, along: str, step: int) -> Column:
+        order = inside.orderBy(line, along)
+        met = (F.lag(line, step).over(order) == F.col(line)) & (F.lag(along, step).over(order) == F.col(along) - step)
+        return F.when(met, F.lag(value, step).over(order))
+
+    rows = rows.withColumns({"_left": beside("r", "c", 1), "_right": beside("r", "c", -1)})
+    rows = rows.withColumns({"_up": beside("c", "r", 1), "_down": beside("c", "r", -1)})
+    return rows.filter("_own").drop("_tr", "_tc", "_own")
 
 
 def gradients(dem: DataFrame, grid: Grid, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +55,7 @@ def gradients(dem: DataFrame, grid: Grid, value: str = "v", keys: Sequence[str]
     ``gy`` points down the rows.
     """
     dem = dem.filter(F.col(value).isNotNull())
-    around = gather(dem, {"_up": (-1, 0), "_down": (1, 0), "_left": (0, -1), "_right": (0, 1)}, value, keys)
+    around = neighbours(dem.select(*keys, "r", "c", value), value, keys)
     mean = dem.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     around = around.join(mean, list(keys)) if keys else around.withColumn("_mean", mean.scalar())
     v, fill = F.col(value), F.col("_mean")

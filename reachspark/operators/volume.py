@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
+from .stencil import neighbours
 
 
 def corners(cells: DataFrame, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
@@ -27,16 +28,18 @@ def corners(cells: DataFrame, value: str = "v", keys: Sequence[str] = ()) -> Dat
     return rows.groupBy(*keys, F.col("s.r").alias("r"), F.col("s.c").alias("c")).agg(*picks)
 
 
-def triangles(quads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Two triangles per quad, split from upper right to lower left.
+def triangles(cells: DataFrame, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
+    """The triangles of the surface, two per quad, split from upper right to lower left.
 
     ``a`` is the corner where the legs meet, ``b`` its neighbour along the row, ``d`` along
-    the column. Triangles with a missing corner are dropped.
+    the column: right and down for the first triangle of a quad, left and up for the second.
+    Triangles with a missing corner are dropped.
     """
-    tri = lambda k, a, b, d: F.struct(F.lit(k).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
-    both = F.array(tri(0, "ul", "ur", "ll"), tri(1, "lr", "ll", "ur"))
-    flat = quads.select(*keys, F.explode(both).alias("t")).select(*keys, "t.*")
-    return flat.filter("a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL")
+    around = neighbours(cells.filter(F.col(value).isNotNull()).select(*keys, "r", "c", value), value, keys)
+    tri = lambda k, b, d: F.struct(F.lit(k).alias("k"), F.col(value).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
+    both = F.array(tri(0, "_right", "_down"), tri(1, "_left", "_up"))
+    flat = around.select(*keys, F.explode(both).alias("t")).select(*keys, "t.*")
+    return flat.filter("b IS NOT NULL AND d IS NOT NULL")
 
 
 def _above(h: list[Column], area: float) -> tuple[Column, Column]:
@@ -92,7 +95,7 @@ def volumes_both_sides(cells: DataFrame, grid: Grid, plane: float = 0.0, value:
     """
     dx, dy = abs(grid.dx), abs(grid.dy)
     area = 0.5 * dx * dy
-    tri = triangles(corners(cells, value, keys), keys)
+    tri = triangles(cells, value, keys)
     h = [F.col(n) - F.lit(float(plane)) for n in ("a", "b", "d")]
     gx, gy = F.col("b") - F.col("a"), F.col("d") - F.col("a")
     if legacy_draped:
