@@ -1,9 +1,10 @@
 """Exact nearest source cell by a separable distance transform.
 
-Pass 1 works on blocks of columns and finds, for every row, the nearest source of that column.
-Pass 2 works on blocks of rows and finds the best column. The best column moves monotonically
+Pass 1 works on strips of bounded height and width and finds, for every row, the nearest source of
+that column; the last source before a strip and the first one after it come from a window over
+one row per column and strip. Pass 2 works on blocks of rows and finds the best column. The best column moves monotonically
 with the target column, so each row is solved by divide and conquer in n log n. Groups are
-bounded by the grid's height and width; the amount of sources does not matter.
+bounded by ``block_cells`` and, in pass 2, by one row of the grid, whatever its height.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
@@ -27,7 +28,8 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
     """
     keys = list(keys)
     nrows, ncols = grid.nrows, grid.ncols
-    cols_per_block = max(1, min(ncols, block_cells // max(nrows, 1)))
+    width = max(1, min(ncols, 64))
+    strip = max(1, block_cells // width)
     rows_per_block = max(1, min(nrows, block_cells // max(ncols, 1)))
     dx, dy = abs(grid.dx), abs(grid.dy)
 
@@ -39,7 +41,8 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
 
     def by_column(key, pdf):
         parts = []
-        rows = np.arange(nrows)
+        first_row = int(key[-1]) * strip
+        rows = np.arange(first_row, min(first_row + strip, nrows))
         for col, sub in pdf.groupby("c", sort=True):
             sub = sub.sort_values("r")
             sr, sv = sub["r"].to_numpy(), sub["v"].to_numpy()
@@ -53,10 +56,21 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
             out.insert(i, k, key[i])
         return out.astype({"r": "int32", "c": "int32", "src_r": "int32"})
 
+    # what a strip needs from the others: per column the last source before it and the first after
+    placed = src.withColumn("_s", F.floor(F.col("r") / strip))
+    here = F.struct("r", "v")
+    ends = placed.groupBy(*keys, "c", "_s").agg(F.min(here).alias("_first"), F.max(here).alias("_last"))
+    strips = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((nrows - 1) // strip).cast("long")))
+    every = src.select(*keys, "c").distinct().withColumn("_s", strips).join(ends, [*keys, "c", "_s"], "left")
+    along = Window.partitionBy(*keys, "c").orderBy("_s")
+    before = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    beyond = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    carried = every.withColumns({"_p": before, "_n": beyond})
+    carried = carried.select(*keys, "c", "_s", F.explode(F.array_compact(F.array("_p", "_n"))).alias("_e"))
+    carried = carried.select(*keys, F.col("_e.r").alias("r"), "c", F.col("_e.v").alias("v"), "_s")
+    pieces = placed.unionByName(carried).withColumn("_b", F.floor(F.col("c") / width))
     columns = (
-        spread(src.withColumn("_b", F.floor(F.col("c") / cols_per_block)), *keys, "_b")
-        .groupBy(*keys, "_b")
-        .applyInPandas(by_column, f"{key_ddl}r int, c int, src_r int, v double")
+        spread(pieces, *keys, "_b", "_s").groupBy(*keys, "_b", "_s").applyInPandas(by_column, f"{key_ddl}r int, c int, src_r int, v double")
     )
 
     def by_row(key, left, right):
