@@ -286,7 +286,19 @@ def water(d: Data):
     return rounded(preparation.water_surface(d.layer(), thalweg_flow(d), d.grid, step=2))
 
 
-@query("water_surfaces_all_discharges")
+# Nearest source per column first, then the best of the 128 columns.
+COLUMNS = """
+  all_v as (select q, h.r, h.c, k.z + h.h v from hydraulics_v h join cells_v k using (r, c) where h.h > 0),
+  pos_v as (select q, e.r, e.c, a.r sr, a.v from (select distinct q from hydraulics_v) cross join ev_v e left join all_v a using (q, r, c)),
+  col_v as (select q, r, c, last_value(case when sr is not null then struct_pack(sr := sr, v := v) end ignore nulls) over w up,
+    first_value(case when sr is not null then struct_pack(sr := sr, v := v) end ignore nulls) over (partition by q, c order by r rows between current row and unbounded following) dn
+    from pos_v window w as (partition by q, c order by r rows between unbounded preceding and current row)),
+  one_v as (select q, r, c, case when dn is null or r - up.sr <= dn.sr - r then up else dn end s from col_v where up is not null or dn is not null),
+  win_v as (select t.q, t.r, t.c, min(struct_pack(d2 := (t.r - o.s.sr) * (t.r - o.s.sr) + (t.c - o.c) * (t.c - o.c), sr := o.s.sr, sc := o.c, v := o.s.v)).v v
+    from one_v o join pos_v t on t.q = o.q and t.r = o.r group by 1, 2, 3)"""
+
+
+@query("water_surfaces_all_discharges", sql("cells_v", "hydraulics_v", ctes=EVERY + COLUMNS, body="select q, r, c, round(v, 6) v from win_v"))
 def waters(d: Data):
     return rounded(preparation.water_surface(d.layer(), d.hydraulics, d.grid, keys=["q"]))
 

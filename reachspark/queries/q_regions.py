@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
@@ -110,6 +111,22 @@ def outlines_query(d: Data):
     return polygons.outlines(cut(label_query(d)), d.grid)
 
 
+@query(
+    "outline_areas",
+    rsql("cells_v", ctes=WET + region_sql("wet_v"), body="select cast(label as bigint) label, true closed, cast(count(*) as double) area from lab_v group by 1"),
+)
+def outline_areas(d: Data):
+    """Every ring is closed, and the rings of a region enclose the area of its cells."""
+    rings = outlines_query(d)
+    along = Window.partitionBy("label", "ring").orderBy("seq")
+    turn = F.col("x") * F.lead("y").over(along) - F.lead("x").over(along) * F.col("y")
+    per_ring = rings.withColumn("turn", turn).groupBy("label", "ring").agg(
+        F.sum("turn").alias("turn"),
+        (F.min_by(F.struct("x", "y"), "seq") == F.max_by(F.struct("x", "y"), "seq")).alias("closed"),
+    )
+    return per_ring.groupBy("label").agg(F.bool_and("closed").alias("closed"), (F.abs(F.sum("turn")) / 2.0).alias("area"))
+
+
 H_MIN = 4.6
 STRAND = (
     f"wq_v as (select q, r, c from hydraulics_v where h > {H_MIN}),"
