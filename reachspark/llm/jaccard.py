@@ -117,10 +117,12 @@ def _signature_rows(k: int, num: int, den: int):
                 if not len(values) or (node := set_key(values)) in seen:
                     continue
                 seen.add(node)
-                for key, band, kind in signatures(values, bands):
+                signed = list(signatures(values, bands))
+                whole = sum(int(np.count_nonzero(kind & 3 != 2)) for _, _, kind in signed)
+                for key, band, kind in signed:
                     keys.append(key)
                     nodes.append(np.full(len(key), node, np.int64))
-                    metas.append((len(values) << 24) + (band << 16) + kind)
+                    metas.append((whole << 24) + (band << 16) + kind)
             if keys:
                 columns = [np.concatenate(x) for x in (keys, nodes, metas)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "meta"])
@@ -176,7 +178,37 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(k, num, den), "a long, b long")
 
-    linked = cut(link_components(members, verify))
+    def across(parted: DataFrame) -> DataFrame:
+        """Pairs between components that can still link, found in how they differ from their hub.
+
+        Let x lack ``gone`` shingles of the hub and have ``fresh`` ones beyond it. If x and y share no
+        fresh shingle they differ in all fresh ones and in at least the difference of their gone
+        ones. If they share no gone one either, their distance is the sum of their distances to
+        the hub; if they link, so does each with the hub, at a smaller distance, and nothing is lost.
+        """
+        led = parted.where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
+        led = cut(led.agg(F.max("probe").alias("probe")))
+        second = led.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        schema = "hub long, node long, n long, gone long, fresh long, is_new boolean, shingle long"
+        rows = both.select("a", "b", "text_a", "text_b").mapInArrow(_differences(k, num, den), schema)
+        rows = cut(rows.join(led.toDF("hub", "node", "component", "probe"), ["hub", "node"]))
+        x, y = rows.alias("x"), rows.alias("y")
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("hub", "is_new", "shingle")]
+        most = F.floor((F.col("x.n") + F.col("y.n")) * (den - num) / (den + num))
+        apart = F.abs(F.col("x.gone") - F.col("y.gone")) + F.col("x.fresh") + F.col("y.fresh")
+        alike = F.greatest(F.abs(F.col("x.gone") - F.col("y.gone")), F.abs(F.col("x.fresh") - F.col("y.fresh")))
+        found = x.join(
+            y,
+            same[0] & same[1] & same[2]
+            & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.probe") | F.col("y.probe"))
+            & F.when(F.col("x.is_new"), alike <= most).otherwise(apart <= most),
+        )
+        return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(led.select("a", "b"))
+
+    linked = cut(link_components(members, verify, across))
     least = linked.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "least")
     labels = reps.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("label"))
@@ -192,8 +224,40 @@ def _allocated(shared: DataFrame) -> DataFrame:
     cost = F.when(F.col("kind") == 1, 2).otherwise(1)
     longest_first = Window.partitionBy("node", "band").orderBy(F.desc("length"), "key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("probe", F.sum(cost).over(longest_first) > F.col("spare"))
-    rows = rows.withColumn("support", F.count("*").over(Window.partitionBy("node")))
-    return rows.select("key", "node", F.shiftright("meta", 24).alias("size"), "probe", (F.col("kind") < 2).alias("exact"), "support")
+    exact = F.col("kind") < 2
+    shared_here = F.sum(exact.cast("int")).over(Window.partitionBy("node"))
+    return rows.select("key", "node", (F.shiftright("meta", 24) - shared_here).alias("missing"), "probe", exact.alias("exact"))
+
+
+def _differences(k: int, num: int, den: int):
+    """Rows ``hub, node, n, gone, fresh, is_new, shingle``: how a set differs from its hub's.
+
+    Two sets that link differ in at most ``H`` shingles, so of the shingles that one lacks (or has
+    beyond its hub) the ``H + 1`` with the smallest fingerprints meet those of the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(pieces(iter([whole]), "text_a"), "text_b"):
+                rows: list[list[np.ndarray]] = [[] for _ in range(7)]
+                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for x, y, s, t in zip(a, b, shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
+                    if set_key(s) != x or set_key(t) != y:
+                        continue
+                    gone, fresh = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
+                    most = (len(t) + len(t) * den // num) * (den - num) // (den + num)
+                    for is_new, part in ((False, gone if len(fresh) <= most else gone[:0]), (True, fresh)):
+                        part = np.sort(mix(part).view(np.int64))[: most + 1]
+                        sizes = (x, y, len(t), len(gone), len(fresh), is_new)
+                        for column, value in zip(rows, sizes):
+                            column.append(np.full(len(part), value))
+                        rows[6].append(part)
+                if rows[0]:
+                    kinds = [np.int64] * 5 + [bool, np.int64]
+                    columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(rows, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["hub", "node", "n", "gone", "fresh", "is_new", "shingle"])
+
+    return run
 
 
 def one_per_component(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:

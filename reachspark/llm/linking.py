@@ -18,24 +18,47 @@ from reachspark.llm.graph import components
 from reachspark.session import cut
 
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_components(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    across: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``node, component`` of all nodes with a verified link.
 
-    ``members(key, node, size, probe, exact, support)`` has distinct nodes per key. A pair is a
+    ``members(key, node, missing, probe, exact)`` has distinct nodes per key; ``missing`` counts
+    the keys that a node shares with nobody, so the middle of a group has the least. A pair is a
     candidate if one of the two probes and one is exact. ``verify`` takes ``(a, b)`` pairs and
-    returns those that are linked. Buckets are combined before each shuffle and otherwise only
+    returns those that are linked. The second round asks ``across`` for the pairs to verify; it gets
+    the members of parted buckets with ``component`` and one ``hub`` per bucket, a central node of its group;
+    all pairs between components are the default. Buckets are combined before each shuffle and otherwise only
     joined, which adaptive execution may split; no bucket is gathered in a row.
     """
-    rank = F.struct("probe", "exact", "support", "node", "size")
-    leaders = members.groupBy("key").agg(F.max(rank).alias("l"), F.count("*").alias("n"))
-    joined = members.join(leaders, "key").where("node != l.node and (probe or l.probe) and (exact or l.exact)")
+    rank = F.struct("probe", "exact", (-F.col("missing")).alias("shared"), "node")
+    middle = F.struct((-F.col("missing")).alias("shared"), "node")
+    leaders = members.groupBy("key").agg(F.max(rank).alias("l"), F.max(middle).alias("m"), F.count("*").alias("n"))
+    led = members.join(leaders, "key")
+    joined = led.where("node != l.node and (probe or l.probe) and (exact or l.exact)")
     first = cut(joined.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct())
     near = cut(verify(first))
     labels = components(near)
 
-    now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    now = cut(now.join(parted.where("n > 2 and x != y").select("key"), "key", "left_semi"))
+    # a bucket without a node that probes, or without a whole segment, holds no candidates
+    now = led.where("n > 2 and l.probe and l.exact").drop("l", "n")
+    now = now.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    now = cut(now.join(parted, "key", "left_semi"))
+    # buckets off the middle of a group take over the hub that their own most central node has elsewhere
+    near_hubs = now.select(F.col("m.node").alias("node")).distinct()
+    best = led.join(near_hubs, "node").groupBy("node").agg(F.max("m")["node"].alias("hub"))
+    now = cut(now.withColumn("near_hub", F.col("m.node")).drop("m").join(best.withColumnRenamed("node", "near_hub"), "near_hub"))
+    pairs = (across or _all_across)(now)
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = cut(verify(pairs.join(tried, ["a", "b"], "left_anti")))
+    return components(near.unionByName(rest))
+
+
+def _all_across(now: DataFrame) -> DataFrame:
     left, right = now.alias("p"), now.alias("q")
     across = left.join(
         right,
@@ -45,10 +68,7 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         & (F.col("p.probe") | F.col("q.probe"))
         & (F.col("p.exact") | F.col("q.exact")),
     )
-    across = across.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(verify(across.join(tried, ["a", "b"], "left_anti")))
-    return components(near.unionByName(rest))
+    return across.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
 def small_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = 500_000) -> DataFrame:
