@@ -198,7 +198,10 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every stored document, from its stored ids."""
-    placed = files.join(starts(files), "part")
+    """``doc_id, start, n_tokens, ids_crc32`` of every stored document, from its stored ids.
+
+    The starts are broadcast: they are one row per file, as many as shuffle partitions.
+    """
+    placed = files.join(F.broadcast(starts(files)), "part")
     placed = placed.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "token_ids")
     return placed.mapInArrow(_checked, "doc_id long, start long, n_tokens long, ids_crc32 long")
