@@ -182,6 +182,34 @@ def test_fuzzy_lines(spark, empty):
         assert x["text"] == "\n".join(kept) and x["n_dropped"] == len(t.split("\n")) - len(kept)
     assert fuzzy_lines.dedup_lines(empty).count() == 0
 
+def changed_lines(seed, n_words, letters=0, words=0, n=40):
+    """Pairs of a line and a copy with changed letters or whole words, all of edit similarity 0.8 or more."""
+    r, out = random.Random(seed), []
+    while len(out) < n:
+        line = " ".join("".join(r.choice("abcdefghijklmnoprstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(n_words))
+        chars = list(line)
+        for at in r.sample([i for i, c in enumerate(chars) if c != " "], letters):
+            chars[at] = r.choice("0123456789")
+        parts = "".join(chars).split(" ")
+        for at in r.sample(range(n_words), words):
+            parts[at] = "".join(r.choice("abcdefghijklmnoprstuvwxyz") for _ in parts[at])
+        copy = " ".join(parts)
+        if 5 * edit_distance(line, copy) <= max(len(line), len(copy)):
+            out.append((line, copy))
+    return out
+
+
+def test_fuzzy_lines_find_short_and_medium_lines(spark):
+    kinds = [(5, 1, 0), (10, 1, 0), (10, 0, 1), (20, 1, 0), (20, 3, 0), (20, 0, 2), (30, 1, 0), (30, 0, 3), (50, 5, 0)]
+    pairs = [(kind, pair) for k, kind in enumerate(kinds) for pair in changed_lines(k, *kind)]
+    data = [(2 * i + j, line) for i, (_, pair) in enumerate(pairs) for j, line in enumerate(pair)]
+    dropped = {x["doc_id"] for x in fuzzy_lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect() if x["n_dropped"]}
+    assert not any(i % 2 == 0 for i in dropped)
+    found = Counter(kind for i, (kind, _) in enumerate(pairs) if 2 * i + 1 in dropped)
+    recall = {kind: found[kind] / 40 for kind in kinds}
+    print("recall by (words, changed letters, changed words):", recall)
+    assert min(recall.values()) >= 0.85 and sum(recall.values()) / len(recall) >= 0.95
+
 
 def test_simhash_counts_very_long_lines(spark):
     long = spark.createDataFrame([(1, "abc def ghi " * 23_000), (2, "abc def ghi")], "doc_id long, text string")
