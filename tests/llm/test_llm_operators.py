@@ -321,6 +321,20 @@ def test_refined_cuts_equal_flat_search(spark):
         assert np.searchsorted(keys, cuts).tolist() == sharding.greedy(sizes.tolist(), capacity)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.03, 0.1, 1 / 3])
+def test_hot_group_leaves_other_shards_balanced(spark, share):
+    r = random.Random(4)
+    texts = [f"{i} " + "x" * r.randint(100, 900) for i in range(6000)]
+    each = len(texts[0]) + 16
+    hot = int(sum(len(t) + 16 for t in texts) * share / (1 - share) / each)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:1] * hot)], "doc_id long, text string")
+    got = sharding.shard_documents(frame, 40, first_bits=4, next_bits=3).toPandas()
+    bytes_ = got.groupby("shard")["size"].sum().sort_values()
+    assert list(sorted(bytes_.index)) == list(range(40))
+    others = bytes_.iloc[:-1] if hot else bytes_
+    assert others.max() <= 1.25 * others.mean() and others.min() >= 0.75 * others.mean()
+
+
 def test_shards(spark, docs, rows, empty):
     frame = docs.withColumn("slot", F.lit("clash"))
     got = sharding.shard_documents(frame, 4).toPandas()
