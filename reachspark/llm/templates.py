@@ -2,10 +2,12 @@
 
 Numbers, names (capitalised words) and units after numbers become typed placeholders. Windows of
 the resulting template are hashed; a window with too few ordinary words is hashed on its literal words instead,
-so that a run of placeholders never matches by itself. Documents are probed against the windows
+so that a run of placeholders never matches by itself. Windows that ignore case, with placeholders for
+numbers and units only, find re-cased copies. Documents are probed against the windows
 of the benchmark. Hits on one item at one alignment are joined, and the values in the slots must
 map consistently from item to document: the same passage, or the same question with other
-numbers and names. Anything else is dropped.
+numbers and names. Windows that hold a slot in conflict are dropped, unless they lie in a long
+verbatim run. An item is found by the share that is covered or by one long run.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WINDOW = 8
 LITERALS = 4
 #: Share of an item's tokens that matched windows must cover.
 COVERAGE = 0.6
+#: Consecutive matched tokens that are enough; in shorter items half of the item, a window at least.
+RUN = 13
 #: Characters of benchmark text in one broadcast index.
 BLOCK_CHARS = 8_000_000
 
@@ -37,7 +41,7 @@ UNITS = frozenset(
 )
 NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(4)
 _KIND = np.uint64(7)
-_SALT = np.uint64(0xD6E8FEB86659FD93)
+_SALT, _FOLDED = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 class Codes(dict):
@@ -53,7 +57,7 @@ class Codes(dict):
         if len(self) >= self.most:
             self.clear()
         low = token.lower()
-        kind = NUMBER if token[0].isdigit() else NAME if token[0].isupper() else UNIT if low in UNITS else 0
+        kind = NUMBER if token[0].isdigit() else (NAME if token[0].isupper() else 0) | (UNIT if low in UNITS else 0)
         self[token] = code = (xxhash.xxh64_intdigest(low) & ~7) | int(kind)
         return code
 
@@ -64,19 +68,42 @@ class Template:
     def __init__(self, text: str | None, codes: Codes):
         self.tokens = TOKEN.findall(text or "")
         found = np.fromiter(map(codes.__getitem__, self.tokens), np.uint64, len(self.tokens))
-        kind = found & _KIND
         self.literal = found & ~_KIND
-        slot = (kind == NUMBER) | (kind == NAME)
-        slot[1:] |= (kind[1:] == UNIT) & (kind[:-1] == NUMBER)
-        self.codes = np.where(slot, kind, self.literal)
-
-    def windows(self, size: int) -> np.ndarray:
-        """Hashes of all windows of ``size`` tokens."""
+        number, name = (found & NUMBER) > 0, (found & NAME) > 0
+        unit = (found & UNIT) > 0
+        unit[:1] = False
+        unit[1:] &= number[:-1]
+        self.folded = np.where(number, NUMBER, np.where(unit, UNIT, self.literal))
+        self.codes = np.where(name, NAME, self.folded)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of ``size`` tokens, with names as placeholders and without regard to case."""
         if len(self.tokens) < size:
-            return np.zeros(0, np.uint64)
-        plain = np.concatenate(([0], np.cumsum(self.codes > UNIT)))
-        enough = plain[size:] - plain[:-size] >= min(LITERALS, size)
-        return np.where(enough, shingles(self.codes, size), mix(shingles(self.literal, size) ^ _SALT))
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        literal = mix(shingles(self.literal, size) ^ _SALT)
+
+        def hashes(codes: np.ndarray, salt: np.uint64) -> np.ndarray:
+            plain = np.concatenate(([0], np.cumsum(codes > UNIT)))
+            enough = plain[size:] - plain[:-size] >= min(LITERALS, size)
+            return np.where(enough, shingles(codes, size) ^ salt, literal)
+
+        return hashes(self.codes, np.uint64(0)), hashes(self.folded, _FOLDED)
+
+
+def _enough(item: Template) -> int:
+    """Length of a run that is enough for the item."""
+    return min(RUN, max(WINDOW, -(-len(item.tokens) // 2)))
+
+
+def _runs(positions: set[int]) -> list[list[int]]:
+    """Maximal runs of consecutive positions."""
+    runs: list[list[int]] = []
+    for q in sorted(positions):
+        if runs and runs[-1][-1] == q - 1:
+            runs[-1].append(q)
+        else:
+            runs.append([q])
+    return runs
 
 
 class Index:
@@ -92,46 +119,60 @@ class Index:
             if not size:
                 continue
             sizes.add(size)
-            for q, h in enumerate(item.windows(size).tolist()):
-                places[h].append((at, q))
+            for q, both in enumerate(zip(*map(np.ndarray.tolist, item.windows(size)), strict=True)):
+                for h in set(both):
+                    places[h].append((at, q))
         self.sizes, self.places = sorted(sizes), dict(places)
         self.keys = np.array(sorted(places), np.uint64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def hits(self, doc: Template) -> dict[tuple[int, int], set[int]]:
-        """Item positions covered per (item, alignment)."""
+        """Starts of the item's matched windows per (item, alignment)."""
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size in self.sizes:
-            hashes = doc.windows(size)
-            at = np.flatnonzero(self.seen[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            for p in at.tolist():
-                for item, q in self.places.get(int(hashes[p]), ()):
-                    if min(WINDOW, len(self.items[item][1].tokens)) == size:
-                        found[item, p - q].update(range(q, q + size))
+            for hashes in doc.windows(size):
+                at = np.flatnonzero(self.seen[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                for p in at.tolist():
+                    for item, q in self.places.get(int(hashes[p]), ()):
+                        if min(WINDOW, len(self.items[item][1].tokens)) == size:
+                            found[item, p - q].add(q)
         return found
 
+    @staticmethod
+    def _consistent(item: Template, doc: Template, shift: int, starts: set[int]) -> set[int]:
+        """Positions in windows without a slot in conflict, and in verbatim runs that are enough."""
+        size = min(WINDOW, len(item.tokens))
+        positions = {x for q in starts for x in range(q, q + size)}
+        images: dict[tuple[int, str], set[str]] = defaultdict(set)
+        keys = {q: (int(item.codes[q]), item.tokens[q].lower()) for q in positions if item.codes[q] <= UNIT}
+        for q, key in keys.items():
+            images[key].add(doc.tokens[q + shift].lower())
+        torn = {q for q, key in keys.items() if len(images[key]) > 1}
+        if not torn:
+            return positions
+        kept = {x for q in starts if torn.isdisjoint(range(q, q + size)) for x in range(q, q + size)}
+        equal = {q for q in positions if item.literal[q] == doc.literal[q + shift]}
+        return kept.union(*(run for run in _runs(equal) if len(run) >= _enough(item)))
+
     def leaks(self, doc: Template) -> Iterator[tuple]:
         """``item_id, n_tokens, covered, slots, changed`` of every item in the document."""
         covered: dict[int, set[int]] = defaultdict(set)
         slots: dict[int, int] = defaultdict(int)
         changed: dict[int, int] = defaultdict(int)
-        for (at, shift), positions in sorted(self.hits(doc).items()):
+        long: set[int] = set()
+        for (at, shift), starts in sorted(self.hits(doc).items()):
             item = self.items[at][1]
-            pairs = [
-                (int(item.codes[q]), item.tokens[q].lower(), doc.tokens[q + shift].lower())
-                for q in sorted(positions)
-                if item.codes[q] <= UNIT
-            ]
-            images: dict[tuple[int, str], str] = {}
-            if any(images.setdefault((kind, x), y) != y for kind, x, y in pairs):
-                continue
+            positions = self._consistent(item, doc, shift, starts)
+            pairs = [(item.tokens[q].lower(), doc.tokens[q + shift].lower()) for q in positions if item.codes[q] <= UNIT]
             covered[at] |= positions
             slots[at] += len(pairs)
-            changed[at] += sum(x != y for _, x, y in pairs)
+            changed[at] += sum(x != y for x, y in pairs)
+            if max(map(len, _runs(positions)), default=0) >= _enough(item):
+                long.add(at)
         for at, positions in covered.items():
             item_id, item = self.items[at]
-            if len(positions) >= COVERAGE * len(item.tokens):
+            if positions and (at in long or len(positions) >= COVERAGE * len(item.tokens)):
                 yield item_id, len(item.tokens), len(positions), slots[at], changed[at]
 
 

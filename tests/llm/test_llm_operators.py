@@ -248,6 +248,22 @@ def test_template_decontamination(spark, empty):
 # ---- licences
 
 
+def test_parts_and_recased_copies_are_leaks(spark):
+    words = [x for x in prose(21, 300).split() if len(x) > 2]
+    item = "The " + " ".join(words[:18]) + " with 12 apples. The " + " ".join(words[18:36])
+    short = " ".join(words[40:60])
+    copies = [
+        " ".join(item.split()[:20]), " ".join(item.split()[20:]), item.lower(), item.upper(), item.title(), item.replace(". The", ". A"),
+        item.lower().replace("12", "40"), " ".join(short.split()[:10]), " ".join(short.split()[:7]), " ".join(item.split()[:7]),
+    ]
+    benchmark = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    filler = prose(22, 60)
+    docs = spark.createDataFrame([(i, f"{filler} {x} {filler}") for i, x in enumerate(copies)], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in templates.find_leaks(docs, benchmark).collect()}
+    assert got == {(i, 1) for i in range(7)} | {(7, 2)}
+    assert {x["doc_id"] for x in templates.drop_contaminated(docs, benchmark).collect()} == {8, 9}
+
+
 def test_licence_scan(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     files = [
