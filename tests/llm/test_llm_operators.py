@@ -294,6 +294,20 @@ def test_licence_scan(spark):
     assert licences.scan_licences(frame.limit(0)).count() == 0
 
 
+def test_licence_texts_headers_and_wrapped_notices(spark):
+    texts = dict(licences.full_texts())
+    gpl = ["# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by", "# the Free Software Foundation, either version 3 of the License, or", "# (at your option) any later version."]
+    code = [prose(30 + i, 9) for i in range(12)]
+    files = [(f"{name}/LICENSE", f"Copyright (c) 2024 Jo Doe\n\n{text}") for name, text in texts.items()] + [(f"{name}/src/x.py", prose(50, 30)) for name in texts]
+    files += [("h/a.py", "\n".join([*code, *gpl, *code])), ("h/b.py", "\n".join([*code[:5], "Released under", "the MIT License.", *code])), ("h/c.py", prose(51, 30))]
+    files += [("n/COPYING", "\n".join([*code, *gpl, *code])), ("n/c.py", prose(52, 30))]
+    got = {x["path"]: (x["licence"], x["via"]) for x in licences.scan_licences(spark.createDataFrame(files, "path string, text string")).collect()}
+    for name in texts:
+        assert got[f"{name}/LICENSE"][0] == name and got[f"{name}/src/x.py"] == (name, "directory")
+    assert got["h/a.py"] == ("GPL-3.0", "header") and got["h/b.py"] == ("MIT", "header") and got["h/c.py"] == (None, None)
+    assert got["n/COPYING"] == ("GPL-3.0", "header") and got["n/c.py"] == ("GPL-3.0", "directory")
+
+
 def test_cosines_equal_dense_computation():
     idf = np.random.default_rng(1).uniform(1, 9, licences.BUCKETS)
     made = licences.Templates(licences.TEMPLATES, idf)
