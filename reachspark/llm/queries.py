@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm import fuzzy_lines, importance, jaccard, licences, mixing, quality_rules, sharding, templates, token_files, warc
+from reachspark.llm import filter_audit, fuzzy_lines, importance, jaccard, licences, mixing, quality_rules, sharding, templates, token_files, warc
 from reachspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,44 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         doc_id, "path", "notice", F.round("cosine", 6).alias("cosine"), "n_notices", "file_licence", "licence", "via", "from_dir"
     )
+
+
+@query(
+    rf"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_WORDS_SQL} as ws from documents),
+m as (
+  select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic
+  from labels group by doc_id),
+f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         16 * (len(ws) < 200)::int + 8 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+         + 2 * regexp_matches(t, '[#$%&*|]')::int
+         + coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)::int as mask
+  from d left join m on d.doc_id = m.doc_id),
+c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, mask),
+l as (select unnest(range(5)) as i),
+o as (
+  select [a.i, b.i, c.i, d.i, e.i] as ord from l a, l b, l c, l d, l e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (
+  select list_reduce(list_transform(ord, lambda x: substr('ABCDE', (x + 1)::int, 1)), lambda x, y: x || y) as filter_order, step,
+         (16 >> ord[step]::int)::bigint as bit,
+         coalesce(list_sum(list_transform(ord[1:step - 1], lambda x: 16 >> x::int)), 0)::bigint as earlier
+  from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+r as (
+  select part, filter_order, step, bit,
+         sum(case when mask & (earlier | bit) = 0 then n else 0 end)::bigint as kept,
+         sum(case when mask & earlier = 0 and mask & bit <> 0 then n else 0 end)::bigint as removed,
+         sum(case when mask & earlier <> 0 and mask & bit <> 0 then n else 0 end)::bigint as redundant,
+         sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+         sum(case when mask & earlier = 0 and mask & bit <> 0 then good else 0 end)::bigint as good_lost,
+         sum(case when mask & earlier = 0 and mask & bit <> 0 then toxic else 0 end)::bigint as toxic_lost
+  from c, s group by part, filter_order, step, bit)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) over (partition by part, bit)::bigint as shapley
+from r"""
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
