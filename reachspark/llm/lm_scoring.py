@@ -35,7 +35,7 @@ from reachspark.session import cut, spread
 
 ORDER, DISCOUNT = 2, 0.75
 #: Bytes of text in a block (one document at least) and, on average, behind a shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
 _START, _END = np.uint64(0x5D7A3C1E9B86F042), np.uint64(0xA1C4E7092B6D8F35)
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, train_tokens long, payload binary"
 _PACKED = "shard int, block long, payload binary"
