@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm import filter_audit, fuzzy_lines, importance, jaccard, licences, lm_scoring, mixing, quality_rules, sharding, templates, token_files, warc
+from reachspark.llm import filter_audit, fuzzy_lines, importance, jaccard, licences, lm_scoring, mixing, prefix_trie, quality_rules, sharding, templates, token_files, warc
 from reachspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_corpus(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
