@@ -35,12 +35,12 @@ from reachspark.session import cut, spread
 
 ORDER, DISCOUNT = 2, 0.75
 #: Bytes of text in a block (one document at least) and, on average, behind a shard.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 10 << 20, 8 << 20
 _START, _END = np.uint64(0x5D7A3C1E9B86F042), np.uint64(0xA1C4E7092B6D8F35)
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, train_tokens long, payload binary"
 _PACKED = "shard int, block long, payload binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_codec = pa.Codec("zstd", compression_level=1)
+_codec = pa.Codec("zstd", compression_level=5)
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -124,12 +124,12 @@ def _block(payload: bytes, lengths: list[int], order: int, shards: int) -> Block
     at = np.flatnonzero(counted)
     n = np.int64(len(words))
     used, last = np.unique(seq, return_inverse=True)
-    columns, which = [[used]], [last]
+    columns, which = [[used]], [last.astype(np.int32)]
     for k in range(1, order):
         # an n-gram is the shorter one before it and its last word
-        found, back = np.unique(which[-1][:-1] * n + seq[k:], return_inverse=True)
+        found, back = np.unique(which[-1][:-1].astype(np.int64) * n + seq[k:], return_inverse=True)
         columns.append([c[found // n] for c in columns[-1]] + [found % n])
-        which.append(back)
+        which.append(back.astype(np.int32))
     # count only those that end at a token of the document they start in
     shard, by_shard, ends = [], [], []
     for k in range(order):
@@ -261,6 +261,33 @@ def _tokens(blocks: DataFrame) -> int:
     return blocks.agg(F.sum("train_tokens")).first()[0] or 0
 
 
+def _vocabulary(blocks: DataFrame, shards: int) -> int:
+    """Different words, ends included, of the training documents; each is counted in the shard of its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, flat = _unpack(row["payload"])
+                learnt = ~np.array(row["held"], bool)
+                seen = np.zeros(len(words), bool)
+                seen[flat[np.repeat(learnt, np.array(row["lengths"]) - 1)]] = True
+                words = np.append(words[seen], np.full(int(learnt.any()), _END))
+                shard = (mix(words) % np.uint64(shards)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                found, start = np.unique(shard[order], return_index=True)
+                parts = [_pack([w]) for w in np.split(words[order], start[1:])] if len(found) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int32()), pa.array(np.full(len(found), row["block"]), pa.int64()), pa.array(parts, pa.binary())], names=["shard", "block", "payload"]
+                )
+
+    def count(group: pa.Table) -> pa.Table:
+        different = np.unique(np.concatenate([_unpack(p)[0] for p in group.column("payload").to_pylist()]))
+        return pa.table({"words": pa.array([len(different)], pa.int64())})
+
+    found = spread(blocks.mapInArrow(run, _PACKED), "shard").groupBy("shard").applyInArrow(count, "words long")
+    return found.agg(F.sum("words")).first()[0] or 0
+
+
 def _answer(levels: bytes, vocabulary: np.ndarray, columns: list[list[np.ndarray]], back: list[np.ndarray], sizes: list[list[int]]) -> list[bytes]:
     """Per payload, packed: exact counts of its words, then codes of each n-gram's own part and of its context's rest.
 
@@ -364,12 +391,12 @@ def score_corpus(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT
 
     def learn(group: pa.Table) -> pa.Table:
         vocabulary, columns, counts, back, sizes = _merged(group.column("payload").to_pylist(), order, True)
-        rows = _answer(_build(vocabulary, columns, counts, discount), vocabulary, columns, back, sizes)
-        words = np.full(len(rows), (counts[0] > 0).sum(), np.int64)
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "words": words, "answer": pa.array(rows, pa.binary())})
+        levels = _build(vocabulary, columns, counts, discount)
+        del counts
+        rows = _answer(levels, vocabulary, columns, back, sizes)
+        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "answer": pa.array(rows, pa.binary())})
 
     shards = shards_for(docs, shard_bytes)
     blocks = cut(tokenise(docs, block_bytes))
-    answers = cut(_grams(blocks, shards, order, True).groupBy("shard").applyInArrow(learn, "block long, shard int, words long, answer binary"))
-    words = answers.groupBy("shard").agg(F.max("words").alias("words")).agg(F.sum("words")).first()[0] or 0
-    return _combined(blocks, answers.drop("words"), _tokens(blocks), words, shards, order)
+    answers = _grams(blocks, shards, order, True).groupBy("shard").applyInArrow(learn, "block long, shard int, answer binary")
+    return _combined(blocks, answers, _tokens(blocks), _vocabulary(blocks, shards), shards, order)
