@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reachspark.functions import algebra
 from reachspark.grid import Grid
 from reachspark.operators import align, cellstats, knn, nearest, order, polygons, regions, routes, stencil, volume
+from reachspark.session import cut
 
 R, C = 40, 50
 GRID = Grid(R, C)
@@ -178,6 +179,16 @@ def test_routes_equal_dijkstra(spark, connectivity, towards, u_max, tile):
     assert np.allclose(want[got.r, got.c], got.cost)
 
 
+def test_corridor_writes_border_cells_only(spark, monkeypatch):
+    """A corridor over 16 tiles: rounds write what crosses a border, not the cells."""
+    written = []
+    monkeypatch.setattr(routes, "cut", lambda df: written.append(kept := cut(df)) or kept)
+    cells = spark.createDataFrame([(1, c) for c in range(320)], "r int, c int")
+    got = routes.least_cost_distance(cells, cells.filter("c = 0"), Grid(3, 320), tile=32)
+    assert {x["c"]: x["cost"] for x in got.collect()} == {c: float(c) for c in range(320)}
+    assert written[0].count() == 10 and sum(t.count() for t in written[1:]) <= 6 * 10
+
+
 def test_within_radius_small_and_large_agree(mask):
     _, cells = mask
     g = Grid(R, C, dx=1.0, dy=2.0)
