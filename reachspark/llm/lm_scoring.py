@@ -81,6 +81,9 @@ def tokenise(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             raw = LOWER[raw]
             starts, ends, first = spans(raw, offsets)
             words, which = np.unique(fingerprints(raw, starts, ends), return_inverse=True)
+            # the most frequent words have the smallest ids, which compress best
+            by_count = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")
+            words, which = words[by_count], np.argsort(by_count)[which]
             ids = batch.column("doc_id").to_pylist()
             held = [held_out(i) for i in ids]
             lengths = (np.diff(first) + 1).astype(np.int32)
@@ -110,8 +113,10 @@ class Block:
 def _block(payload: bytes, lengths: list[int], order: int, shards: int) -> Block:
     """The n-grams of a block's documents, each of which starts after ``order - 1`` start marks."""
     words, flat = _unpack(payload)
+    by_value = np.argsort(words)
+    flat = np.argsort(by_value)[flat]
     lengths = np.array(lengths, np.int64)
-    words = np.concatenate((words, [_START, _END]))
+    words = np.concatenate((words[by_value], [_START, _END]))
     start, end = len(words) - 2, len(words) - 1
     pads = order - 1
     stop = np.cumsum(lengths + pads)
@@ -154,7 +159,7 @@ def _by_shard(block: Block, counts: list[np.ndarray] | None) -> Iterator[tuple[i
             continue
         columns = [[c[r] for c in cols] for cols, r in zip(block.columns, rows, strict=True)]
         used = np.unique(np.concatenate([c for cols in columns for c in cols]))
-        out = [block.words[used]]
+        out = [np.diff(block.words[used], prepend=np.uint64(0))]
         for k, cols in enumerate(columns):
             out += [np.diff(np.searchsorted(used, c).astype(np.int32), prepend=np.int32(0)) for c in cols]
             if counts is not None:
@@ -183,6 +188,8 @@ def _grams(blocks: DataFrame, shards: int, order: int, counted: bool) -> DataFra
 def _merged(payloads: list[bytes], order: int, counted: bool) -> tuple[np.ndarray, list[list[np.ndarray]], list[np.ndarray], list[np.ndarray], list[list[int]]]:
     """Distinct n-grams of many payloads: vocabulary, sorted columns, summed counts, where each row went, rows per payload."""
     parts = [_unpack(p) for p in payloads]
+    for p in parts:
+        p[0] = np.cumsum(p[0], dtype=np.uint64)
     vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
     columns: list[list[np.ndarray]] = []
     counts, back, sizes = [], [], []
