@@ -165,6 +165,27 @@ def idw_query(d: Data):
     return rounded(knn.idw(d.layer(), d.layer().filter("v > 95"), d.grid), 5)
 
 
+@query(
+    "kriging_two_neighbours",
+    sql(
+        "cells_v",
+        ctes="""s_v as (select r, c, z from cells_v where z > 95),
+  p_v as (select t.r, t.c, min(struct_pack(d2 := (t.r - s.r) * (t.r - s.r) + (t.c - s.c) * (t.c - s.c), sr := s.r, sc := s.c, v := s.z), 2) m
+    from cells_v t, s_v s group by t.r, t.c),
+  h_v as (select r, c, m[1].v v1, m[2].v v2, sqrt(m[1].d2) h1, sqrt(m[2].d2) h2,
+    sqrt((m[1].sr - m[2].sr) * (m[1].sr - m[2].sr) + (m[1].sc - m[2].sc) * (m[1].sc - m[2].sc)) h3 from p_v),
+  g_v as (select *, case when h1 = 0 then 0 else 0.5 + 2 * case when h1 > 40 then 1 else 1.5 * h1 / 40 - 0.5 * power(h1 / 40, 3) end end g1,
+    case when h2 = 0 then 0 else 0.5 + 2 * case when h2 > 40 then 1 else 1.5 * h2 / 40 - 0.5 * power(h2 / 40, 3) end end g2,
+    0.5 + 2 * case when h3 > 40 then 1 else 1.5 * h3 / 40 - 0.5 * power(h3 / 40, 3) end g3 from h_v),
+  w_v as (select *, 0.5 + (g2 - g1) / (2 * g3) w from g_v)""",
+        body="""select r, c, round(w * v1 + (1 - w) * v2, 3) v, round(w * g1 + (1 - w) * g2 + g1 - g3 * (1 - w), 3) variance from w_v""",
+    ),
+)
+def kriging_two_query(d: Data):
+    """A fixed spherical model and two neighbours, where the weights have a closed form."""
+    return rounded(knn.kriging(d.layer(), d.layer().filter("v > 95"), d.grid, n_closest=2, parameters=(2.0, 40.0, 0.5)), 3)
+
+
 @query("kriging")
 def kriging_query(d: Data):
     return rounded(knn.kriging(d.layer(), d.layer().filter("v > 95"), d.grid), 5)

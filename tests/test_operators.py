@@ -109,6 +109,33 @@ def test_nearest_k_is_exact(mask, tile):
     assert np.allclose(want.ravel(), got.d)
 
 
+def test_sources_in_one_corner(spark, monkeypatch):
+    """Far targets see the near side of a crowd in chunks of bounded size; the result stays exact."""
+    grid, rng = Grid(200, 200), np.random.default_rng(4)
+    crowd = spark.createDataFrame([(int(r), int(c), float(r + c)) for r in range(48) for c in range(48)], "r int, c int, v double")
+    ask = spark.createDataFrame([(int(r), int(c)) for r, c in {*map(tuple, rng.integers(0, 200, (60, 2)).tolist()), (199, 199), (0, 0)}], "r int, c int")
+    pairs = knn.tile_pairs(ask, crowd, grid, 7, (), 16).groupBy("tr", "tc").agg(F.sum("n").alias("n")).toPandas()
+    far = pairs[(pairs.tr > 5) | (pairs.tc > 5)]
+    assert (far.n < 48 * 48).all() and far.n.max() >= 7
+    monkeypatch.setattr(knn, "SOURCES", 100)
+    got = knn.nearest_k(ask, crowd, grid, 7).toPandas().sort_values(["r", "c", "rank"])
+    s = crowd.toPandas().sort_values(["r", "c"])
+    for (r, c), mine in got.groupby(["r", "c"]):
+        d = np.hypot(s.r - r, s.c - c).to_numpy()
+        pick = np.argsort(d, kind="stable")[:7]
+        assert np.allclose(mine.d, d[pick])
+        assert list(zip(mine.src_r, mine.src_c)) == list(zip(s.r.iloc[pick], s.c.iloc[pick]))
+    assert len(got) == 7 * ask.count()
+
+
+def test_variogram_covers_all_lags(mask):
+    _, cells = mask
+    bins = knn.variogram_bins(cells, GRID, 5, sample=400, max_lag=20.0).orderBy("lag").toPandas()
+    assert bins.lag.tolist() == [0, 1, 2, 3, 4] and bins.d.is_monotonic_increasing and (bins.pairs > 100).all()
+    again = knn.variogram_bins(cells, GRID, 5, sample=400, max_lag=20.0).orderBy("lag").toPandas()
+    assert again.equals(bins)
+
+
 def test_fewer_sources_than_k(grid_table):
     cells = grid_table([[2.0, None, None, 4.0]])
     got = {x["c"]: x["v"] for x in knn.idw(stencil.grid_cells(cells, Grid(1, 4)), cells, Grid(1, 4), tile=1).collect()}
@@ -130,7 +157,7 @@ def test_kriging_honours_data_and_bounds(mask):
 
 def test_kriging_fits_every_model(mask):
     _, cells = mask
-    bins = knn.variogram_bins(cells.filter("v < 0.1"), GRID, 6, 8).cache()
+    bins = knn.variogram_bins(cells.filter("v < 0.1"), GRID, 6).cache()
     for model in knn.VARIOGRAMS:
         p, span, nugget = knn.fit_variogram(bins, model)
         assert p > 0 and span > 0 and nugget >= 0
