@@ -2,38 +2,43 @@
 
 Four objectives are scored per cell: bed preparation, desiccation, inundation and scour. The
 two that follow the daily water surface are computed from one array of modelled surfaces per
-cell; days are never exploded into rows.
+cell and one array of days per season; days are never exploded into rows. All conditions, gauges and
+years are scored in one job: a season is a row of a table that meets the tiles of its condition by a join.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from bisect import bisect_left
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import shear
-from ..functions.algebra import in_range, ladder
+from ..functions.algebra import ladder
 from ..functions.season import date_in
 from ..session import spread
 from ..sources.lookup import RecruitmentParameters
 
-MAX_DAYS = 400
+#: Days of one season at most, and the width of the square tiles a season is walked in.
+MAX_DAYS, TILE = 400, 64
 
 
-def mobilising_discharge(hydraulics: DataFrame, grain: DataFrame, taus: dict[str, float], unit: str = "us") -> DataFrame:
-    """``r, c`` and, per name in ``taus``, the lowest discharge whose Shields stress reaches it.
+def mobilising_discharge(
+    hydraulics: DataFrame, grain: DataFrame, taus: dict[str, float], unit: str = "us", keys: Sequence[str] = ()
+) -> DataFrame:
+    """``keys, r, c`` and, per name in ``taus``, the lowest discharge whose Shields stress reaches it.
 
     Absent where no modelled discharge does. All thresholds share one pass.
     """
-    flow = hydraulics.select("q", "r", "c", F.when(F.col("h") > 0, F.col("h")).alias("h"), "u")
-    rows = flow.join(grain.select("r", "c", F.col("v").alias("_grain")), ["r", "c"])
+    flow = hydraulics.select(*keys, "q", "r", "c", F.when(F.col("h") > 0, F.col("h")).alias("h"), "u")
+    rows = flow.join(grain.select(*keys, "r", "c", F.col("v").alias("_grain")), [*keys, "r", "c"])
     rows = shear.with_bed_shear(rows, shear.d84("_grain"), g=K.gravity(unit))
-    return rows.groupBy("r", "c").agg(*[F.min(F.when(F.col("theta84") >= F.lit(tau), F.col("q"))).alias(name) for name, tau in taus.items()])
+    return rows.groupBy(*keys, "r", "c").agg(*[F.min(F.when(F.col("theta84") >= F.lit(tau), F.col("q"))).alias(name) for name, tau in taus.items()])
 
 
 def bracket(modelled: list[float], q: float) -> tuple[int, int, float]:
@@ -65,34 +70,34 @@ def flow_brackets(flow: DataFrame, discharges: DataFrame, keys: list[str] | None
     return rows.withColumn("weight", weight).drop("_m")
 
 
-def surfaces(wle: DataFrame, discharges: list[float] | None = None) -> tuple[DataFrame, list[float]]:
-    """``r, c, w``: the modelled water surfaces of a cell as one array ordered by discharge.
+def surfaces(wle: DataFrame, discharges: list[float] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, r, c, m, w``: the modelled discharges of a key in order, and a cell's water surfaces at them.
 
     A cell without a surface at some discharge has NULL there, which reads as dry. Pass the
-    modelled ``discharges`` if they are known; else they are looked up in the table.
+    modelled ``discharges`` if all keys share known ones; else they are aggregated from the table.
     """
-    if discharges is None:
-        discharges = [row[0] for row in wle.select("q").distinct().collect()]
-    modelled = sorted(float(q) for q in discharges)
-    if not modelled:
-        raise ValueError("no modelled discharge")
-    levels = F.map_from_entries(F.collect_list(F.struct(F.col("q").cast("double").alias("q"), F.col("wle").cast("double").alias("wle"))))
-    every = F.array(*[F.lit(q) for q in modelled])
-    known = wle.filter("wle IS NOT NULL").dropDuplicates(["r", "c", "q"])
-    packed = known.groupBy("r", "c").agg(levels.alias("_levels"))
-    return packed.select("r", "c", F.transform(every, lambda q: F.try_element_at("_levels", q)).alias("w")), modelled
-
-
-def surface_at(modelled: list[float], q: float) -> Column:
-    """Water surface of any discharge from the packed array ``w``."""
-    lo, hi, weight = bracket(modelled, q)
-    return F.get("w", F.lit(lo)) * F.lit(1.0 - weight) + F.get("w", F.lit(hi)) * F.lit(weight)
-
-
-def flow_on(flow: DataFrame, day: dt.date) -> float:
-    """Flow of a day, or of the nearest day on record (the earlier one on ties)."""
-    gap = F.struct(F.abs(F.datediff("d", F.lit(day))), F.col("d"))
-    return flow.agg(F.min_by("q", gap)).first()[0]
+    keys = list(keys)
+    level = F.struct(F.col("q").cast("double").alias("q"), F.col("wle").cast("double").alias("wle"))
+    known = spread(wle.filter("wle IS NOT NULL"), *keys, "r", "c").dropDuplicates([*keys, "r", "c", "q"])
+    packed = known.groupBy(*keys, "r", "c").agg(F.map_from_entries(F.collect_list(level)).alias("_levels"))
+    if discharges is not None:
+        packed = packed.withColumn("m", F.array(*[F.lit(float(q)) for q in sorted(discharges)]))
+    else:
+        packed = with_list(packed, wle, F.array_sort(F.collect_set(F.col("q").cast("double"))), "m", keys)
+    return packed.select(*keys, "r", "c", "m", F.transform("m", lambda q: F.try_element_at("_levels", q)).alias("w"))
+
+
+def with_list(rows: DataFrame, other: DataFrame, made: Column, name: str, keys: list[str]) -> DataFrame:
+    """``rows`` with an aggregate of the rows of ``other`` that have the same keys."""
+    listed = other.groupBy(*keys).agg(made.alias(name))
+    return rows.join(listed, keys) if keys else rows.withColumn(name, listed.select(name).scalar())
+
+
+def water_levels(w: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Water surfaces of cells at any discharges: linear between the modelled ones, held beyond them."""
+    marks = [bracket(list(m), x) for x in np.atleast_1d(q)]
+    lo, hi, weight = (np.array(x) for x in zip(*marks))
+    return w[:, lo] * (1.0 - weight) + w[:, hi] * weight
 
 
 def window_peaks(flow: DataFrame, year, p: RecruitmentParameters, keys: list[str] | None = None) -> DataFrame:
@@ -110,92 +115,177 @@ def window_peaks(flow: DataFrame, year, p: RecruitmentParameters, keys: list[str
     )
 
 
-def crop_area(dem: DataFrame, packed: DataFrame, modelled: list[float], flow: DataFrame, year: int, p: RecruitmentParameters, unit: str = "us", peaks=None) -> DataFrame:
-    """``r, c, dem, w`` of the cells where recruitment is possible.
+def seasons(
+    flow: DataFrame, p: RecruitmentParameters, years: int | Sequence[int] | None = None, keys: Sequence[str] = (), missing: str = "error"
+) -> DataFrame:
+    """One row per flow record and year: its peaks, the flow at baseflow, and the days of the recession in order.
+
+    ``years`` defaults to each record's latest. The flow at baseflow is that of the nearest day on record, the earlier one on
+    ties. A record that has no day in the seed season, or too few in the recession, raises an error when
+    its rows are computed, or with ``missing="skip"`` has no season.
+    """
+    keys = list(keys)
+    if years is None:
+        dated = with_list(flow, flow, F.max(F.year("d")), "year", keys)
+    else:
+        listed = [int(y) for y in ([years] if isinstance(years, int) else years)]
+        dated = flow.withColumn("year", F.explode(F.array(*[F.lit(y) for y in listed])))
+    start, end, base = (date_in("year", bound) for bound in (p.seed_start, p.seed_end, p.baseflow_start))
+    prep = date_in(F.col("year") - p.bed_prep_years, p.seed_start)
+    d, day = F.col("d"), F.struct("d", "q")
+    pick = lambda test, value="q": F.when(test, value if isinstance(value, Column) else F.col(value))
+    found = dated.groupBy(*keys, "year").agg(
+        F.max(pick((d >= prep) & (d < start))).alias("prep_peak"),
+        F.max(pick((d > end) & (d <= base))).alias("scour_peak"),
+        F.min(pick((d >= start) & (d <= end))).alias("seed_low"),
+        F.max(pick((d >= start) & (d <= end))).alias("seed_high"),
+        F.min_by("q", F.struct(F.abs(F.datediff("d", base)), d)).alias("base_flow"),
+        F.sort_array(F.collect_list(pick((d >= F.date_sub(start, 3)) & (d <= base), day))).alias("days"),
+    )
+    few = (F.size("days") < 5) | (F.element_at(F.col("days.d"), -1) < start)
+    text = lambda t: F.format_string(t, "year")
+    wrong = (
+        F.when(F.col("seed_low").isNull(), text("the record has no day in the %d seed season"))
+        .when(few, text("the record has too few days in the %d recession period"))
+        .when(F.size("days") > MAX_DAYS, F.lit("the flow record has more than one row per day"))
+    )
+    if missing == "skip":
+        found = found.filter(wrong.isNull())
+    else:
+        found = found.withColumn("days", F.when(wrong.isNull(), F.col("days")).otherwise(F.raise_error(wrong)))
+    return found.withColumns(
+        {
+            "flows": F.col("days.q"),
+            "after": F.transform("days", lambda x: x["d"] >= start),
+            "seeding": F.transform("days", lambda x: x["d"] <= end),
+        }
+    ).drop("days")
+
+
+def _season_tiles(dem, wle, flow, p, years, unit, discharges, keys, flow_keys, missing, vegetated=None) -> tuple[DataFrame, str]:
+    """Tiles of cells with every season of their key, and the DDL of the columns that name a row."""
+    keys, flow_keys = list(keys), list(flow_keys)
+    ground = dem.select(*keys, "r", "c", F.col("v").cast("double").alias("dem")).join(surfaces(wle, discharges, keys), [*keys, "r", "c"])
+    if vegetated is not None:
+        ground = ground.join(vegetated.select(*keys, "r", "c").distinct(), [*keys, "r", "c"], "left_anti")
+    tile = [*keys, F.floor(F.col("r") / TILE).alias("_tr"), F.floor(F.col("c") / TILE).alias("_tc")]
+    cell = F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "dem", "w")
+    tiles = ground.groupBy(*tile).agg(F.first("m").alias("m"), F.collect_list(cell).alias("cells"))
+    table = seasons(flow, p, years, [k for k in keys if k in flow.columns] + flow_keys, missing)
+    shared = [k for k in keys if k in flow.columns]
+    inside = F.struct(*[c for c in table.columns if c not in shared])
+    tiles = with_list(tiles, table, F.collect_list(inside), "_s", shared).withColumn("_s", F.explode("_s"))
+    tiles = tiles.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in table.columns if c not in shared], "m", *[F.col(f"cells.{n}").alias(n) for n in ("r", "c", "dem", "w")])
+    names = [*keys, *flow_keys, "year"]
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
+    return spread(tiles, *names, F.col("r")[0], F.col("c")[0]), ", ".join(f"{n} {kinds[n]}" for n in names)
+
+
+def _crop(row, p: RecruitmentParameters, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which cells of a tile can recruit in its season, with all elevations and modelled surfaces."""
+    w, dem, m = np.stack([np.asarray(x, dtype=float) for x in row.w]), np.asarray(row.dem, dtype=float), np.asarray(row.m, dtype=float)
+    if p.band_lower is not None and p.band_upper is not None:
+        above = dem - water_levels(w, m, row.base_flow)[:, 0]
+        return (above >= p.band_lower / scale) & (above <= p.band_upper / scale), dem, w
+    low, high = water_levels(w, m, np.array([row.seed_low, row.seed_high])).T
+    return (dem <= high) & (dem >= low), dem, w
+
+
+def crop_area(
+    dem: DataFrame,
+    wle: DataFrame,
+    flow: DataFrame,
+    p: RecruitmentParameters,
+    years: int | Sequence[int] | None = None,
+    unit: str = "us",
+    discharges: list[float] | None = None,
+    keys: Sequence[str] = (),
+    flow_keys: Sequence[str] = (),
+    missing: str = "error",
+) -> DataFrame:
+    """``keys, flow_keys, year, r, c, dem`` of the cells where recruitment is possible.
 
     An elevation band above the baseflow surface if the parameters give one, else the ground
     between the lowest and the highest water of the seed season.
     """
-    ground = dem.select("r", "c", F.col("v").alias("dem")).join(packed, ["r", "c"])
-    peaks = peaks or window_peaks(flow, year, p).first()
-    if peaks["seed_low"] is None:
-        raise ValueError(f"the record has no day in the {year} seed season")
-    if p.band_lower is not None and p.band_upper is not None:
-        q = flow_on(flow, dt.date(year, *p.baseflow_start))
-        scale = K.CM_PER_LENGTH[unit]
-        return ground.filter(in_range(F.col("dem") - surface_at(modelled, q), p.band_lower / scale, p.band_upper / scale))
-    low, high = surface_at(modelled, peaks["seed_low"]), surface_at(modelled, peaks["seed_high"])
-    return ground.filter((F.col("dem") <= high) & (F.col("dem") >= low))
+    tiles, ddl = _season_tiles(dem, wle, flow, p, years, unit, discharges, keys, flow_keys, missing)
+    names, scale = [f.split()[0] for f in ddl.split(", ")], K.CM_PER_LENGTH[unit]
 
+    def cut_out(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                keep, z, _ = _crop(row, p, scale)
+                yield pd.DataFrame({"r": row.r[keep], "c": row.c[keep], "dem": z[keep]}).assign(**{n: getattr(row, n) for n in names})[[*names, "r", "c", "dem"]]
 
-def recession_days(flow: DataFrame, year: int, p: RecruitmentParameters) -> list[tuple[dt.date, float]]:
-    """Days of the walk: from three days before the seeds to baseflow."""
-    first = dt.date(year, *p.seed_start) - dt.timedelta(days=3)
-    last = dt.date(year, *p.baseflow_start)
-    kept = flow.filter((F.col("d") >= F.lit(first)) & (F.col("d") <= F.lit(last))).orderBy("d").select("d", "q").limit(MAX_DAYS + 1)
-    days = [(row[0], row[1]) for row in kept.collect()]
-    if len(days) < 5 or not any(d >= dt.date(year, *p.seed_start) for d, _ in days):
-        raise ValueError(f"the record has too few days in the {year} recession period")
-    if len(days) > MAX_DAYS:
-        raise ValueError("the flow record has more than one row per day")
-    return days
+    return tiles.mapInPandas(cut_out, f"{ddl}, r int, c int, dem double")
 
 
-def recession(crop: DataFrame, modelled: list[float], days: list[tuple[dt.date, float]], year: int, p: RecruitmentParameters, unit: str = "us") -> DataFrame:
-    """``r, c, mortality, longest, desiccation, inundation`` of the crop cells.
+def recession(
+    dem: DataFrame,
+    wle: DataFrame,
+    flow: DataFrame,
+    p: RecruitmentParameters,
+    years: int | Sequence[int] | None = None,
+    unit: str = "us",
+    vegetated: DataFrame | None = None,
+    discharges: list[float] | None = None,
+    keys: Sequence[str] = (),
+    flow_keys: Sequence[str] = (),
+    missing: str = "error",
+) -> DataFrame:
+    """``keys, flow_keys, year, r, c, mortality, longest, prep_peak, scour_peak, desiccation, inundation`` of the crop cells.
 
     Each cell's last drying during seed dispersal starts its count again; stress counts only on
     dry days; the longest run of consecutive wet days decides inundation.
     """
-    seed_start, seed_end = dt.date(year, *p.seed_start), dt.date(year, *p.seed_end)
-    marks = [bracket(modelled, q) for _, q in days]
-    lo, hi, weight = (np.array(x) for x in zip(*marks))
-    after_start = np.array([d >= seed_start for d, _ in days])
-    seeding = np.array([d <= seed_end for d, _ in days])
-    elapsed = np.concatenate(([0], np.cumsum(after_start)[:-1]))
-    total, n = int(after_start.sum()), len(days)
-    counted = after_start & (np.arange(n) >= 3)
-    scale = K.CM_PER_LENGTH[unit]
-
-    def walk(batches):
+    tiles, ddl = _season_tiles(dem, wle, flow, p, years, unit, discharges, keys, flow_keys, missing, vegetated)
+    names, scale = [f.split()[0] for f in ddl.split(", ")], K.CM_PER_LENGTH[unit]
+
+    def walk(row) -> pd.DataFrame:
+        keep, z, w = _crop(row, p, scale)
+        level = water_levels(w[keep], np.asarray(row.m, dtype=float), np.asarray(row.flows, dtype=float))
+        after_start, seeding = np.asarray(row.after, dtype=bool), np.asarray(row.seeding, dtype=bool)
+        n, total = len(after_start), int(after_start.sum())
+        elapsed = np.concatenate(([0], np.cumsum(after_start)[:-1]))
+        counted = after_start & (np.arange(n) >= 3)
+        dry = ~(level > z[keep][:, None])
+        place = np.arange(n)
+        fell = np.zeros_like(dry)
+        fell[:, 1:] = dry[:, 1:] & ~dry[:, :-1]
+        reset = np.where(fell & seeding, place, -1).max(axis=1)
+        since = place >= reset[:, None]
+        drop = np.zeros_like(level)
+        drop[:, 3:] = (level[:, :-3] - level[:, 3:]) / 3.0 * scale
+        counts = dry & since & counted
+        lethal = (counts & (drop >= p.recession_lethal)).sum(axis=1)
+        stress = (counts & (drop >= p.recession_stress) & (drop < p.recession_lethal)).sum(axis=1)
+        tracked = np.where(reset >= 0, np.maximum(total - elapsed[reset], 1), total)
+        last_dry = np.maximum.accumulate(np.where(dry, place, -1), axis=1)
+        longest = np.where(since, place - last_dry, 0).max(axis=1)
+        mortality = (lethal / tracked * 100.0 * 3.0 + stress / tracked * 100.0) / 3.0
+        cells = pd.DataFrame({"r": row.r[keep], "c": row.c[keep], "mortality": mortality, "longest": longest.astype("int32")})
+        return cells.assign(**{x: getattr(row, x) for x in (*names, "prep_peak", "scour_peak")})
+
+    def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            w = np.stack([np.asarray(x, dtype=float) for x in pdf["w"]])
-            level = w[:, lo] * (1.0 - weight) + w[:, hi] * weight
-            dry = ~(level > pdf["dem"].to_numpy()[:, None])
-            place = np.arange(n)
-            fell = np.zeros_like(dry)
-            fell[:, 1:] = dry[:, 1:] & ~dry[:, :-1]
-            reset = np.where(fell & seeding, place, -1).max(axis=1)
-            since = place >= reset[:, None]
-            drop = np.zeros_like(level)
-            drop[:, 3:] = (level[:, :-3] - level[:, 3:]) / 3.0 * scale
-            counts = dry & since & counted
-            lethal = (counts & (drop >= p.recession_lethal)).sum(axis=1)
-            stress = (counts & (drop >= p.recession_stress) & (drop < p.recession_lethal)).sum(axis=1)
-            tracked = np.where(reset >= 0, np.maximum(total - elapsed[reset], 1), total)
-            last_dry = np.maximum.accumulate(np.where(dry, place, -1), axis=1)
-            longest = np.where(since, place - last_dry, 0).max(axis=1)
-            mortality = (lethal / tracked * 100.0 * 3.0 + stress / tracked * 100.0) / 3.0
-            yield pdf[["r", "c"]].assign(mortality=mortality, longest=longest.astype("int32"))
-
-    tracked = spread(crop.select("r", "c", "dem", "w"), "r", "c").mapInPandas(walk, "r int, c int, mortality double, longest int")
+            for row in pdf.itertuples(index=False):
+                out = walk(row)
+                yield out.assign(**{x: out[x].astype(float) for x in ("prep_peak", "scour_peak")})
+
+    tracked = tiles.mapInPandas(run, f"r int, c int, mortality double, longest int, {ddl}, prep_peak double, scour_peak double")
+    tracked = tracked.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in ("prep_peak", "scour_peak")})
     desiccation = ladder("mortality", [(">", 30.0, 0.0), (">=", 20.0, 0.5)], 1.0)
     inundation = ladder("longest", [(">", p.inundation_lethal, 0.0), (">=", p.inundation_stress, 0.5)], 1.0)
     return tracked.withColumn("desiccation", desiccation).withColumn("inundation", inundation)
 
 
-def peak_score(full: Column, partial: Column, peak: float | None, hit: float, miss: float, absent: float) -> Column:
+def peak_score(full: Column, partial: Column, peak: Column, hit: float, miss: float, absent: float) -> Column:
     """``hit`` where the peak mobilises the bed fully, 0.5 where partially, else ``miss``.
 
     Without any flow in the window the score is ``absent``; a bed never mobilised counts as
     infinitely strong.
     """
-    if peak is None:
-        return F.lit(absent)
-    top = F.lit(float(peak))
-    return F.when(full <= top, F.lit(hit)).when(partial <= top, F.lit(0.5)).otherwise(F.lit(miss))
+    return F.when(peak.isNull(), F.lit(absent)).when(full <= peak, F.lit(hit)).when(partial <= peak, F.lit(0.5)).otherwise(F.lit(miss))
 
 
 @dataclass
@@ -213,48 +303,46 @@ def recruitment(
     grain: DataFrame,
     flow: DataFrame,
     cell_area: float,
-    year: int | None = None,
+    year: int | Sequence[int] | None = None,
     parameters: RecruitmentParameters | None = None,
     unit: str = "us",
     vegetated: DataFrame | None = None,
     graded: DataFrame | None = None,
     discharges: list[float] | None = None,
+    keys: Sequence[str] = (),
+    flow_keys: Sequence[str] = (),
+    missing: str = "error",
 ) -> Recruitment:
-    """Score every crop cell: ``bed, desiccation, inundation, scour, mortality, potential``.
+    """Score every crop cell in every season: ``bed, desiccation, inundation, scour, mortality, potential``.
 
-    ``dem`` and ``grain`` are ``r, c, v``; ``wle`` is ``q, r, c, wle``; ``flow`` is one gauge's
-    ``d, q``. Vegetated cells are left out, graded cells count as prepared.
+    ``dem`` and ``grain`` are ``keys, r, c, v``; ``wle`` is ``keys, q, r, c, wle``; ``flow`` is ``keys, flow_keys, d, q``, where keys it
+    lacks share its records. Each record and year gives a season of the cells with its keys; with ``keys`` and
+    ``flow_keys`` these and ``year`` come first in the result. Vegetated cells are left out, graded cells count as prepared.
     """
     p = parameters or RecruitmentParameters()
-    if year is None:
-        year = flow.agg(F.max(F.year("d"))).first()[0]
-    packed, modelled = surfaces(wle, discharges)
-    peaks = window_peaks(flow, year, p).first()
-    crop = crop_area(dem, packed, modelled, flow, year, p, unit, peaks)
-    if vegetated is not None:
-        crop = crop.join(vegetated.select("r", "c").distinct(), ["r", "c"], "left_anti")
-    days = recession_days(flow, year, p)
-    mobile = mobilising_discharge(hydraulics, grain, {"q_full": p.tau_cr_full, "q_partial": p.tau_cr_partial}, unit)
-    cells = recession(crop, modelled, days, year, p, unit).join(mobile, ["r", "c"], "left")
-    bed = peak_score(F.col("q_full"), F.col("q_partial"), peaks["prep_peak"], 1.0, 0.0, 0.0)
-    if graded is not None and peaks["prep_peak"] is not None:
-        marked = graded.select("r", "c").distinct().withColumn("_g", F.lit(True))
-        cells = cells.join(marked, ["r", "c"], "left")
-        bed = F.when(F.col("_g"), F.lit(1.0)).otherwise(bed)
-    scour = peak_score(F.col("q_full"), F.col("q_partial"), peaks["scour_peak"], 0.0, 1.0, 1.0)
-    cells = cells.withColumn("bed", bed).withColumn("scour", scour)
+    keys, flow_keys = list(keys), list(flow_keys)
+    at = [*keys, "r", "c"]
+    mobile = mobilising_discharge(hydraulics, grain, {"q_full": p.tau_cr_full, "q_partial": p.tau_cr_partial}, unit, keys)
+    cells = recession(dem, wle, flow, p, year, unit, vegetated, discharges, keys, flow_keys, missing).join(mobile, at, "left")
+    prep, full, partial = F.col("prep_peak"), F.col("q_full"), F.col("q_partial")
+    bed = peak_score(full, partial, prep, 1.0, 0.0, 0.0)
+    if graded is not None:
+        cells = cells.join(graded.select(*at).distinct().withColumn("_g", F.lit(True)), at, "left")
+        bed = F.when(F.col("_g") & prep.isNotNull(), F.lit(1.0)).otherwise(bed)
+    cells = cells.withColumn("bed", bed).withColumn("scour", peak_score(full, partial, F.col("scour_peak"), 0.0, 1.0, 1.0))
     potential = F.col("bed") * F.col("desiccation") * F.col("inundation") * F.col("scour")
+    by = [*keys, *flow_keys, "year"] if keys or flow_keys or not (year is None or isinstance(year, int)) else []
     cells = cells.withColumn("potential", potential).select(
-        "r", "c", "bed", "desiccation", "inundation", "scour", "mortality", "longest", "potential"
+        *by, "r", "c", "bed", "desiccation", "inundation", "scour", "mortality", "longest", "potential"
     )
-    return Recruitment(cells, recruitment_summary(cells, cell_area))
+    return Recruitment(cells, recruitment_summary(cells, cell_area, by))
 
 
-def recruitment_summary(cells: DataFrame, cell_area: float) -> DataFrame:
+def recruitment_summary(cells: DataFrame, cell_area: float, keys: Sequence[str] = ()) -> DataFrame:
     """Crop, full (1) and partial ([0.125, 1)) areas, and the full area of each objective."""
     area = lambda test: (F.count(F.when(test, True)) * F.lit(cell_area))
     v = F.col("potential")
-    return cells.agg(
+    return cells.groupBy(*keys).agg(
         (F.count(F.lit(1)) * F.lit(cell_area)).alias("crop_area"),
         area(v >= 1.0).alias("recruitment_area"),
         area((v >= 0.125) & (v < 1.0)).alias("partial_area"),

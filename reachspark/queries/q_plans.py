@@ -493,6 +493,56 @@ def recruitment_summary(d: Data):
     return recruit(d).summary
 
 
+#: The same walk for two conditions, three gauges and two years at once.
+SEASONS = f"""
+  ga_v as (select cast(l_suppkey % 3 as int) gauge, cast(l_shipdate as date) d, 1000 + cast(sum(cast(round(l_extendedprice * 100) as bigint)) % 768000 as double) / 128 q
+    from lineitem group by cast(l_suppkey % 3 as int), cast(l_shipdate as date)),
+  gr_v as (select cast(ord % 2 as int) condition, r, c, z, dmean from cells_v where mu <> 5),
+  gy_v as (select gauge, d, q, y, make_date(y, 5, 2) s0, make_date(y, 6, 20) s1, make_date(y, 9, 15) b0, make_date(y - 1, 5, 2) p0 from ga_v, (values (1995), (1996)) t(y)),
+  pk_v as (select gauge, y, max(case when d >= p0 and d < s0 then q end) prep, max(case when d > s1 and d <= b0 then q end) scp,
+    min(case when d between s0 and s1 then q end) lo, max(case when d between s0 and s1 then q end) hi from gy_v group by gauge, y),
+  crop_v as (select condition, gauge, y, r, c, z from gr_v, pk_v where z <= condition + {LEVEL.format(q='hi')} and z >= condition + {LEVEL.format(q='lo')}),
+  dy_v as (select gauge, y, {LEVEL.format(q='q')} lv, row_number() over (partition by gauge, y order by d) - 1 i, d >= s0 s, d <= s1 e from gy_v where d between s0 - 3 and b0),
+  dx_v as (select *, lag(lv, 3) over (partition by gauge, y order by i) lv3, coalesce(sum(case when s then 1 else 0 end) over (partition by gauge, y order by i rows between unbounded preceding and 1 preceding), 0) el from dy_v),
+  cd_v as (select condition, gauge, y, r, c, i, s, e, (lv3 - lv) / 3 * 30.48 dr, not (lv + condition > z) dry from crop_v join dx_v using (gauge, y)),
+  w1_v as (select *, lag(dry, 1, true) over (partition by gauge, y, r, c order by i) was, max(case when dry then i end) over (partition by gauge, y, r, c order by i) ld from cd_v),
+  w2_v as (select *, coalesce(max(case when dry and not was and e then i end) over (partition by gauge, y, r, c), -1) ri from w1_v),
+  ct_v as (select condition, gauge, y, r, c, max(ri) ri, sum(case when dry and i >= ri and i >= 3 and s and dr >= 5 then 1 else 0 end) le, sum(case when dry and i >= ri and i >= 3 and s and dr >= 2.5 and dr < 5 then 1 else 0 end) st,
+    max(case when i >= ri then i - coalesce(ld, -1) else 0 end) longest from w2_v group by all),
+  to_v as (select gauge, y, count(case when s then 1 end) tot from dx_v group by gauge, y),
+  tr_v as (select t.*, case when ri < 0 then tot else greatest(tot - el, 1) end tracked from ct_v t join to_v using (gauge, y) left join dx_v x on x.i = ri and x.gauge = t.gauge and x.y = t.y),
+  mo_v as (select *, (le / tracked * 100.0 * 3 + st / tracked * 100.0) / 3 mortality from tr_v),
+  j_v as (select h.*, dmean from hydraulics_v h join gr_v using (r, c)), {shear_sql("j_v", "dmean * 2.2", G_US, "q, r, c")},
+  qm_v as (select r, c, min(case when theta84 >= 0.047 then q end) qf, min(case when theta84 >= 0.03 then q end) qp from shear_v group by 1, 2)"""
+
+
+@query(
+    "recruitment_all_seasons",
+    sql(
+        "cells_v",
+        "hydraulics_v",
+        ctes=SEASONS,
+        body="""select condition, gauge, y "year", r, c, cast(case when prep is null then 0 when qf <= prep then 1 when qp <= prep then 0.5 else 0 end as double) bed,
+          cast(case when mortality > 30 then 0 when mortality >= 20 then 0.5 else 1 end as double) desiccation,
+          cast(case when longest > 28 then 0 when longest >= 14 then 0.5 else 1 end as double) inundation,
+          cast(case when scp is null then 1 when qf <= scp then 0 when qp <= scp then 0.5 else 1 end as double) scour, round(mortality, 6) mortality, cast(longest as int) longest,
+          bed * desiccation * inundation * scour potential from mo_v join pk_v using (gauge, y) left join qm_v using (r, c)""",
+    ),
+)
+def recruitment_all_seasons(d: Data):
+    keyed = d.cells.filter("mu <> 5").withColumn("condition", F.expr("cast(ord % 2 as int)"))
+    layer = lambda column: keyed.select("condition", "r", "c", F.col(column).cast("double").alias("v"))
+    listed = F.array(*[F.lit(q) for _, q, _ in DISCHARGES])
+    wle = keyed.select("condition", "r", "c", F.explode(listed).alias("q")).withColumn("wle", F.lit(5.0) + F.col("condition") + F.col("q") / 100.0)
+    hydraulics = d.hydraulics.join(keyed.select("condition", "r", "c"), ["r", "c"])
+    gauges = d.table("lineitem").groupBy(F.expr("cast(l_suppkey % 3 as int)").alias("gauge"), F.col("l_shipdate").cast("date").alias("d"))
+    flow = gauges.agg(F.expr("1000 + cast(sum(cast(round(l_extendedprice * 100) as bigint)) % 768000 as double) / 128").alias("q"))
+    got = recruitment.recruitment(
+        layer("z"), wle, hydraulics, layer("dmean"), flow, 9.0, (1995, 1996), keys=["condition"], flow_keys=["gauge"]
+    )
+    return rounded(got.cells)
+
+
 @query(
     "crop_band",
     sql(
@@ -506,8 +556,7 @@ def recruitment_summary(d: Data):
 def crop_band(d: Data):
     listed = F.array(*[F.lit(q) for _, q, _ in DISCHARGES])
     wle = d.cells.select("r", "c", F.explode(listed).alias("q")).withColumn("wle", F.lit(5.0) + F.col("q") / 100.0)
-    packed, modelled = recruitment.surfaces(wle, [q for _, q, _ in DISCHARGES])
     p = RecruitmentParameters(band_lower=-300.0, band_upper=450.0)
-    return rounded(recruitment.crop_area(d.layer(), packed, modelled, d.flow, YEAR, p).drop("w"))
+    return rounded(recruitment.crop_area(d.layer(), wle, d.flow, p, YEAR).drop("year"))
 
 

@@ -219,11 +219,10 @@ def test_recession_equals_a_daily_walk(spark, table):
     noise = {dt.date(2019, 10, 1) + dt.timedelta(days=i): 2500 + 2400 * math.sin(i / 9) + 300 * rng.random() for i in range(366)}
     flow_record = record(spark, noise.get)
     dem, wle, hyd, grain = bench_reach(table)
-    p = RecruitmentParameters()
-    packed, modelled = recruitment.surfaces(wle)
-    days = recruitment.recession_days(flow_record, 2020, p)
-    crop = dem.select("r", "c", F.col("v").alias("dem")).join(packed, ["r", "c"])
-    got = {x["c"]: (x["mortality"], x["longest"]) for x in recruitment.recession(crop, modelled, days, 2020, p, "us").collect()}
+    p = RecruitmentParameters(band_lower=-1e6, band_upper=1e6)  # all cells
+    days = sorted((d, q) for d, q in noise.items() if dt.date(2020, 4, 29) <= d <= dt.date(2020, 9, 15))
+    modelled = [100.0, 5000.0]
+    got = {x["c"]: (x["mortality"], x["longest"]) for x in recruitment.recession(dem, wle, flow_record, p, 2020).collect()}
     level = []
     for _, q in days:
         lo, hi, w = recruitment.bracket(modelled, q)
@@ -253,8 +252,28 @@ def test_recruitment_masks(spark, table):
     assert [x["c"] for x in got.cells.collect()] == [2]
     graded = recruitment.recruitment(dem, wle, hyd, grain, flow_record, 1.0, 2020, graded=one)
     assert {x["c"]: x["bed"] for x in graded.cells.collect()}[1] == 1.0
-    with pytest.raises(ValueError):
-        recruitment.recruitment(dem, wle, hyd, grain, flow_record, 1.0, 2015)
+    with pytest.raises(Exception, match="no day in the 2015 seed season"):
+        recruitment.recruitment(dem, wle, hyd, grain, flow_record, 1.0, 2015).cells.collect()
+    assert recruitment.recruitment(dem, wle, hyd, grain, flow_record, 1.0, 2015, missing="skip").cells.count() == 0
+
+
+def test_recruitment_of_many_seasons_equals_single_ones(spark, table):
+    """Two conditions, two gauges and two years in one job, one of them without a record."""
+    dem, wle, hyd, grain = bench_reach(table)
+    plain = record(spark, lambda d: 5000 if d == dt.date(2020, 5, 3) else 100 + 7 * d.day)
+    wet = record(spark, lambda d: 5000 if d.month in (4, 5) and d.day % 3 else 300)
+    flow_record = plain.withColumn("gauge", F.lit("a")).unionByName(wet.withColumn("gauge", F.lit("b")))
+    both = lambda df, **shift: df.withColumn("site", F.lit(1)).unionByName(df.withColumns({k: F.col(k) + v for k, v in shift.items()}).withColumn("site", F.lit(2)))
+    got = recruitment.recruitment(
+        both(dem), both(wle, wle=0.5), both(hyd), both(grain), flow_record, 1.0, (2020, 2021), keys=["site"], flow_keys=["gauge"], missing="skip"
+    )
+    rows = got.cells.collect()
+    assert {x["year"] for x in rows} == {2020}
+    for site, gauge, one in ((1, "a", plain), (1, "b", wet), (2, "a", plain), (2, "b", wet)):
+        moved = wle.withColumn("wle", F.col("wle") + (0.5 if site == 2 else 0.0))
+        want = recruitment.recruitment(dem, moved, hyd, grain, one, 1.0, 2020).cells.collect()
+        assert want and sorted(tuple(x)[3:] for x in rows if x["site"] == site and x["gauge"] == gauge) == sorted(map(tuple, want))
+    assert got.summary.count() == 4
 
 
 def test_terraforming_lands_on_the_limit(table):
@@ -402,9 +421,9 @@ def test_scratch_folder_is_local_only_here(spark, table):
 def test_missing_surface_is_dry(spark, table):
     wle = table([(0, 0, 1.0, 5.0), (0, 0, 2.0, 6.0), (0, 1, 2.0, 6.5)], "r int, c int, q double, wle double")
     for known in (None, [1.0, 2.0]):
-        packed, modelled = recruitment.surfaces(wle, known)
-        assert modelled == [1.0, 2.0]
-        assert {(x["r"], x["c"]): x["w"] for x in packed.collect()} == {(0, 0): [5.0, 6.0], (0, 1): [None, 6.5]}
+        packed = recruitment.surfaces(wle, known).collect()
+        assert {tuple(x["m"]) for x in packed} == {(1.0, 2.0)}
+        assert {(x["r"], x["c"]): x["w"] for x in packed} == {(0, 0): [5.0, 6.0], (0, 1): [None, 6.5]}
 
 
 def test_literals_keep_infinity(spark, table):
