@@ -1,8 +1,8 @@
 """Neighbourhood operators.
 
-The four neighbours of a cell come from tiles with a rim of one cell. Larger windows are scattered:
-every cell is sent to the cells that look at it, then one aggregation per target cell, combined
-before the shuffle, collects what arrived. No group is larger than a tile or the stencil.
+The four neighbours of a cell come from tiles with a rim of one cell. Squares and discs of any
+size are swept: along a row, then along a column, each target has one owner, its nearest source, and
+sums up to either end of a window are running sums. The cost does not depend on the window.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from .nearest import nearest_source
+from ..session import spread
 
 
 def neighbours(cells: DataFrame, value: str = "v", keys: Sequence[str] = (), tile: int = 64) -> DataFrame:
@@ -99,56 +99,72 @@ def hillshade(dem: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: floa
     return gradients(dem, grid, value, keys).select(*keys, "r", "c", clipped.alias("shade"))
 
 
+def within_reach(rows: DataFrame, across: str, along: str, reach: int, size: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``_at``: the places within ``reach`` of a row along its line, each listed once, at the nearest row.
+
+    ``rows`` are distinct places; ties between two rows go to the one with the smaller ``along``.
+    """
+    line = Window.partitionBy(*keys, across).orderBy(along)
+    here, before, after = F.col(along), F.lag(along).over(line), F.lead(along).over(line)
+    first = F.greatest(here - reach, F.lit(0), F.floor((before + here) / 2) + 1)
+    last = F.least(here + reach, F.lit(size - 1), F.floor((here + after) / 2))
+    return rows.withColumns({"_first": first.cast("int"), "_last": last.cast("int")}).withColumn("_at", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+
+
 def focal_fraction(cells: DataFrame, grid: Grid, window: int = 1, present: str = "present", keys: Sequence[str] = ()) -> DataFrame:
     """Share of present cells among the valid cells of each (2w+1)-square neighbourhood.
 
-    ``cells`` lists the valid cells with a boolean ``present``. Every grid cell with at least
-    one valid neighbour is returned. The box sum is separable: rows first, then columns.
+    ``cells`` lists the valid cells, each once, with a boolean ``present``. Every grid cell with at least
+    one valid neighbour is returned. The box sum is separable, rows first, then columns; each is the
+    difference of two running sums, whatever the window.
     """
     flags = cells.select(
-        *keys, "r", "c", F.coalesce(F.col(present), F.lit(False)).cast("int").alias("p"), F.lit(1).alias("n")
+        *keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.coalesce(F.col(present), F.lit(False)).cast("long").alias("p"), F.lit(1).cast("long").alias("n")
     )
     if window < 1:
         return flags.select(*keys, "r", "c", F.col("p").cast("double").alias("fraction"))
-    reach = F.sequence(F.lit(-window), F.lit(window))
-    for axis, size in (("c", grid.ncols), ("r", grid.nrows)):
-        spread = flags.withColumn("_o", F.explode(reach)).withColumn(axis, F.col(axis) + F.col("_o"))
-        spread = spread.filter((F.col(axis) >= 0) & (F.col(axis) < size))
-        flags = spread.groupBy(*keys, "r", "c").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    for across, along, size in (("r", "c", grid.ncols), ("c", "r", grid.nrows)):
+        rows = within_reach(flags, across, along, window, size, keys)
+        own = F.col("_at") == F.col(along)
+        rows = rows.select(*keys, across, F.col("_at").alias(along), *[F.when(own, F.col(x)).otherwise(0).alias(x) for x in ("p", "n")])
+        line = Window.partitionBy(*keys, across).orderBy(along)
+        ahead, behind = line.rangeBetween(Window.unboundedPreceding, window), line.rangeBetween(Window.unboundedPreceding, -window - 1)
+        flags = rows.withColumns({x: F.sum(x).over(ahead) - F.coalesce(F.sum(x).over(behind), F.lit(0)) for x in ("p", "n")})
     return flags.select(*keys, "r", "c", (F.col("p") / F.col("n")).alias("fraction"))
 
 
-def disc_offsets(radius: float, dx: float, dy: float) -> list[tuple[int, int]]:
-    """Cell offsets whose centre distance is within the radius."""
-    nr, nc = int(radius // abs(dy)), int(radius // abs(dx))
-    return [
-        (i, j)
-        for i in range(-nr - 1, nr + 2)
-        for j in range(-nc - 1, nc + 2)
-        if math.sqrt((j * dx) ** 2 + (i * dy) ** 2) <= radius
-    ]
+def half_widths(radius: float, grid: Grid) -> list[int]:
+    """Cells to either side of the centre that a disc holds, in the rows at distance 0, 1, ... of its centre."""
+    dx, dy = abs(grid.dx), abs(grid.dy)
+    out = []
+    for i in range(min(int(radius // dy) + 1, grid.nrows - 1) + 1):
+        if math.sqrt((i * dy) ** 2) > radius:
+            break
+        j = int(math.sqrt(max(radius**2 - (i * dy) ** 2, 0.0)) // dx) + 1
+        while math.sqrt((j * dx) ** 2 + (i * dy) ** 2) > radius:
+            j -= 1
+        out.append(j)
+    return out
 
 
-def within_radius(sources: DataFrame, grid: Grid, radius: float, keys: Sequence[str] = (), max_stencil: int = 128) -> DataFrame:
+def within_radius(sources: DataFrame, grid: Grid, radius: float, keys: Sequence[str] = ()) -> DataFrame:
     """Grid cells whose centre lies within ``radius`` of a source cell.
 
-    A small disc is scattered from the sources; beyond ``max_stencil`` cells the exact
-    distance transform is used, whose cost does not depend on the radius.
+    Along each column the cells within the radius know their nearest source. Its distance says how
+    wide the disc is in that row; a sweep along the row joins these intervals, so each cell is
+    made once.
     """
-    sources = sources.select(*keys, "r", "c")
+    sources = sources.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
     if radius <= 0:
-        return sources.distinct()
-    disc = disc_offsets(radius, grid.dx, grid.dy)
-    if len(disc) <= max_stencil:
-        if len(disc) == 1:
-            return sources.distinct()
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disc])
-        spread = sources.withColumn("_o", F.explode(steps)).select(
-            *keys, (F.col("r") + F.col("_o.i")).alias("r"), (F.col("c") + F.col("_o.j")).alias("c")
-        )
-        return spread.filter(grid.contains("r", "c")).distinct()
-    found = nearest_source(grid_cells(sources, grid, keys), sources.withColumn("v", F.lit(0.0)), grid, keys=keys)
-    return found.filter(F.col("dist") <= F.lit(float(radius))).select(*keys, "r", "c")
+        return sources
+    wide = half_widths(radius, grid)
+    band = within_reach(sources, "c", "r", len(wide) - 1, grid.nrows, keys)
+    width = F.element_at(F.lit(wide), F.abs(F.col("_at") - F.col("r")) + 1)
+    first, last = F.greatest(F.col("c") - width, F.lit(0)), F.least(F.col("c") + width, F.lit(grid.ncols - 1))
+    band = band.select(*keys, F.col("_at").alias("r"), first.alias("_first"), last.alias("_last"))
+    sweep = Window.partitionBy(*keys, "r").orderBy("_first", "_last").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = band.withColumn("_first", F.greatest("_first", F.max("_last").over(sweep) + 1)).filter("_first <= _last")
+    return fresh.select(*keys, "r", F.explode(F.sequence("_first", "_last")).alias("c"))
 
 
 def grid_cells(like: DataFrame, grid: Grid, keys: Sequence[str] = ()) -> DataFrame:
@@ -160,4 +176,5 @@ def grid_cells(like: DataFrame, grid: Grid, keys: Sequence[str] = ()) -> DataFra
             F.floor(F.col("id") / grid.ncols).cast("int").alias("r"), (F.col("id") % grid.ncols).cast("int").alias("c")
         )
     rows = like.select(*keys).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(grid.nrows - 1))))
-    return rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid.ncols - 1))))
+    # rows are dealt out before they become cells, so one key is not one task
+    return spread(rows, *keys, "r").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid.ncols - 1))))

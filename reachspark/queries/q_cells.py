@@ -95,6 +95,20 @@ def focal(d: Data):
     return rounded(stencil.focal_fraction(valid, d.grid, 2))
 
 
+@query(
+    "focal_fraction_wide",
+    sql(
+        "cells_v",
+        ctes=f"v_v as (select r, c, z > 50 p from cells_v where mu < 25), o_v as {disc_sql(15)}",
+        body="""select v.r + i r, v.c + j c, round(sum(case when p then 1 else 0 end) / count(*), 9) fraction from v_v v, o_v
+          where v.r + i between 0 and (select max(r) from cells_v) and v.c + j between 0 and 127 group by 1, 2""",
+    ),
+)
+def focal_wide(d: Data):
+    valid = d.cells.filter("mu < 25").select("r", "c", (F.col("z") > 50).alias("present"))
+    return rounded(stencil.focal_fraction(valid, d.grid, 15), 9)
+
+
 @query(
     "within_radius",
     sql(

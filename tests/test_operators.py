@@ -216,14 +216,30 @@ def test_corridor_writes_border_cells_only(spark, monkeypatch):
     assert written[0].count() == 10 and sum(t.count() for t in written[1:]) <= 12 * 10
 
 
-def test_within_radius_small_and_large_agree(mask):
-    _, cells = mask
+@pytest.mark.parametrize("radius", [0.0, 0.5, 1.0, 2.5, 5.0, 19.0, 200.0])
+def test_within_radius_equals_distances(mask, radius):
+    m, cells = mask
     g = Grid(R, C, dx=1.0, dy=2.0)
-    src = cells.filter("v < 0.02")
-    small = stencil.within_radius(src, g, 5.0, max_stencil=10**6)
-    large = stencil.within_radius(src, g, 5.0, max_stencil=2)
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
-    assert stencil.within_radius(src, g, 0.0).count() == src.count()
+    src = cells.filter("v < 0.02").union(cells.filter("v < 0.01"))
+    s = src.toPandas()
+    rr, cc = np.mgrid[:R, :C]
+    near = np.sqrt(((rr[..., None] - s.r.to_numpy()) * 2.0) ** 2 + (cc[..., None] - s.c.to_numpy()) ** 2).min(axis=2) <= radius
+    got = stencil.within_radius(src, g, radius).toPandas()
+    assert len(got) == near.sum() and near[got.r, got.c].all() and not got.duplicated().any()
+
+
+@pytest.mark.parametrize("window", [1, 4, 15, 60])
+def test_focal_fraction_of_any_window(mask, window):
+    m, cells = mask
+    got = stencil.focal_fraction(cells.withColumn("present", F.col("v") > 0.7), GRID, window).toPandas()
+    v = np.full((R, C), np.nan)
+    t = cells.toPandas()
+    v[t.r, t.c] = t.v > 0.7
+    for row in got.sample(60, random_state=1).itertuples():
+        box = v[max(row.r - window, 0) : row.r + window + 1, max(row.c - window, 0) : row.c + window + 1]
+        assert row.fraction == pytest.approx(np.nanmean(box))
+    assert not got.duplicated(["r", "c"]).any() and got.r.between(0, R - 1).all() and got.c.between(0, C - 1).all()
+    assert len(got) == R * C if window > 4 else len(got) > 0
 
 
 def test_slope_of_planes(grid_table):
