@@ -198,23 +198,29 @@ def largest_region(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return top.select(*keys, (-F.col("m.neg")).alias("label"), F.col("m.cells").alias("cells"))
 
 
-def disconnected(labelled: DataFrame, target: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def disconnected(labelled: DataFrame, target: DataFrame | None = None, keys: Sequence[str] = (), tile: int = 128) -> DataFrame:
     """Cells of regions that do not touch the target cells.
 
     Per key: without a target, or when no region touches it, every region but the largest is
-    disconnected. ``target`` holds (r, c), shared by all keys.
+    disconnected. ``target`` holds (r, c), shared by all keys. What is connected is decided on pieces, one
+    row per tile and region, and cells are dropped by piece; so the main channel, which may be most of
+    the table, is no hot key.
     """
     keys = list(keys)
-    biggest = largest_region(labelled, keys).select(*keys, "label")
-    if target is None:
-        return labelled.join(biggest, [*keys, "label"], "left_anti")
-    touched = labelled.join(target.select("r", "c").distinct(), ["r", "c"], "left_semi").select(*keys, "label").distinct()
-    if keys:
-        fallback = biggest.join(touched, keys, "left_anti")
-    else:
-        any_hit = touched.agg(F.count(F.lit(1)).alias("n")).scalar()
-        fallback = biggest.filter(any_hit == 0)
-    connected = touched.unionByName(fallback)
-    return labelled.join(connected, [*keys, "label"], "left_anti")
-
-
+    place = {"_tr": F.floor(F.col("r") / tile), "_tc": F.floor(F.col("c") / tile)}
+    piece = [*keys, "label", *place]
+    placed = labelled.withColumns(place)
+    pieces = placed.groupBy(*piece).agg(F.count(F.lit(1)).alias("cells"))
+    sizes = pieces.groupBy(*keys, "label").agg(F.sum("cells").alias("cells"))
+    top = sizes.groupBy(*keys).agg(F.max(F.struct("cells", (-F.col("label")).alias("neg"))).alias("m")).filter("m IS NOT NULL")
+    connected = top.select(*keys, (-F.col("m.neg")).alias("label"))
+    if target is not None:
+        touched = labelled.join(target.select("r", "c").distinct(), ["r", "c"], "left_semi").select(*keys, "label").distinct()
+        if keys:
+            fallback = connected.join(touched, keys, "left_anti")
+        else:
+            any_hit = touched.agg(F.count(F.lit(1)).alias("n")).scalar()
+            fallback = connected.filter(any_hit == 0)
+        connected = touched.unionByName(fallback)
+    gone = pieces.join(connected, [*keys, "label"], "left_semi").select(*piece)
+    return placed.join(gone, piece, "left_anti").select(labelled.columns)

@@ -8,7 +8,7 @@ sums up to either end of a window are running sums. The cost does not depend on
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,7 +99,7 @@ def hillshade(dem: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: floa
     return gradients(dem, grid, value, keys).select(*keys, "r", "c", clipped.alias("shade"))
 
 
-def within_reach(rows: DataFrame, across: str, along: str, reach: int, size: int, keys: Sequence[str] = ()) -> DataFrame:
+def within_reach(rows: DataFrame, across: str, along: str, reach: int | Column, size: int, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``_at``: the places within ``reach`` of a row along its line, each listed once, at the nearest row.
 
     ``rows`` are distinct places; ties between two rows go to the one with the smaller ``along``.
@@ -135,6 +135,8 @@ def focal_fraction(cells: DataFrame, grid: Grid, window: int = 1, present: str =
 
 def half_widths(radius: float, grid: Grid) -> list[int]:
     """Cells to either side of the centre that a disc holds, in the rows at distance 0, 1, ... of its centre."""
+    if radius <= 0:
+        return [0]
     dx, dy = abs(grid.dx), abs(grid.dy)
     out = []
     for i in range(min(int(radius // dy) + 1, grid.nrows - 1) + 1):
@@ -147,19 +149,26 @@ def half_widths(radius: float, grid: Grid) -> list[int]:
     return out
 
 
-def within_radius(sources: DataFrame, grid: Grid, radius: float, keys: Sequence[str] = ()) -> DataFrame:
+def within_radius(sources: DataFrame, grid: Grid, radius: float | Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Grid cells whose centre lies within ``radius`` of a source cell.
 
+    A mapping gives a radius to each value of the last key, so that all kinds share one pass.
+
     Along each column the cells within the radius know their nearest source. Its distance says how
     wide the disc is in that row; a sweep along the row joins these intervals, so each cell is
     made once.
     """
     sources = sources.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
-    if radius <= 0:
-        return sources
-    wide = half_widths(radius, grid)
-    band = within_reach(sources, "c", "r", len(wide) - 1, grid.nrows, keys)
-    width = F.element_at(F.lit(wide), F.abs(F.col("_at") - F.col("r")) + 1)
+    if isinstance(radius, Mapping):
+        sources = sources.filter(F.col(keys[-1]).isin(list(radius)))
+        wide = {kind: half_widths(x, grid) for kind, x in radius.items()}
+        pick = lambda made: F.coalesce(*[F.when(F.col(keys[-1]) == kind, F.lit(made(w))) for kind, w in wide.items()])
+        reach, table = pick(lambda w: len(w) - 1), pick(list)
+    else:
+        table = half_widths(radius, grid)
+        reach, table = F.lit(len(table) - 1), F.lit(table)
+    band = within_reach(sources, "c", "r", reach, grid.nrows, keys)
+    width = F.element_at(table, F.abs(F.col("_at") - F.col("r")) + 1)
     first, last = F.greatest(F.col("c") - width, F.lit(0)), F.least(F.col("c") + width, F.lit(grid.ncols - 1))
     band = band.select(*keys, F.col("_at").alias("r"), first.alias("_first"), last.alias("_last"))
     sweep = Window.partitionBy(*keys, "r").orderBy("_first", "_last").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import algebra
 from ..grid import Grid
 from ..operators.stencil import focal_fraction, grid_cells, within_radius
+from ..session import cut
 
 Curve = Sequence[tuple[float, float]]
 
@@ -60,8 +61,13 @@ def seasonal_area(areas: DataFrame, duration: DataFrame, keys: Sequence[str] = (
 
 def derived_presence(grain: DataFrame, cover: str, unit: str = "us") -> DataFrame:
     """Cells whose grain size makes them cobbles or boulders."""
+    return grain.filter(in_grain_range("v", cover, unit))
+
+
+def in_grain_range(v: str, cover: str, unit: str = "us") -> Column:
+    """Is a grain size that of cobbles or boulders?"""
     low, high = (limit * K.length_factor(unit) for limit in K.GRAIN_LIMITS_M[cover])
-    return grain.filter((F.col("v") >= F.lit(low)) & (F.col("v") < F.lit(high)))
+    return (F.col(v) >= F.lit(low)) & (F.col(v) < F.lit(high))
 
 
 def cover_suitability(
@@ -87,48 +93,51 @@ def cover_suitability(
     cell = [*keys, "r", "c"]
     asked = [c for c in K.COVER_ORDER if curves.get(c)] + ["substrate"]
     present = {row["cover"] for row in layers.filter(F.col("cover").isin(asked)).select("cover").distinct().collect()}
-    reach = None
-    if depth is not None:
-        reach = depth.filter(F.col("h") >= F.lit(float(h_min))).select(*cell)
-
-    def reachable(df: DataFrame) -> DataFrame:
-        return df if reach is None else df.join(reach, ["r", "c"])
+    scores, radii, derived = {}, {}, []
+    for cover in K.COVER_ORDER:
+        if not curves.get(cover) or cover == "substrate":
+            continue
+        if cover not in present:
+            if cover not in K.MINERAL_COVER or "substrate" not in present:
+                continue
+            derived.append(cover)
+        radii[cover], scores[cover] = (float(x) for x in sorted(curves[cover])[0])
+    if not scores and not (curves.get("substrate") and "substrate" in present):
+        raise ValueError("no cover layer has a curve")
 
-    def layer(name: str) -> DataFrame:
-        return layers.filter(F.col("cover") == name).select("r", "c", "v")
+    # every kind a cell offers, from one scan, and one join with depth
+    substrate = F.col("cover") == "substrate"
+    kinds = [F.when(substrate, F.lit("substrate")), F.when(~substrate & (F.col("v") > 0) & F.col("cover").isin(list(scores)), F.col("cover"))]
+    kinds += [F.when(substrate & in_grain_range("v", cover, unit), F.lit(cover)) for cover in derived]
+    offered = layers.filter(F.col("cover").isin([*scores, "substrate"])).withColumn("kind", F.explode(F.array_compact(F.array(*kinds))))
+    offered = offered.select("r", "c", "kind", "v")
+    if depth is not None:
+        offered = cut(offered.join(depth.filter(F.col("h") >= F.lit(float(h_min))).select(*cell), ["r", "c"]))
 
+    by_share = {c for c in scores if c in K.MINERAL_COVER and mineral_rule == "fraction"}
+    by_radius = {c: radii[c] for c in scores if c not in by_share}
     parts = []
-    for cover in K.COVER_ORDER:
-        points = curves.get(cover)
-        if not points:
-            continue
-        if cover == "substrate":
-            if cover in present:
-                graded = reachable(layer(cover)).withColumn("cover", algebra.apply_curve("v", points))
-                parts.append(graded.select(*cell, "cover", F.lit(cover).alias("kind")))
-            continue
-        if cover in present:
-            where = layer(cover).filter("v > 0")
-        elif cover in K.MINERAL_COVER and "substrate" in present:
-            where = derived_presence(layer("substrate"), cover, unit)
+    if curves.get("substrate") and "substrate" in present:
+        graded = offered.filter("kind = 'substrate'").withColumn("cover", algebra.apply_curve("v", curves["substrate"]))
+        parts.append(graded.select(*cell, "cover"))
+    if by_radius:
+        near = within_radius(offered.select(*cell, "kind"), grid, by_radius, [*keys, "kind"])
+        score = F.coalesce(*[F.when(F.col("kind") == c, F.lit(scores[c])) for c in by_radius])
+        parts.append(near.select(*cell, score.alias("cover")))
+    for cover in sorted(by_share):
+        if "substrate" in present:
+            ground = offered.filter("kind = 'substrate'").select(*cell)
         else:
-            continue
-        threshold, score = (float(x) for x in sorted(points)[0])
-        where = reachable(where.select("r", "c")).select(*cell)
-        if cover in K.MINERAL_COVER and mineral_rule == "fraction":
-            ground = layer("substrate").select("r", "c") if "substrate" in present else grid_cells(layers, grid)
-            ground = reachable(ground).select(*cell)
-            marked = ground.join(where.withColumn("present", F.lit(True)), cell, "left")
-            sheltered = focal_fraction(marked, grid, window, keys=keys).filter(F.col("fraction") > F.lit(threshold))
-        else:
-            sheltered = within_radius(where, grid, threshold, keys=keys)
-        parts.append(sheltered.select(*cell, F.lit(score).alias("cover"), F.lit(cover).alias("kind")))
-    if not parts:
-        raise ValueError("no cover layer has a curve")
+            ground = grid_cells(layers, grid)
+            ground = ground if depth is None else ground.join(depth.filter(F.col("h") >= F.lit(float(h_min))).select(*cell), ["r", "c"])
+        marked = ground.join(offered.filter(F.col("kind") == cover).select(*cell).withColumn("present", F.lit(True)), cell, "left")
+        share = focal_fraction(marked, grid, window, keys=keys).filter(F.col("fraction") > F.lit(radii[cover]))
+        parts.append(share.select(*cell, F.lit(scores[cover]).alias("cover")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy(*cell).agg(F.max("cover").alias("cover"), F.countDistinct("kind").alias("kinds"))
+    # a kind gives a cell one row at most
+    return out.groupBy(*cell).agg(F.max("cover").alias("cover"), F.count("*").alias("kinds"))
 
 
 def habitat(
