@@ -35,7 +35,10 @@ from reachspark.session import cut, spread
 
 ORDER, DISCOUNT = 2, 0.75
 #: Bytes of text in a block (one document at least) and, on average, behind a shard.
-BLOCK_BYTES, SHARD_BYTES = 10 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
+#: Frequent words that payloads name by number instead of value; they shorten payloads and decide nothing.
+COMMON = 1 << 16
+_NONE = np.zeros(0, np.uint64)
 #: Words are told apart by 56 bits, which leave about seven chance pairs among a thousand million different words.
 _WIDTH = np.uint64(8)
 _START, _END = np.uint64(0x5D7A3C1E9B86F0), np.uint64(0xA1C4E7092B6D8F)
@@ -152,8 +155,10 @@ def _block(payload: bytes, lengths: list[int], order: int, shards: int) -> Block
     return Block(words, lengths, columns, ends, shard, by_shard)
 
 
-def _by_shard(block: Block, counts: list[np.ndarray] | None) -> Iterator[tuple[int, bytes]]:
-    """The n-grams of each shard, in the block's order, with the part of the vocabulary they use."""
+def _by_shard(block: Block, counts: list[np.ndarray] | None, common: np.ndarray = _NONE) -> Iterator[tuple[int, bytes]]:
+    """The n-grams of each shard, in the block's order, with the part of the vocabulary they use: common words, then others."""
+    number = np.searchsorted(common, block.words)
+    known = np.append(common, np.uint64(0))[number] == block.words if len(common) else np.zeros(len(block.words), bool)
     bounds = [np.searchsorted(s[o], np.arange(int(max(x.max(initial=-1) for x in block.shards)) + 2)) for s, o in zip(block.shards, block.order, strict=True)]
     for shard in range(len(bounds[0]) - 1):
         rows = [o[b[shard] : b[shard + 1]] for o, b in zip(block.order, bounds, strict=True)]
@@ -161,15 +166,19 @@ def _by_shard(block: Block, counts: list[np.ndarray] | None) -> Iterator[tuple[i
             continue
         columns = [[c[r] for c in cols] for cols, r in zip(block.columns, rows, strict=True)]
         used = np.unique(np.concatenate([c for cols in columns for c in cols]))
-        out = [np.diff(block.words[used], prepend=np.uint64(0))]
+        named, other = used[known[used]], used[~known[used]]
+        local = np.empty(len(used), np.int32)
+        local[known[used]] = np.arange(len(named))
+        local[~known[used]] = np.arange(len(named), len(used))
+        out = [np.diff(number[named].astype(np.int32), prepend=np.int32(0)), np.diff(block.words[other], prepend=np.uint64(0))]
         for k, cols in enumerate(columns):
-            out += [np.diff(np.searchsorted(used, c).astype(np.int32), prepend=np.int32(0)) for c in cols]
+            out += [np.diff(local[np.searchsorted(used, c)], prepend=np.int32(0)) for c in cols]
             if counts is not None:
                 out.append(counts[k][rows[k]].astype(np.int32))
         yield shard, _pack(out)
 
 
-def _grams(blocks: DataFrame, shards: int, order: int, counted: bool) -> DataFrame:
+def _grams(blocks: DataFrame, shards: int, order: int, counted: bool, common: np.ndarray = _NONE) -> DataFrame:
     """``shard, block, payload``: distinct n-grams of every block, if asked with their counts in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +187,7 @@ def _grams(blocks: DataFrame, shards: int, order: int, counted: bool) -> DataFra
                 block = _block(row["payload"], row["lengths"], order, shards)
                 learnt = np.repeat(~np.array(row["held"], bool), block.lengths)
                 counts = [np.bincount(w[learnt], minlength=len(c[0])) for w, c in zip(block.which, block.columns, strict=True)] if counted else None
-                for shard, payload in _by_shard(block, counts):
+                for shard, payload in _by_shard(block, counts, common):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([payload], pa.binary())],
                         names=["shard", "block", "payload"],
@@ -187,11 +196,11 @@ def _grams(blocks: DataFrame, shards: int, order: int, counted: bool) -> DataFra
     return spread(blocks.mapInArrow(run, _PACKED), "shard")
 
 
-def _merged(payloads: list[bytes], order: int, counted: bool) -> tuple[np.ndarray, list[list[np.ndarray]], list[np.ndarray], list[np.ndarray], list[list[int]]]:
+def _merged(payloads: list[bytes], order: int, counted: bool, common: np.ndarray = _NONE) -> tuple[np.ndarray, list[list[np.ndarray]], list[np.ndarray], list[np.ndarray], list[list[int]]]:
     """Distinct n-grams of many payloads: vocabulary, sorted columns, summed counts, where each row went, rows per payload."""
     parts = [_unpack(p) for p in payloads]
     for p in parts:
-        p[0] = np.cumsum(p[0], dtype=np.uint64)
+        p[0] = np.concatenate((common[np.cumsum(p[0])], np.cumsum(p.pop(1), dtype=np.uint64)))
     vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
     columns: list[list[np.ndarray]] = []
     counts, back, sizes = [], [], []
@@ -270,8 +279,12 @@ def _tokens(blocks: DataFrame) -> int:
     return blocks.agg(F.sum("train_tokens")).first()[0] or 0
 
 
-def _vocabulary(blocks: DataFrame, shards: int) -> int:
-    """Different words, ends included, of the training documents; each is counted in the shard of its value."""
+def _vocabulary(blocks: DataFrame, shards: int) -> tuple[int, np.ndarray]:
+    """Different words, ends included, of the training documents, and about COMMON of the words that are in most blocks.
+
+    Each word is counted in the shard of its value.
+    """
+    most = max(1, COMMON // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,11 +303,14 @@ def _vocabulary(blocks: DataFrame, shards: int) -> int:
                 )
 
     def count(group: pa.Table) -> pa.Table:
-        different = np.unique(np.concatenate([_unpack(p)[0] for p in group.column("payload").to_pylist()]))
-        return pa.table({"words": pa.array([len(different)], pa.int64())})
+        different, times = np.unique(np.concatenate([_unpack(p)[0] for p in group.column("payload").to_pylist()]), return_counts=True)
+        frequent = different[np.argsort(-times, kind="stable")[:most]]
+        return pa.table({"shard": group.column("shard").slice(0, 1), "words": pa.array([len(different)], pa.int64()), "frequent": pa.array([frequent.tobytes()], pa.binary())})
 
-    found = spread(blocks.mapInArrow(run, _PACKED), "shard").groupBy("shard").applyInArrow(count, "words long")
-    return found.agg(F.sum("words")).first()[0] or 0
+    found = cut(spread(blocks.mapInArrow(run, _PACKED), "shard").groupBy("shard").applyInArrow(count, "shard int, words long, frequent binary"))
+    rows = found.filter(F.col("shard") < COMMON).select("frequent").collect()  # COMMON words at most
+    words = np.frombuffer(b"".join(bytes(x["frequent"]) for x in rows), np.uint64)
+    return found.agg(F.sum("words")).first()[0] or 0, np.sort(words)
 
 
 def _answer(levels: bytes, vocabulary: np.ndarray, columns: list[list[np.ndarray]], back: list[np.ndarray], sizes: list[list[int]]) -> list[bytes]:
@@ -399,7 +415,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT
     """Train on nine documents in ten and score all of them, with one shuffle of the n-grams; see :func:`score`."""
 
     def learn(group: pa.Table) -> pa.Table:
-        vocabulary, columns, counts, back, sizes = _merged(group.column("payload").to_pylist(), order, True)
+        vocabulary, columns, counts, back, sizes = _merged(group.column("payload").to_pylist(), order, True, common)
         levels = _build(vocabulary, columns, counts, discount)
         del counts
         rows = _answer(levels, vocabulary, columns, back, sizes)
@@ -407,5 +423,6 @@ def score_corpus(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT
 
     shards = shards_for(docs, shard_bytes)
     blocks = cut(tokenise(docs, block_bytes))
-    answers = _grams(blocks, shards, order, True).groupBy("shard").applyInArrow(learn, "block long, shard int, answer binary")
-    return _combined(blocks, answers, _tokens(blocks), _vocabulary(blocks, shards), shards, order)
+    words, common = _vocabulary(blocks, shards)
+    answers = _grams(blocks, shards, order, True, common).groupBy("shard").applyInArrow(learn, "block long, shard int, answer binary")
+    return _combined(blocks, answers, _tokens(blocks), words, shards, order)
