@@ -17,6 +17,7 @@ from ..operators.knn import idw, kriging
 from ..operators.nearest import nearest_source
 from ..operators.order import thin
 from ..operators.stencil import grid_cells
+from ..session import Guard
 
 
 def interpolate(targets: DataFrame, sources: DataFrame, grid: Grid, method: str = "nearest", keys: Sequence[str] = (), **options) -> DataFrame:
@@ -113,14 +114,15 @@ def morphological_units(hydraulics: DataFrame, units: Iterable[UnitRange], unit:
     return out
 
 
-def bed_shear_stress(hydraulics: DataFrame, grain: DataFrame, unit: str = "us", grain_kind: str = "dmean", keys: Sequence[str] = ("q",), **closure) -> DataFrame:
+def bed_shear_stress(hydraulics: DataFrame, grain: DataFrame, unit: str = "us", grain_kind: str = "dmean", keys: Sequence[str] = ("q",), guard: Guard | None = None, **closure) -> DataFrame:
     """``keys, r, c, ustar2, theta84, h_over_ks, regime`` on the grain layer's cells.
 
-    Dry cells and cells without flow data are invalid (regime 0).
+    Dry cells and cells without flow data are invalid (regime 0); a ``guard`` tells if all are, at every discharge.
     """
     flow = hydraulics.select(*keys, "r", "c", F.when(F.col("h") > 0, F.col("h")).alias("h"), "u")
     rows = flow.join(grain.select("r", "c", F.col("v").alias("_grain")), ["r", "c"])
     rows = shear.with_bed_shear(rows, shear.d84("_grain", grain_kind), g=K.gravity(unit), **closure)
+    rows = rows if guard is None else guard.watch(rows, "theta84")
     return rows.select(*keys, "r", "c", "ustar2", "theta84", "h_over_ks", "regime")
 
 

@@ -21,7 +21,7 @@ from .. import constants as K
 from ..functions import shear
 from ..functions.algebra import ladder
 from ..functions.season import date_in
-from ..session import spread
+from ..session import Guard, spread
 from ..sources.lookup import RecruitmentParameters
 
 #: Days of one season at most, and the width of the square tiles a season is walked in.
@@ -29,15 +29,16 @@ MAX_DAYS, TILE = 400, 64
 
 
 def mobilising_discharge(
-    hydraulics: DataFrame, grain: DataFrame, taus: dict[str, float], unit: str = "us", keys: Sequence[str] = ()
+    hydraulics: DataFrame, grain: DataFrame, taus: dict[str, float], unit: str = "us", keys: Sequence[str] = (), guard: Guard | None = None
 ) -> DataFrame:
     """``keys, r, c`` and, per name in ``taus``, the lowest discharge whose Shields stress reaches it.
 
-    Absent where no modelled discharge does. All thresholds share one pass.
+    Absent where no modelled discharge does. All thresholds share one pass, which a ``guard`` watches for stress that is NoData everywhere.
     """
     flow = hydraulics.select(*keys, "q", "r", "c", F.when(F.col("h") > 0, F.col("h")).alias("h"), "u")
     rows = flow.join(grain.select(*keys, "r", "c", F.col("v").alias("_grain")), [*keys, "r", "c"])
     rows = shear.with_bed_shear(rows, shear.d84("_grain"), g=K.gravity(unit))
+    rows = rows if guard is None else guard.watch(rows, "theta84")
     return rows.groupBy(*keys, "r", "c").agg(*[F.min(F.when(F.col("theta84") >= F.lit(tau), F.col("q"))).alias(name) for name, tau in taus.items()])
 
 

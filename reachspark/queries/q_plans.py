@@ -8,6 +8,7 @@ from .. import constants as K
 from ..grid import Grid
 from ..operators.stencil import slope as slope_of
 from ..plans import duration, habitat, lifespan, preparation, recruitment, terrain
+from ..session import scratch_path
 from ..sources import layers
 from ..sources.lookup import Feature, RecruitmentParameters, default_features, planting_depth_limit
 from .q_algebra import FRY_H, FRY_U, G_US, N_US, SUBSTRATE, curve_sql, grain_sql, shear_sql, units_sql, UNITS
@@ -356,6 +357,15 @@ def shear_layers(d: Data):
     return rounded(layers.shear_layers(preparation.bed_shear_stress(d.hydraulics, d.layer("dmean"))))
 
 
+@query("stored_shear_layers", sql("cells_v", "hydraulics_v", ctes=SHEAR, body="select q, r, c, round(theta84, 6) v from shear_v where regime > 0"))
+def stored_shear_layers(d: Data):
+    """Shear layers written by discharge and quantity; one quantity is read back."""
+    path = scratch_path(d.spark)
+    layers.write_layers(layers.shear_layers(preparation.bed_shear_stress(d.hydraulics, d.layer("dmean"))), path, ["q", "layer"])
+    back = layers.read_layers(d.spark, path, ["ts"])
+    return rounded(back.select(F.col("q").cast("double").alias("q"), "r", "c", "v"))
+
+
 @query(
     "standalone_shear",
     sql(

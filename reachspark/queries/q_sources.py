@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.naming import short_code
 from ..plans import cost as cost_plan
-from ..sources import definitions, flow, layers, lookup
+from ..session import scratch_path
+from ..sources import definitions, flow, layers, lookup, textgrids
 from .registry import Data, query, rounded, sql
 
 LONG = """l_v as (select 'dem' layer, r, c, z v from cells_v union all select 'd2w', r, c, case when k7 = 0 then -999.0 else d2w end from cells_v
@@ -27,6 +28,37 @@ def read_layer(d: Data):
     return layers.read_layer(long_cells(d), "d2w", K.NODATA)
 
 
+GRIDS = """select layer, 3.0 x0, 7.0 y0, 2.0 dx, 1.5 dy, cast(max(r) + 1 as int) nrows, 128 ncols from l_v group by layer"""
+
+
+def stored_grids(d: Data):
+    """The four layers written as text grids and read back."""
+    cells = long_cells(d)
+    profiles = cells.groupBy("layer").agg((F.max("r") + 1).cast("int").alias("nrows"), F.lit(128).alias("ncols"))
+    profiles = profiles.withColumns({"x0": F.lit(3.0), "y0": F.lit(7.0), "dx": F.lit(2.0), "dy": F.lit(1.5)})
+    path = scratch_path(d.spark)
+    textgrids.write_text_grids(cells, profiles, path)
+    return textgrids.read_text_grids(d.spark, path)
+
+
+@query("text_grids", sql("cells_v", ctes=LONG, body="select layer, r, c, v from l_v where v <> -999"))
+def text_grids(d: Data):
+    return stored_grids(d)[0]
+
+
+@query("text_grid_headers", sql("cells_v", ctes=LONG, body=GRIDS))
+def text_grid_headers(d: Data):
+    return stored_grids(d)[1].drop("crs")
+
+
+@query("stored_layers", sql("cells_v", ctes=LONG, body="select layer, r, c, v from l_v where layer in ('dem', 'wood')"))
+def stored_layers(d: Data):
+    """Layers written to a store and read back with the other partitions pruned."""
+    path = scratch_path(d.spark)
+    layers.write_layers(long_cells(d), path)
+    return layers.read_layers(d.spark, path, ["dem", "wood"]).select("layer", "r", "c", "v")
+
+
 @query(
     "grid_profiles",
     """with c as (select o_orderpriority condition, max(cast(floor(o_orderkey/128.0) as int)) + 1 nrows, max(cast(o_orderkey % 128 as int)) + 1 ncols from orders group by 1)
@@ -243,6 +275,17 @@ def thin(d: Data):
     return rounded(flow.thin_curve(curve, 40, ["gauge"]).select("gauge", "rank", "q", "exceedance"))
 
 
+@query(
+    "stored_duration",
+    sql("gauge_flow_v", body="select gauge, q, row_number() over (partition by gauge order by q desc, d) / count(*) over (partition by gauge) * 100.0 exceedance from gauge_flow_v"),
+)
+def stored_duration(d: Data):
+    """Duration curves written one folder a gauge and read back."""
+    path = scratch_path(d.spark)
+    flow.write_duration(flow.numbered_curve(d.gauges, ["gauge"]), path, keys=["gauge"])
+    return flow.read_duration(d.spark.read.parquet(path), ["gauge"])
+
+
 DURATION = """select o_orderkey row_no, case when o_orderkey % 11 = 0 then 'Q' else cast(cast(o_totalprice as decimal(12,2)) as varchar(20)) end q,
   case when o_orderkey % 13 = 0 then '-' when o_orderkey % 17 = 0 then null else cast(o_orderkey % 100 as varchar(9)) end exceedance from {orders}"""
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "reachspark") -> SparkSession:
@@ -41,7 +43,7 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("reachspark.scratch.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="spark-reach-")
     spark.conf.set("reachspark.scratch.dir", folder)
@@ -55,11 +57,33 @@ def cut(df: DataFrame) -> DataFrame:
     the lineage, and carries its true size, so the optimizer picks join sides from facts.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in this application's part of the shared scratch folder."""
+    return f"{_run_dir(spark)}/{uuid.uuid4().hex}"
+
+
+class Guard:
+    """Fails if a counted column stayed NULL in all rows of an action, without a second scan.
+
+    ``watch`` adds the count to a plan, ``verify`` raises after the plan's first action.
+    """
+
+    def __init__(self, message: str):
+        self.message, self._seen = message, Observation(f"guard-{uuid.uuid4().hex}")
+
+    def watch(self, df: DataFrame, column: str) -> DataFrame:
+        return df.observe(self._seen, F.count(column).alias("valid"))
+
+    def verify(self) -> None:
+        if not self._seen.get["valid"]:
+            raise ValueError(self.message)
+
+
 def _run_dir(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/reachspark-{spark.sparkContext.applicationId}"
 
