@@ -110,10 +110,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3,
     plan = plan.withColumn("wanted", F.col("target") - F.col("rounds") * F.col("source_size"))
     limits = thresholds(slim, plan.select("source", "wanted"))
     plan = plan.alias("p").join(limits.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
-    plan = plan.select(F.col("p.source").alias("source__"), "source_size", "target", "rounds", "threshold")
+    plan = plan.select(F.col("p.source").alias("source__"), "source_size", "target", F.col("rounds").alias("rounds__"), F.col("threshold").alias("threshold__"))
     joined = rows.join(cut(plan), rows["source"].eqNullSafe(F.col("source__")))
-    once_more = F.when(document_hash(F.col("doc_id"), seed) < F.coalesce(F.col("threshold"), F.lit(0)), 1).otherwise(0)
-    return joined.withColumn("copies", (F.col("rounds") + once_more).cast("int")).drop("source__", "rounds", "threshold")
+    once_more = F.when(document_hash(F.col("doc_id"), seed) < F.coalesce(F.col("threshold__"), F.lit(0)), 1).otherwise(0)
+    return joined.withColumn("copies", (F.col("rounds__") + once_more).cast("int")).drop("source__", "rounds__", "threshold__")
 
 
 def draw(mixed: DataFrame) -> DataFrame:
