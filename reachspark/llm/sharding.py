@@ -21,6 +21,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachspark.llm.linking import small_join
 from reachspark.session import cut
 
 FIXED_BYTES = 16
@@ -235,11 +236,12 @@ def shard_documents(docs: DataFrame, n_shards: int, text: str = "text", first_bi
     ``size`` is the UTF-8 length of the text (NULL: 0) plus 16. Rows with equal texts share a
     shard; NULL texts are one group, as are empty ones. The largest shard is as small as any
     contiguous partition of the groups allows, at most the mean plus the largest group; groups above
-the mean do not unbalance the other shards. ``slot``
-    counts a shard's rows from 0 without gaps, repeated rows included. Input columns named like
+    the mean do not unbalance the other shards. ``slot`` counts a shard's rows from 0 without gaps, repeated rows included. Input columns named like
     the three new ones are replaced. An empty table gives no rows. Hot texts are combined before
     the shuffle; rows themselves are not shuffled at all: they are written once, sorted by shard
-    within each file, and slots come from file positions and a small table of counts.
+    within each file, and slots come from file positions and a table of counts, one row per file and shard,
+    which is broadcast if it is counted to be small. The cuts balance shards below the minimax capacity, which
+    stays a bound; :func:`plan_cuts` gives the greedy filling to it.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -260,7 +262,7 @@ def _slots(placed: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("shard").orderBy("file__").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("n__").over(earlier), F.lit(0)) - F.col("first__")
     runs = runs.select("shard", "file__", base.alias("shift__"))
-    joined = row.join(runs, ["shard", "file__"])
+    joined = small_join(row, cut(runs), ["shard", "file__"])
     return joined.select(*[c for c in placed.columns], (F.col("row__") + F.col("shift__")).alias("slot"))
 
 
