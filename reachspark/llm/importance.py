@@ -23,8 +23,8 @@ from reachspark.session import cut
 BUCKETS = 1 << 14
 #: n-grams worth of ratio 1 that every text is credited with.
 PRIOR = 10.0
-#: Sums are cut to this range and made integers to find the k-th largest.
-_RANGE, _SCALE = 1000.0, float(1 << 40)
+#: Steps into which the range of the keys is cut to find the k-th largest.
+_STEPS = float(1 << 50)
 
 
 def hashed_ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +133,16 @@ def gumbel_top_k(weighed: DataFrame, k: int, temperature: float, seed: int = 0)
     """The rows with the ``k`` largest ``log_weight / temperature + Gumbel``, with that ``key``.
 
     The variable comes from a hash of the id, so runs agree and rows with one id and weight stand
-    or fall together. The k-th largest is found by refining histograms; nothing is sorted.
+    or fall together. The k-th largest is found by refining histograms between the measured ends of the
+    keys; nothing is sorted.
     """
     u = (document_hash(F.col("doc_id"), seed) + 0.5) / float(1 << HASH_BITS)
     rows = weighed.where("log_weight is not null").withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(u)))
-    inside = F.greatest(F.least(F.col("key"), F.lit(_RANGE)), F.lit(-_RANGE))
-    rows = rows.withColumn("rank", F.floor((F.lit(_RANGE) - inside) * _SCALE).cast("long"))
+    ends = rows.agg(F.min("key").alias("low"), F.max("key").alias("high")).first()
+    if ends["high"] is None:
+        return rows
+    span = (ends["high"] - ends["low"]) or 1.0
+    rows = rows.withColumn("rank", F.floor((F.lit(ends["high"]) - F.col("key")) / F.lit(span) * _STEPS).cast("long"))
     spark = weighed.sparkSession
     one_group = F.when(F.col("rank").isNotNull(), "all")
     sizes = rows.select(one_group.alias("source"), F.col("rank").alias("h"), F.lit(1).cast("long").alias("size"))
