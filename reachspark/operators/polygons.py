@@ -17,7 +17,7 @@ from ..grid import Grid
 from ..session import cut, spread
 from .align import _span
 from .regions import label_regions
-from .stencil import neighbours
+from .stencil import grid_cells, neighbours
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
@@ -62,13 +62,16 @@ def polygon_cells(vertices: DataFrame, grid: Grid, all_touched: bool = False) ->
     return inside.unionByName(touched).distinct()
 
 
-def rasterize(vertices: DataFrame, attributes: DataFrame, grid: Grid, column: str = "gridcode", order: str = "seq", all_touched: bool = False) -> DataFrame:
+def rasterize(vertices: DataFrame, attributes: DataFrame, grid: Grid, column: str = "gridcode", order: str = "seq", all_touched: bool = False, fill: float | None = None) -> DataFrame:
     """``r, c, v`` burned from polygons; the polygon with the highest ``order`` wins a cell.
 
-    Cells outside every polygon are absent; ``fill`` them with a left join on the grid.
+    Cells outside every polygon are absent, or hold ``fill`` if one is given.
     """
     cells = polygon_cells(vertices, grid, all_touched).join(attributes.select("poly_id", column, order), "poly_id")
-    return cells.groupBy("r", "c").agg(F.max_by(column, order).alias("v"))
+    burned = cells.groupBy("r", "c").agg(F.max_by(column, order).alias("v"))
+    if fill is None:
+        return burned
+    return grid_cells(vertices, grid).join(burned, ["r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
 
 
 def extract_by_mask(cells: DataFrame, vertices: DataFrame, grid: Grid, crop: bool = True) -> DataFrame:

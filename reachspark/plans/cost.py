@@ -50,10 +50,13 @@ def quantities(sources: DataFrame, unit: str = "us", log_length: float = K.LOG_L
 
 
 def bill(given: DataFrame, unit: str = "us") -> DataFrame:
-    """Priced lines ``project, key, grp, task, per, rate, quantity, cost`` of the given quantities."""
-    items = cost_items(given.sparkSession, unit)
-    named = given.select("project", "key", F.coalesce("quantity", F.lit(0.0)).alias("quantity")).join(items, "key")
-    return named.select("project", "pos", "key", "grp", "task", "per", "rate", "quantity", (F.col("quantity") * F.col("rate")).alias("cost"))
+    """Priced lines ``project, key, grp, task, per, rate, quantity, cost`` of the given quantities.
+
+    A work without a quantity costs nothing yet; its quantity stays NULL, so that the report can name it.
+    """
+    named = given.select("project", "key", "quantity").join(cost_items(given.sparkSession, unit), "key")
+    cost = F.coalesce(F.col("quantity") * F.col("rate"), F.lit(0.0))
+    return named.select("project", "pos", "key", "grp", "task", "per", "rate", "quantity", cost.alias("cost"))
 
 
 def group_sums(lines: DataFrame) -> DataFrame:
@@ -116,12 +119,16 @@ def cost_benefit(totals: DataFrame, gains: DataFrame) -> DataFrame:
 def report(lines: DataFrame, rates: Sequence[tuple[str, str, float]] = K.RATES, gains: DataFrame | None = None) -> DataFrame:
     """All rows of the cost report ``project, section, item, quantity, per, rate, cost``.
 
-    Priced lines, group sums, and everything that follows from a project's total; the last part
+    Priced lines, works whose quantity is not known, group sums, and everything that follows from a project's total; the last part
     is one row per project expanded into its report rows.
     """
     none = F.lit(None).cast("double")
     columns = ["project", "section", "item", "quantity", "per", "rate", "cost"]
     priced = lines.filter("quantity <> 0").withColumn("section", F.col("grp")).withColumn("item", F.col("task")).select(columns)
+    unknown = lines.filter("quantity IS NULL").select(
+        "project", F.lit("UNQUANTIFIED").alias("section"), F.col("task").alias("item"), none.alias("quantity"), "per", "rate", none.alias("cost")
+    )
+    priced = priced.unionByName(unknown)
     sums = group_sums(lines)
     grouped = sums.filter("cost <> 0").select(
         "project", F.lit("SUM").alias("section"), F.col("grp").alias("item"), none.alias("quantity"), F.lit("").alias("per"), none.alias("rate"), "cost"

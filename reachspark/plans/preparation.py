@@ -12,12 +12,14 @@ from .. import constants as K
 from ..functions import shear
 from ..functions.algebra import as_col, con, wet
 from ..grid import Grid
-from ..operators.align import align_nearest
+from ..operators.align import align_condition, align_nearest
 from ..operators.knn import idw, kriging
 from ..operators.nearest import nearest_source
 from ..operators.order import thin
 from ..operators.stencil import grid_cells
 from ..session import Guard
+from ..sources.definitions import definition_lines
+from .duration import seasonal_duration
 
 
 def interpolate(targets: DataFrame, sources: DataFrame, grid: Grid, method: str = "nearest", keys: Sequence[str] = (), **options) -> DataFrame:
@@ -149,22 +151,54 @@ def standalone_shear(velocity: DataFrame, v_grid: Grid, depth: DataFrame, h_grid
     return rows.select("r", "c", "ustar2", "theta84", "h_over_ks", "regime")
 
 
-def build_product(key: str, dem: DataFrame, hydraulics: DataFrame, grid: Grid, q: float | None = None, method: str = "nearest", unit: str = "us", grain: DataFrame | None = None, units: Iterable[UnitRange] = ()) -> dict[str, DataFrame]:
-    """The layers of one named product: ``detrended``, ``water``, ``mu`` or ``taux``.
-
-    Flow curves, definition files and alignment are ``duration.seasonal_duration``,
-    ``definitions.definition_lines`` and ``align.align_condition``.
+def build_product(
+    key: str,
+    dem: DataFrame | None = None,
+    hydraulics: DataFrame | None = None,
+    grid: Grid | None = None,
+    q: float | None = None,
+    method: str = "nearest",
+    unit: str = "us",
+    grain: DataFrame | None = None,
+    units: Iterable[UnitRange] = (),
+    flow: DataFrame | None = None,
+    seasons: DataFrame | None = None,
+    discharges: DataFrame | None = None,
+    periods: DataFrame | None = None,
+    layers: DataFrame | None = None,
+    layer_grids: dict[str, Grid] | None = None,
+) -> dict[str, DataFrame]:
+    """The tables of one named product of a condition.
+
+    ``detrended``, ``water`` and ``mu`` need ``dem, hydraulics, grid``; ``taux`` needs ``hydraulics, grain``;
+    ``flows`` needs ``flow, seasons, discharges``; ``inp`` needs ``discharges`` and, if known, ``periods``;
+    ``align`` needs ``layers, layer_grids`` and moves them to ``grid``.
     """
+
+    def need(**given) -> None:
+        missing = [n for n, v in given.items() if v is None]
+        if missing:
+            raise ValueError(f"product {key!r} needs {', '.join(missing)}")
+
+    if key == "flows":
+        need(flow=flow, seasons=seasons, discharges=discharges)
+        return {"duration": seasonal_duration(flow, seasons, discharges)}
+    if key == "inp":
+        need(discharges=discharges)
+        return {"definitions": definition_lines(discharges, periods)}
+    if key == "align":
+        need(layers=layers, layer_grids=layer_grids, grid=grid)
+        return {"layers": align_condition(layers, layer_grids, grid)}
+    if key == "taux":
+        need(hydraulics=hydraulics, grain=grain)
+        return {"shear": bed_shear_stress(hydraulics, grain, unit)}
+    if key not in ("detrended", "water", "mu"):
+        raise ValueError(f"unknown product {key!r}")
+    need(dem=dem, hydraulics=hydraulics, grid=grid)
     at = hydraulics if q is None else hydraulics.filter(F.abs(F.col("q") - F.lit(float(q))) < 1e-6)
     if key == "detrended":
         return {"dem_detrend": detrended_dem(dem, at, grid, method)}
-    if key == "water":
-        level = water_surface(dem, at, grid, method)
-        return {"wle": level, "h_interp": extended_depth(dem, level), "d2w": depth_to_water(dem, level)}
     if key == "mu":
         return {"mu": morphological_units(at, units, unit)}
-    if key == "taux":
-        if grain is None:
-            raise ValueError("bed shear needs a grain layer")
-        return {"shear": bed_shear_stress(hydraulics, grain, unit)}
-    raise ValueError(f"unknown product {key!r}")
+    level = water_surface(dem, at, grid, method)
+    return {"wle": level, "h_interp": extended_depth(dem, level), "d2w": depth_to_water(dem, level)}

@@ -427,6 +427,18 @@ def extract_query(d: Data):
     return rounded(polygons.extract_by_mask(d.layer(), shapes.join(far, "poly_id", "left_semi"), d.grid))
 
 
+@query(
+    "rasterize_filled",
+    sql(
+        "cells_v",
+        ctes=ZONES_SQL + ", bu_v as (select r, c, arg_max(code, id) v from h_v group by r, c), nr_v as (select max(r) + 1 n from cells_v), gr_v as (select cast(i // 128 as int) r, cast(i % 128 as int) c from range(0, (select n * 128 from nr_v)) t(i))",
+        body="select r, c, coalesce(v, -1) v from gr_v left join bu_v using (r, c)",
+    ),
+)
+def rasterize_filled(d: Data):
+    return polygons.rasterize(*zones(d), d.grid, fill=-1)
+
+
 @query("rasterize_all_touched")
 def all_touched(d: Data):
     return polygons.rasterize(*zones(d), d.grid, all_touched=True)

@@ -525,6 +525,7 @@ def benefit(d: Data):
     "cost_report",
     f"""with {QUANT}, {GAIN}, x_v as (
       select project, grp section, task item, quantity, per, rate, cost from b_v where quantity <> 0
+      union all select project, 'UNQUANTIFIED', task, null, per, rate, null from q_v where quantity is null
       union all select project, 'SUM', grp, null, '', null, sum(cost) from b_v group by project, grp having sum(cost) <> 0
       union all select project, 'SUM', 'TOTAL CONSTRUCTION WORKS', null, '', null, construction from c_v
       union all select project, 'RATE', label, null, '', null, amount from a_v

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reachspark.grid import Grid
 from reachspark.plans import preparation, recruitment
 from reachspark.session import Guard, scratch_path
 from reachspark.sources import textgrids
@@ -53,3 +54,21 @@ def test_text_grids_round_trip(spark, table):
     back, heads = textgrids.read_text_grids(spark, path)
     assert {tuple(x) for x in back.collect()} == {("a b", 0, 0, 1.25), ("a b", 2, 1, -3e-7), ("z", 0, 1, 7.0)}
     assert {tuple(x)[:7] for x in heads.collect()} == {(x["layer"], x["nrows"], x["ncols"], x["x0"], x["y0"], x["dx"], x["dy"]) for x in grids.collect()}
+
+
+def test_products_by_name(spark, table):
+    """Every product is dispatched; a missing input is named."""
+    days = spark.sql("SELECT make_date(2020, 1, 1) + CAST(id AS INT) d, CAST(id % 50 AS DOUBLE) q FROM range(0, 366)")
+    seasons = table([("Chinook", "fry", 1, 1, 3, 31)], "species string, lifestage string, start_m int, start_d int, end_m int, end_d int")
+    qs = table([(10.0,), (20.0,)], "q double")
+    found = preparation.build_product("flows", flow=days, seasons=seasons, discharges=qs)["duration"].collect()
+    assert {x["q"] for x in found} == {10.0, 20.0} and all(0 < x["exceedance"] < 100 for x in found)
+    lines = preparation.build_product("inp", discharges=table([(1, 10.0), (1, 20.0)], "condition int, q double"))["definitions"]
+    assert lines.filter("line LIKE '%h000010.tif%h000020.tif%'").count() == 1
+    layers = table([("a", r, c, 1.0) for r in range(4) for c in range(4)], "layer string, r int, c int, v double")
+    moved = preparation.build_product("align", layers=layers, layer_grids={"a": Grid(4, 4, 1.0, 1.0, 0.0, 4.0)}, grid=Grid(2, 2, 2.0, 2.0, 0.0, 4.0))["layers"]
+    assert moved.count() == 4 and {x["status"] for x in moved.collect()} == {"aligned"}
+    with pytest.raises(ValueError, match="needs seasons, discharges"):
+        preparation.build_product("flows", flow=days)
+    with pytest.raises(ValueError, match="unknown product"):
+        preparation.build_product("none")
