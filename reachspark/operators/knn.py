@@ -33,8 +33,9 @@ def tile_pairs(targets: DataFrame, sources: DataFrame, grid: Grid, k: int, keys:
     dx, dy = abs(grid.dx), abs(grid.dy)
     height = max(0, (-(-max(grid.nrows, grid.ncols) // tile) - 1).bit_length())
     place = lambda name: F.floor(F.col(name) / tile).cast("int")
-    wanted = [targets.groupBy(*keys, place("r").alias("tr"), place("c").alias("tc")).agg(F.lit(1).alias("_any")).drop("_any")]
-    held = [sources.groupBy(*keys, place("r").alias("sr"), place("c").alias("sc")).agg(F.count("*").alias("n"))]
+    # written once: with their true sizes known, small pyramids are broadcast and only large ones shuffle the pairs
+    wanted = [cut(targets.select(*keys, place("r").alias("tr"), place("c").alias("tc")).distinct())]
+    held = [cut(sources.groupBy(*keys, place("r").alias("sr"), place("c").alias("sc")).agg(F.count("*").alias("n")))]
     up = lambda name: F.shiftright(F.col(name), 1).alias(name)
     for _ in range(height):
         wanted.append(wanted[-1].select(*keys, up("tr"), up("tc")).distinct())
