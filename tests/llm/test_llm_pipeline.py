@@ -23,6 +23,6 @@ def test_pipeline_stages(spark):
     assert len(last) == docs.count() and sorted(map(tuple, last)) == sorted(map(tuple, whole))
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_each_number_has_a_query(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
