@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachspark.llm.linking import link_components, small_join
-from reachspark.llm.textops import LOWER, fingerprints, mix, pieces, shingles, spans, utf8
+from reachspark.llm.textops import LOWER, WORD, fingerprints, mix, pieces, shingles, spans, utf8
 from reachspark.session import cut
 
 
@@ -70,10 +70,11 @@ def set_key(values: np.ndarray) -> int:
 def _summaries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(batch.column(1), k)]
+            sets = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(batch.column("text"), k)]
             n, node = zip(*sets, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"]
+                [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
+                names=["doc_id", "row", "n_shingles", "node"],
             )
 
     return run
@@ -145,22 +146,43 @@ def _linked(k: int, num: int, den: int):
     return run
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row``; ``row`` tells rows apart that differ in id or text, NULLs included."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row", F.xxhash64("text", "doc_id"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs(doc_id, text)``.
 
     Documents link if ``den * intersection >= num * union`` of their distinct k-word shingles;
     a text of fewer words is one shingle. ``component_id`` is the smallest id reachable. Texts
     without words, NULL texts included, link with nothing and keep their own id. Rows without
-    an id help to link and get their group's smallest id. Rows with one id but different texts
-    are separate documents. Equal sets are one node with the least of their ids, so exact copies
-    are never paired; a partition sends each set's signatures once. Other columns are ignored.
+    an id link like others and get their group's smallest id, NULL if no row of it has one. Rows with
+    one id but different texts are separate documents. Equal sets are one node with the least of their ids,
+    so exact copies are never paired; a partition sends each set's signatures once. Other columns are ignored.
     An empty table gives no rows. Sets are compared by 64-bit fingerprints.
     """
+    sets, nodes = _nodes(docs, k, num, den)
+    least = nodes.groupBy("component").agg(F.min("rep.doc_id").alias("least"))
+    labels = nodes.join(least, "component").select("node", F.col("least").alias("label"))
+    found = sets.join(labels, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, n_shingles, node`` of all rows, and ``node, rep, component`` of all sets with a word.
+
+    A node is a set's key. ``rep`` is its first row, ordered by (no id, id, row); ``component`` is the
+    smallest node it is linked with, or itself.
+    """
     if not 0 < num <= den:
         raise ValueError("the threshold must lie in (0, 1]")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(rows.mapInArrow(_summaries(k), "doc_id long, n_shingles long, node long"))
-    reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    rows = _rows(docs)
+    sets = cut(rows.mapInArrow(_summaries(k), "doc_id long, row long, n_shingles long, node long"))
+    first_row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    reps = sets.where("node is not null").groupBy("node").agg(F.min(first_row).alias("rep"))
 
     signed = rows.select("text").mapInArrow(_signature_rows(k, num, den), "key long, node long, meta long")
     in_bucket = Window.partitionBy("key")
@@ -170,8 +192,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     shared = cut(shared.where("x != y").select("key", "node", "meta", "length"))
     members = cut(_allocated(shared))
 
-    needed = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")))
-    texts = cut(small_join(rows, needed, "doc_id").select("node", "text"))
+    needed = cut(members.select("node").distinct().join(reps, "node").select("node", "rep.row"))
+    texts = cut(small_join(rows.select("row", "text"), needed, "row").select("node", "text"))
+    if texts.count() > needed.count():  # rows that are repeated whole
+        texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -209,11 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(led.select("a", "b"))
 
     linked = cut(link_components(members, verify, across))
-    least = linked.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    linked = linked.join(least, "component").select("node", "least")
-    labels = reps.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("label"))
-    found = sets.join(labels, "node", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return sets, reps.join(linked, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
 
 
 def _allocated(shared: DataFrame) -> DataFrame:
@@ -261,14 +281,16 @@ def _differences(k: int, num: int, den: int):
 
 
 def one_per_component(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; all columns stay.
+    """The first row of each component of ``docs``, by (no id, id, text hash); all columns stay.
 
-    Rows without an id stay if their text has no partner with an id. Of rows with one id, one stays.
+    A group without ids keeps one row. Rows with one id but different texts are separate documents; of rows
+    equal in id and text one stays. Rows without a word link with nothing and all stay.
     """
-    found = jaccard_components(docs, k, num, den)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    if not nameless.take(1):
-        return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    lone = nameless.dropDuplicates(["text"])
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(lone)
+    _, nodes = _nodes(docs, k, num, den)
+    first = nodes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias("row__"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    row = F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    # whole copies are combined before the shuffle, which the join uses too
+    one_each = docs.where(worded).withColumn("row__", row).dropDuplicates(["row__"])
+    kept = one_each.join(first, "row__", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where(~worded))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from reachspark.llm import importance, mixing, sharding
+from reachspark.llm import importance, jaccard, mixing, sharding
 
 
 def test_mix_takes_columns_named_like_its_helpers(spark):
@@ -37,3 +37,23 @@ def test_shards_join_counts_without_shuffling_texts(spark):
     for x in got.collect():
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_near_copies_without_ids_and_ids_with_two_texts(spark):
+    """Identity is the row, not the id: rows without one link, and an id's two texts are two documents."""
+    words = [f"w{i}" for i in range(200)]
+    base, near = " ".join(words), " ".join(words[:100] + ["new"] + words[101:])
+    alone, pair = " ".join(f"a{i}" for i in range(90)), [f"p{i}" for i in range(120)]
+    rows = [(7, base), (None, near), (None, near), (3, alone), (3, base + " tail"), (None, " ".join(pair)), (None, " ".join(pair[:-1] + ["q"]))]
+    rows += [(None, None), (None, ""), (9, " "), (9, " ")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string").repartition(3)
+    got = sorted((x["doc_id"] or -1, x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(docs, 5, 80, 100).collect() if x["n_shingles"])
+    assert got == [(-1, 116, None), (-1, 116, None), (-1, 196, 3), (-1, 196, 3), (3, 86, 3), (3, 197, 3), (7, 196, 3)]
+    kept = jaccard.one_per_component(docs, 5, 80, 100)
+    assert kept.columns == docs.columns
+    left = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    named = sorted(x for x in left if x[0] is not None)
+    assert named == [(3, alone), (3, base + " tail"), (9, " "), (9, " ")]
+    nameless = [t for i, t in left if i is None and (t or "").strip()]
+    assert len(nameless) == 1 and nameless[0].startswith("p0 ")
+    assert sum(i is None for i, _ in left) == 3
