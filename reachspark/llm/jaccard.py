@@ -7,13 +7,16 @@ both. Some spare segments are also indexed under each of their one-deletion neig
 finds partners that differ there by one shingle and so counts twice in the pigeonhole sum. With
 this credit every set skips its longest buckets (empty segments, frequent passages): a segment
 costs 1, a spare segment 2, one neighbour of it 1. There are as many spare segments as the number of
-empty segments to expect. What meets in a bucket is verified on the whole sets.
+empty segments to expect. What meets in a bucket is verified on the whole sets, unless the parity sketches of
+two sets already differ in more bits than sets that link differ in shingles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,11 @@ from reachspark.llm.textops import LOWER, WORD, fingerprints, mix, pieces, shing
 from reachspark.session import cut
 
 
+#: Words of a set's sketch: bit ``h mod 1024`` is the parity of its shingles with that hash. Every shingle that one of two sets
+#: lacks flips one bit, so sketches differ in at most as many bits as the sets differ in shingles.
+SKETCH = [f"p{i}" for i in range(16)]
+
+
 class Bands:
     """Size bands, segments per band and spare segments for the threshold ``num / den``."""
 
@@ -67,15 +75,21 @@ def set_key(values: np.ndarray) -> int:
     return int(mix(mix(total) + np.bitwise_xor.reduce(scrambled)).view(np.int64)[0])
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set as 64-bit words."""
+    bit = (mix(values ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * len(SKETCH))).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * len(SKETCH)) & 1).astype(bool)).view(np.int64)
+
+
 def _summaries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(batch.column("text"), k)]
-            n, node = zip(*sets, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                names=["doc_id", "row", "n_shingles", "node"],
-            )
+            sets = list(shingle_sets(batch.column("text"), k))
+            node = [set_key(s) if len(s) else None for s in sets]
+            words = np.array([sketch(s) for s in sets])
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64())]
+            columns += [pa.array(words[:, i]) for i in range(len(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "node", *SKETCH])
 
     return run
 
@@ -180,9 +194,11 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     if not 0 < num <= den:
         raise ValueError("the threshold must lie in (0, 1]")
     rows = _rows(docs)
-    sets = cut(rows.mapInArrow(_summaries(k), "doc_id long, row long, n_shingles long, node long"))
+    schema = "doc_id long, row long, n_shingles long, node long, " + ", ".join(f"{p} long" for p in SKETCH)
+    sets = cut(rows.mapInArrow(_summaries(k), schema))
     first_row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     reps = sets.where("node is not null").groupBy("node").agg(F.min(first_row).alias("rep"))
+    known = sets.where("node is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "n_shingles", *SKETCH)])
 
     signed = rows.select("text").mapInArrow(_signature_rows(k, num, den), "key long, node long, meta long")
     in_bucket = Window.partitionBy("key")
@@ -192,13 +208,13 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     shared = cut(shared.where("x != y").select("key", "node", "meta", "length"))
     members = cut(_allocated(shared))
 
-    needed = cut(members.select("node").distinct().join(reps, "node").select("node", "rep.row"))
-    texts = cut(small_join(rows.select("row", "text"), needed, "row").select("node", "text"))
+    needed = cut(members.select("node").distinct().join(known, "node"))
+    texts = cut(small_join(rows.select("row", "text"), needed.select("node", "row"), "row").select("node", "text"))
     if texts.count() > needed.count():  # rows that are repeated whole
         texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        second = _near_sketches(pairs, needed, num, den).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(k, num, den), "a long, b long")
 
@@ -236,6 +252,16 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     return sets, reps.join(linked, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
 
 
+def _near_sketches(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that their sizes and sketches do not rule out; no link is lost."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", *SKETCH)]), side)
+    bits = reduce(add, [F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in SKETCH])
+    n, m = F.col("a_n_shingles"), F.col("b_n_shingles")
+    apart = F.greatest(F.abs(n - m), bits.cast("long"))
+    return pairs.where(apart * (den + num) <= (n + m) * (den - num)).select("a", "b")
+
+
 def _allocated(shared: DataFrame) -> DataFrame:
     """Distinct members with their role: each set skips its longest buckets within its credit."""
     kind, spare = F.col("meta").bitwiseAND(3), F.shiftright("meta", 2).bitwiseAND((1 << 14) - 1)

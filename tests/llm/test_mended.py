@@ -1,5 +1,6 @@
 """Cases that once crashed or passed in silence."""
 
+import numpy as np
 import pytest
 
 from reachspark.llm import importance, jaccard, mixing, sharding
@@ -57,3 +58,27 @@ def test_near_copies_without_ids_and_ids_with_two_texts(spark):
     nameless = [t for i, t in left if i is None and (t or "").strip()]
     assert len(nameless) == 1 and nameless[0].startswith("p0 ")
     assert sum(i is None for i, _ in left) == 3
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_sketches_rule_out_no_link(spark, num):
+    """Pairs with a link pass the sketches, most others do not; a sketch never differs more than its sets."""
+    r = np.random.default_rng(num)
+    sets = []
+    for n in (1, 2, 9, 40, 300, 2000, 20_000):
+        one = r.integers(0, 2**63, n).astype(np.uint64)
+        for change in (0, 1, n // 20, n // 9, n // 5, n):
+            sets.append(np.unique(np.concatenate((one[change:], r.integers(0, 2**63, change // 2).astype(np.uint64)))))
+    rows, close = [], set()
+    for i, a in enumerate(sets):
+        rows.append((i, len(a), *jaccard.sketch(a).tolist()))
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+            assert bits <= len(a) + len(b) - 2 * both
+            if 100 * both >= num * (len(a) + len(b) - both):
+                close.add((j, i))
+    sketches = spark.createDataFrame(rows, "node long, n_shingles long, " + ", ".join(f"{p} long" for p in jaccard.SKETCH))
+    pairs = spark.createDataFrame([(j, i) for i in range(len(sets)) for j in range(i)], "a long, b long")
+    left = {(x["a"], x["b"]) for x in jaccard._near_sketches(pairs, sketches, num, 100).collect()}
+    assert close <= left and len(left) < len(close) + 40
