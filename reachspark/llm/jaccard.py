@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachspark.llm.linking import link_components, small_join
+from reachspark.llm.scratch import release
 from reachspark.llm.textops import LOWER, WORD, fingerprints, mix, pieces, shingles, spans, utf8
 from reachspark.session import cut
 
@@ -193,7 +194,8 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     """
     if not 0 < num <= den:
         raise ValueError("the threshold must lie in (0, 1]")
-    rows = _rows(docs)
+    rows, spark = _rows(docs), docs.sparkSession
+    release(spark)
     schema = "doc_id long, row long, n_shingles long, node long, " + ", ".join(f"{p} long" for p in SKETCH)
     sets = cut(rows.mapInArrow(_summaries(k), schema))
     first_row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
@@ -202,16 +204,20 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
 
     signed = rows.select("text").mapInArrow(_signature_rows(k, num, den), "key long, node long, meta long")
     in_bucket = Window.partitionBy("key")
-    shared = signed.withColumns(
+    marked = signed.withColumns(
         {"x": F.min("node").over(in_bucket), "y": F.max("node").over(in_bucket), "length": F.count("*").over(in_bucket)}
     )
-    shared = cut(shared.where("x != y").select("key", "node", "meta", "length"))
+    shared = cut(marked.where("x != y").select("key", "node", "meta", "length"))
+    del signed, marked
+    release(spark)
     members = cut(_allocated(shared))
+    release(spark, shared)
 
     needed = cut(members.select("node").distinct().join(known, "node"))
     texts = cut(small_join(rows.select("row", "text"), needed.select("node", "row"), "row").select("node", "text"))
     if texts.count() > needed.count():  # rows that are repeated whole
         texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
+    release(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
         second = _near_sketches(pairs, needed, num, den).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -233,6 +239,7 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         schema = "hub long, node long, n long, gone long, fresh long, is_new boolean, shingle long"
         rows = both.select("a", "b", "text_a", "text_b").mapInArrow(_differences(k, num, den), schema)
         rows = cut(rows.join(led.toDF("hub", "node", "component", "probe"), ["hub", "node"]))
+        release(spark)
         x, y = rows.alias("x"), rows.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("hub", "is_new", "shingle")]
         most = F.floor((F.col("x.n") + F.col("y.n")) * (den - num) / (den + num))
@@ -249,6 +256,7 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(led.select("a", "b"))
 
     linked = cut(link_components(members, verify, across))
+    release(spark, members, needed, texts)
     return sets, reps.join(linked, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachspark.llm.graph import components
+from reachspark.llm.scratch import release
 from reachspark.session import cut
 
 
@@ -40,6 +41,7 @@ def link_components(
     joined = led.where("node != l.node and (probe or l.probe) and (exact or l.exact)")
     first = cut(joined.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct())
     near = cut(verify(first))
+    release(members.sparkSession)
     labels = components(near)
 
     # a bucket without a node that probes, or without a whole segment, holds no candidates
@@ -50,11 +52,14 @@ def link_components(
     # buckets off the middle of a group take over the hub that their own most central node has elsewhere
     near_hubs = now.select(F.col("m.node").alias("node")).distinct()
     best = led.join(near_hubs, "node").groupBy("node").agg(F.max("m")["node"].alias("hub"))
-    now = cut(now.withColumn("near_hub", F.col("m.node")).drop("m").join(best.withColumnRenamed("node", "near_hub"), "near_hub"))
+    best = cut(best.withColumnRenamed("node", "near_hub"))
+    now = cut(small_join(now.withColumn("near_hub", F.col("m.node")).drop("m"), best, "near_hub"))
+    release(members.sparkSession)
     pairs = (across or _all_across)(now)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(verify(pairs.join(tried, ["a", "b"], "left_anti")))
+    release(members.sparkSession, now, first, best)
     return components(near.unionByName(rest))
 
 
