@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachspark.llm.linking import small_join
 from reachspark.llm.mixing import HASH_BITS, document_hash, thresholds
 from reachspark.llm.textops import LOWER, fingerprints, mix, pieces, spans, utf8
 from reachspark.session import cut
@@ -167,5 +168,5 @@ def resample(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, temp
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is drawn, with all their columns."""
-    drawn = resample(docs, labels, **options).select("doc_id").distinct()
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["doc_id"]), "left_semi")
+    drawn = cut(resample(docs, labels, **options).select("doc_id").distinct())
+    return small_join(docs, drawn, docs["doc_id"].eqNullSafe(drawn["doc_id"]), "left_semi")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachspark.llm.graph import components
@@ -76,6 +76,6 @@ def _all_across(now: DataFrame) -> DataFrame:
     return across.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
-def small_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = 500_000) -> DataFrame:
+def small_join(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", rows: int = 500_000) -> DataFrame:
     """Join a table that is already written; it is broadcast only if counted to at most ``rows`` rows."""
     return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
