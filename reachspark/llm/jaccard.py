@@ -253,7 +253,9 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
             & (F.col("x.probe") | F.col("y.probe"))
             & F.when(F.col("x.is_new"), alike <= most).otherwise(apart <= most),
         )
-        return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(led.select("a", "b"))
+        found = cut(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        release(spark, rows)
+        return found.unionByName(led.select("a", "b"))
 
     linked = cut(link_components(members, verify, across))
     release(spark, members, needed, texts)
