@@ -20,7 +20,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachspark.llm.linking import link_components, small_join
@@ -32,6 +32,13 @@ from reachspark.session import cut
 #: Words of a set's sketch: bit ``h mod 1024`` is the parity of its shingles with that hash. Every shingle that one of two sets
 #: lacks flips one bit, so sketches differ in at most as many bits as the sets differ in shingles.
 SKETCH = [f"p{i}" for i in range(16)]
+#: The same sketch folded to 256 bits for rows that are joined many times: parities add up, so its bound is exact too.
+FOLDED = [f"f{i}" for i in range(4)]
+
+#: Members of a bucket whose pairs between components meet directly.
+FEW = 32
+#: Pairs whose texts are joined at a time.
+AT_A_TIME = 400_000
 
 
 class Bands:
@@ -219,49 +226,83 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
     release(spark)
 
+    def on_texts(pairs: DataFrame, step, schema: str) -> DataFrame:
+        """``step`` on the texts of all pairs, so many pairs at a time that only texts they need are shuffled."""
+        pairs, done = cut(pairs), []
+        n = max(1, -(-pairs.count() // AT_A_TIME))
+        for i in range(n):
+            part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == i)
+            ids = cut(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
+            some = small_join(texts, ids, "node", "left_semi", 2 * AT_A_TIME)
+            second = part.select("a", "b").join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            both = second.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+            done.append(cut(both.select("a", "b", "text_a", "text_b").mapInArrow(step, schema)))
+            release(spark)
+        return reduce(DataFrame.unionByName, done)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        second = _near_sketches(pairs, needed, num, den).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(k, num, den), "a long, b long")
+        return on_texts(_near_sketches(pairs, needed, num, den), _linked(k, num, den), "a long, b long")
 
     def across(parted: DataFrame) -> DataFrame:
-        """Pairs between components that can still link, found in how they differ from their hub.
+        """Pairs between components that can still link: met in small buckets, else found in how they differ from their hub.
 
         Let x lack ``gone`` shingles of the hub and have ``fresh`` ones beyond it. If x and y share no
         fresh shingle they differ in all fresh ones and in at least the difference of their gone
         ones. If they share no gone one either, their distance is the sum of their distances to
         the hub; if they link, so does each with the hub, at a smaller distance, and nothing is lost.
         """
-        led = parted.where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
-        led = cut(led.agg(F.max("probe").alias("probe")))
-        second = led.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        brief = needed.select("node", "n_shingles", *_folded())
+        few = cut(small_join(parted.where(F.col("size") <= FEW).select("key", "node", "component", "probe", "exact"), brief, "node"))
+        x, y = few.alias("x"), few.alias("y")
+        bits = reduce(add, [F.bit_count(F.col(f"x.{f}").bitwiseXOR(F.col(f"y.{f}"))) for f in FOLDED])
+        n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+        direct = x.join(
+            y,
+            (F.col("x.key") == F.col("y.key"))
+            & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.probe") | F.col("y.probe"))
+            & (F.col("x.exact") | F.col("y.exact"))
+            & (F.greatest(F.abs(n - m), bits.cast("long")) * (den + num) <= (n + m) * (den - num)),
+        )
+        direct = cut(direct.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        release(spark, few)
+        led = parted.where((F.col("size") > FEW) & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
+        led = led.agg(F.max("probe").alias("probe"))
+        led = cut(small_join(led, needed.select(F.col("node").alias("b"), *_folded()), "b"))
         schema = "hub long, node long, n long, gone long, fresh long, is_new boolean, shingle long"
-        rows = both.select("a", "b", "text_a", "text_b").mapInArrow(_differences(k, num, den), schema)
-        rows = cut(rows.join(led.toDF("hub", "node", "component", "probe"), ["hub", "node"]))
+        rows = on_texts(led.select("a", "b"), _differences(k, num, den), schema)
+        rows = cut(rows.join(led.withColumnsRenamed({"a": "hub", "b": "node"}), ["hub", "node"]))
         release(spark)
         x, y = rows.alias("x"), rows.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("hub", "is_new", "shingle")]
         most = F.floor((F.col("x.n") + F.col("y.n")) * (den - num) / (den + num))
         apart = F.abs(F.col("x.gone") - F.col("y.gone")) + F.col("x.fresh") + F.col("y.fresh")
         alike = F.greatest(F.abs(F.col("x.gone") - F.col("y.gone")), F.abs(F.col("x.fresh") - F.col("y.fresh")))
+        bits = reduce(add, [F.bit_count(F.col(f"x.{f}").bitwiseXOR(F.col(f"y.{f}"))) for f in FOLDED])
         found = x.join(
             y,
             same[0] & same[1] & same[2]
             & (F.col("x.node") < F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
             & (F.col("x.probe") | F.col("y.probe"))
-            & F.when(F.col("x.is_new"), alike <= most).otherwise(apart <= most),
+            & F.when(F.col("x.is_new"), alike <= most).otherwise(apart <= most)
+            & (bits <= most),
         )
         found = cut(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
         release(spark, rows)
-        return found.unionByName(led.select("a", "b"))
+        return found.unionByName(led.select("a", "b")).unionByName(direct)
 
     linked = cut(link_components(members, verify, across))
     release(spark, members, needed, texts)
     return sets, reps.join(linked, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
 
 
+def _folded() -> list[Column]:
+    """The words of a folded sketch."""
+    return [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(p) for p in SKETCH[i :: len(FOLDED)]]).alias(f) for i, f in enumerate(FOLDED)]
+
+
 def _near_sketches(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that their sizes and sketches do not rule out; no link is lost."""
     for side in ("a", "b"):

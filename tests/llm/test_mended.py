@@ -82,3 +82,36 @@ def test_sketches_rule_out_no_link(spark, num):
     pairs = spark.createDataFrame([(j, i) for i in range(len(sets)) for j in range(i)], "a long, b long")
     left = {(x["a"], x["b"]) for x in jaccard._near_sketches(pairs, sketches, num, 100).collect()}
     assert close <= left and len(left) < len(close) + 40
+
+
+@pytest.mark.parametrize("few, at_a_time", [(1, 7), (32, 400_000)])
+def test_groups_are_the_same_by_hubs_and_by_pairs(spark, monkeypatch, few, at_a_time):
+    """Whatever meets directly and however texts are dealt out, the links are those of brute force."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "AT_A_TIME", at_a_time)
+    rng, rows = np.random.default_rng(3), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(30):
+        at, words = int(rng.integers(0, 90)), list(base)
+        words[at : at + int(rng.integers(5, 30))] = [f"n{i}"]
+        rows.append((i, " ".join(words)))
+    sets = {i: set(zip(*[t.split()[j:] for j in range(3)])) for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = {n: min(a, b) if g in (a, b) else g for n, g in group.items()}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100)
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == group
+
+
+def test_folded_sketches_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    b = np.concatenate((a[20:], rng.integers(0, 1 << 62, 15).astype(np.uint64)))
+    rows = [(i, *(int(x) for x in jaccard.sketch(np.unique(s)))) for i, s in enumerate((a, b))]
+    table = spark.createDataFrame(rows, "i long, " + ", ".join(f"{p} long" for p in jaccard.SKETCH))
+    x, y = (list(r) for r in table.orderBy("i").select(*jaccard._folded()).collect())
+    bits = sum(bin((p ^ q) & ((1 << 64) - 1)).count("1") for p, q in zip(x, y))
+    assert 0 < bits <= 35 and (35 - bits) % 2 == 0
