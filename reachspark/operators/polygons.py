@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..session import cut, spread
+from ..session import cut, deal, spread
 from .align import _span
 from .regions import label_regions
 from .stencil import grid_cells, neighbours
@@ -33,7 +33,14 @@ def polygon_cells(vertices: DataFrame, grid: Grid, all_touched: bool = False) ->
     Scanlines: every edge is cut at the row centres it spans, crossings of a row are paired,
     and each pair is a run of cells. No cell is ever tested against a polygon.
     """
-    edges = polygon_edges(vertices)
+    cells = _covered(vertices, grid, all_touched)
+    return cells.distinct() if all_touched else cells
+
+
+def _covered(vertices: DataFrame, grid: Grid, all_touched: bool) -> DataFrame:
+    """Rows of ``polygon_cells``; cells touched by several sides come several times."""
+    # a few edges become many cells: dealt out before they do
+    edges = deal(polygon_edges(vertices), "poly_id")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = _span((F.lit(grid.y0) - high) / grid.dy - 0.5, (F.lit(grid.y0) - low) / grid.dy - 0.5, grid.nrows)
     cuts = edges.withColumn("r", F.explode(rows)).withColumn("_y", grid.y("r")).filter((F.col("_y") >= low) & (F.col("_y") < high))
@@ -59,7 +66,7 @@ def polygon_cells(vertices: DataFrame, grid: Grid, all_touched: bool = False) ->
     c2 = F.least(F.lit(grid.ncols - 1), grid.col_of(F.greatest(xa, xb)))
     along = F.when(c1 <= c2, F.sequence(c1, c2)).otherwise(F.array().cast("array<int>"))
     touched = pieces.select("poly_id", "r", F.explode(along).alias("c"))
-    return inside.unionByName(touched).distinct()
+    return inside.unionByName(touched)
 
 
 def rasterize(vertices: DataFrame, attributes: DataFrame, grid: Grid, column: str = "gridcode", order: str = "seq", all_touched: bool = False, fill: float | None = None) -> DataFrame:
@@ -67,8 +74,9 @@ def rasterize(vertices: DataFrame, attributes: DataFrame, grid: Grid, column: st
 
     Cells outside every polygon are absent, or hold ``fill`` if one is given.
     """
-    cells = polygon_cells(vertices, grid, all_touched).join(attributes.select("poly_id", column, order), "poly_id")
-    burned = cells.groupBy("r", "c").agg(F.max_by(column, order).alias("v"))
+    # repeated cells do not change a maximum
+    cells = _covered(vertices, grid, all_touched).join(attributes.select("poly_id", column, order), "poly_id")
+    burned = deal(cells, "r", "c").groupBy("r", "c").agg(F.max_by(column, order).alias("v"))
     if fill is None:
         return burned
     return grid_cells(vertices, grid).join(burned, ["r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
