@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..session import spread
+from ..session import deal, spread
 
 
 def neighbours(cells: DataFrame, value: str = "v", keys: Sequence[str] = (), tile: int = 64) -> DataFrame:
@@ -124,7 +124,7 @@ def focal_fraction(cells: DataFrame, grid: Grid, window: int = 1, present: str =
     if window < 1:
         return flags.select(*keys, "r", "c", F.col("p").cast("double").alias("fraction"))
     for across, along, size in (("r", "c", grid.ncols), ("c", "r", grid.nrows)):
-        rows = within_reach(flags, across, along, window, size, keys)
+        rows = within_reach(deal(flags, *keys, across), across, along, window, size, keys)
         own = F.col("_at") == F.col(along)
         rows = rows.select(*keys, across, F.col("_at").alias(along), *[F.when(own, F.col(x)).otherwise(0).alias(x) for x in ("p", "n")])
         line = Window.partitionBy(*keys, across).orderBy(along)
@@ -167,10 +167,10 @@ def within_radius(sources: DataFrame, grid: Grid, radius: float | Mapping[str, f
     else:
         table = half_widths(radius, grid)
         reach, table = F.lit(len(table) - 1), F.lit(table)
-    band = within_reach(sources, "c", "r", reach, grid.nrows, keys)
+    band = within_reach(deal(sources, *keys, "c"), "c", "r", reach, grid.nrows, keys)
     width = F.element_at(table, F.abs(F.col("_at") - F.col("r")) + 1)
     first, last = F.greatest(F.col("c") - width, F.lit(0)), F.least(F.col("c") + width, F.lit(grid.ncols - 1))
-    band = band.select(*keys, F.col("_at").alias("r"), first.alias("_first"), last.alias("_last"))
+    band = deal(band.select(*keys, F.col("_at").alias("r"), first.alias("_first"), last.alias("_last")), *keys, "r")
     sweep = Window.partitionBy(*keys, "r").orderBy("_first", "_last").rowsBetween(Window.unboundedPreceding, -1)
     fresh = band.withColumn("_first", F.greatest("_first", F.max("_last").over(sweep) + 1)).filter("_first <= _last")
     return fresh.select(*keys, "r", F.explode(F.sequence("_first", "_last")).alias("c"))

@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions import algebra
 from ..grid import Grid
 from ..operators.stencil import focal_fraction, grid_cells, within_radius
-from ..session import cut
+from ..session import cut, deal
 
 Curve = Sequence[tuple[float, float]]
 
@@ -137,7 +137,7 @@ def cover_suitability(
     for part in parts[1:]:
         out = out.unionByName(part)
     # a kind gives a cell one row at most
-    return out.groupBy(*cell).agg(F.max("cover").alias("cover"), F.count("*").alias("kinds"))
+    return deal(out, *cell).groupBy(*cell).agg(F.max("cover").alias("cover"), F.count("*").alias("kinds"))
 
 
 def habitat(
