@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.naming import base_name, discharge_label, discharge_of, discharge_token, hydraulic_kind
+from ..session import cut
 
 
 def read_definition_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -112,26 +113,45 @@ def max_lifespan(definitions: DataFrame) -> DataFrame:
 
 def validate(definitions: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row ``condition, problem, detail`` per problem; a usable condition has none."""
-    layers = hydraulic_layers(catalog).select("condition", "kind", "q").distinct()
-    depth, velocity = layers.filter("kind = 'h'"), layers.filter("kind = 'u'")
-    conditions = catalog.select("condition").distinct()
-    everything = conditions.unionByName(definitions.select("condition").distinct()).distinct()
-    row = lambda df, problem, detail=None: df.select(
-        "condition", F.lit(problem).alias("problem"), (F.lit("") if detail is None else detail).alias("detail")
+    # each table is written once and every kind of problem is found by grouping, not by joins of its own
+    catalog = cut(catalog.select("condition", "name").distinct())
+    kind, attribute = hydraulic_kind("name"), F.col("attribute")
+    no, none = F.lit(False), F.lit(None).cast("string")
+    here = catalog.select("condition", F.coalesce(kind == "h", no).alias("h"), F.coalesce(kind == "u", no).alias("u"), none.alias("attribute"), none.alias("item"), no.alias("told"))
+    told = definitions.select("condition", no.alias("h"), no.alias("u"), "attribute", "item", F.lit(True).alias("told"))
+    items = lambda asked: F.collect_list(F.when(asked, F.struct("item")))
+    per = here.unionByName(told).groupBy("condition").agg(
+        F.max("h").alias("h"),
+        F.max("u").alias("u"),
+        F.max("told").alias("told"),
+        items(attribute == "dem_raster").alias("dem"),
+        items(attribute == "grain_raster").alias("dmean"),
+        items(attribute.isin("depth_rasters", "velocity_rasters")).alias("listed"),
     )
-    out = row(everything.join(definitions, "condition", "left_anti"), "no definitions")
-    out = out.unionByName(row(everything.join(depth, "condition", "left_anti"), "no depth layer"))
-    out = out.unionByName(row(everything.join(velocity, "condition", "left_anti"), "no velocity layer"))
-    out = out.unionByName(row(depth.join(velocity, ["condition", "q"], "left_anti"), "depth without velocity", discharge_label("q")))
-    out = out.unionByName(row(velocity.join(depth, ["condition", "q"], "left_anti"), "velocity without depth", discharge_label("q")))
-    have = catalog.select("condition", "name").distinct()
-    for attribute, default in (("dem_raster", "dem"), ("grain_raster", "dmean")):
-        given = definitions.filter(F.col("attribute") == attribute).select("condition", "item")
-        named = everything.join(given, "condition", "left").withColumn("item", F.coalesce("item", F.lit(default)))
-        named = named.withColumn("name", _existing("item"))
-        out = out.unionByName(row(named.join(have, ["condition", "name"], "left_anti"), f"missing {default}", F.col("name")))
-    listed = definitions.filter("attribute IN ('depth_rasters', 'velocity_rasters')").withColumn("name", _existing("item"))
-    return out.unionByName(row(listed.join(have, ["condition", "name"], "left_anti"), "named but absent", F.col("name")))
+    per = cut(per)
+    # NULL equals nothing
+    nameless = F.col("condition").isNull()
+    row = lambda problem, detail: F.struct(F.lit(problem).alias("problem"), detail.alias("detail"))
+    found = lambda df, *problems: df.select("condition", F.explode(F.array_compact(F.array(*problems))).alias("s")).select("condition", "s.*")
+    without = [F.when(nameless | ~F.col(c), row(problem, F.lit(""))) for c, problem in (("told", "no definitions"), ("h", "no depth layer"), ("u", "no velocity layer"))]
+    out = found(per, *without)
+
+    label = discharge_label("q")
+    flows = hydraulic_layers(catalog).groupBy("condition", "q").agg(F.max(F.col("kind") == "h").alias("h"), F.max(F.col("kind") == "u").alias("u"))
+    alone = lambda one, other: F.col(one) & (nameless | F.col("q").isNull() | ~F.col(other))
+    out = out.unionByName(found(flows, F.when(alone("h", "u"), row("depth without velocity", label)), F.when(alone("u", "h"), row("velocity without depth", label))))
+
+    def missing(column, default):
+        given = F.when(F.size(column) > 0, F.col(column)).otherwise(F.array(F.struct(F.lit(default).alias("item"))))
+        return F.transform(given, lambda x: F.struct(F.lit(f"missing {default}").alias("problem"), F.coalesce(x["item"], F.lit(default)).alias("item")))
+
+    asked = [missing("dem", "dem"), missing("dmean", "dmean")]
+    asked.append(F.transform("listed", lambda x: F.struct(F.lit("named but absent").alias("problem"), x["item"].alias("item"))))
+    named = per.select("condition", F.explode(F.concat(*asked)).alias("s")).select("condition", _existing("s.item").alias("name"), F.col("s.problem").alias("problem"))
+    both = named.unionByName(catalog.select("condition", "name", none.alias("problem")))
+    have = F.max(F.col("problem").isNull()) & F.col("condition").isNotNull() & F.col("name").isNotNull()
+    absent = both.groupBy("condition", "name").agg(F.collect_list("problem").alias("problems"), have.alias("have")).filter("NOT have")
+    return out.unionByName(absent.select("condition", F.explode("problems").alias("problem"), F.col("name").alias("detail")))
 
 
 def describe(catalog: DataFrame, other_layers=("dem", "dmean", "d2w", "dem_detrend", "mu")) -> DataFrame:
