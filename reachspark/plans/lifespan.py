@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import algebra, shear
-from ..session import values_table
+from ..session import deal, values_table
 from ..sources.lookup import Feature
 
 
@@ -168,7 +168,7 @@ def lifespan_cells(
     ground = terrain.select(*cell, *(["dmean"] if has_grain else []), *admissible)
     periods = values_table(spark, [(f.q, f.period) for f in floods], "q double, period double")
     flow = hydraulics.select(*keys, "q", "r", "c", F.when(F.col("h") > 0, F.col("h")).alias("h"), "u").join(periods, "q")
-    rows = flow.join(ground, cell, "full_outer")
+    rows = deal(flow, *cell).join(deal(ground, *cell), cell, "full_outer")
     if has_grain and any(f.tau_cr is not None and f.safety_factor is None for _, f, _, _, _ in plan):
         rows = shear.with_bed_shear(rows, shear.d84("dmean"), g=K.gravity(unit))
 
