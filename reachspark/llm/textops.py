@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes hashed at once; a longer text is hashed in several pieces cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
@@ -119,8 +119,11 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out ^ np.uint64(k))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of each hold about ``size`` bytes (one text at least)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each hold about ``size`` bytes (one text at least).
+
+    Arrays over the words of a piece take some thirty times its bytes, in each of a node's tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
