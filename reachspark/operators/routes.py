@@ -24,6 +24,8 @@ from ..session import cut, spread
 STEPS = [(0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, -1), (-1, 1)]
 #: Tables of one size before they are merged, and active tiles that are named to the scan.
 MERGE, NAMED = 4, 500
+#: Cells on a side up to which neighbouring tiles are relaxed as one: every border that a route crosses costs a round of jobs.
+JOINED = 128
 _HERE = 1 << 8
 
 
@@ -137,8 +139,11 @@ def least_cost_distance(
 
     ``allowed(dr, dc)`` gives a boolean column over ``passable``: may a step leave the cell in
     that direction? ``towards_sources`` measures the way to the sources instead of from them.
+    Square blocks of smaller tiles, up to ``JOINED`` cells a side, are held by one task, and routes
+    cross their inner borders there; rounds are only those between blocks.
     """
     keys = list(keys)
+    tile *= max(1, JOINED // tile)
     steps = STEPS[:4] if int(connectivity) == 4 else STEPS
     costs = [math.hypot(dr * grid.dy, dc * grid.dx) for dr, dc in steps]
     bits = F.lit(_HERE)
