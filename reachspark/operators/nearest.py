@@ -3,7 +3,7 @@
 Pass 1 works on strips of bounded height and width and finds, for every row, the nearest source of
 that column; the last source before a strip and the first one after it come from a window over
 one row per column and strip. Pass 2 works on blocks of rows and finds the best column. The best column moves monotonically
-with the target column, so each row is solved by divide and conquer in n log n. Groups are
+with the target column, so rows are solved by divide and conquer in n log n, all rows of a block at once. Groups are
 bounded by ``block_cells`` and, in pass 2, by one row of the grid, whatever its height.
 """
 
@@ -40,18 +40,18 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
     key_ddl = "".join(f"{k} {schemas[k]}, " for k in keys)
 
     def by_column(key, pdf):
-        parts = []
         first_row = int(key[-1]) * strip
         rows = np.arange(first_row, min(first_row + strip, nrows))
-        for col, sub in pdf.groupby("c", sort=True):
-            sub = sub.sort_values("r")
-            sr, sv = sub["r"].to_numpy(), sub["v"].to_numpy()
-            after = np.searchsorted(sr, rows)
-            above, below = np.clip(after - 1, 0, None), np.clip(after, None, len(sr) - 1)
-            up, down = np.abs(rows - sr[above]), np.abs(sr[below] - rows)
-            pick = np.where(up <= down, above, below)
-            parts.append(pd.DataFrame({"r": rows, "c": col, "src_r": sr[pick], "v": sv[pick]}))
-        out = pd.concat(parts, ignore_index=True)
+        sr, sc, sv = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64), pdf["v"].to_numpy()
+        by = np.lexsort((sr, sc))
+        sr, sc, sv = sr[by], sc[by], sv[by]
+        # all columns at once: a source's place is its column's number, then its row
+        cols, start, which, count = np.unique(sc, return_index=True, return_inverse=True, return_counts=True)
+        after = np.searchsorted(which * nrows + sr, np.arange(len(cols))[:, None] * nrows + rows)
+        above = np.maximum(after - 1, start[:, None])
+        below = np.minimum(after, (start + count - 1)[:, None])
+        pick = np.where(np.abs(rows - sr[above]) <= np.abs(sr[below] - rows), above, below).ravel()
+        out = pd.DataFrame({"r": np.tile(rows, len(cols)), "c": np.repeat(cols, len(rows)), "src_r": sr[pick], "v": sv[pick]})
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out.astype({"r": "int32", "c": "int32", "src_r": "int32"})
@@ -74,31 +74,16 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
     )
 
     def by_row(key, left, right):
-        parts = []
-        if len(left) and len(right):
-            pool = {row: sub for row, sub in right.groupby("r", sort=False)}
-            for row, want in left.groupby("r", sort=False):
-                have = pool.get(row)
-                if have is None:
-                    continue
-                have = have.sort_values("c")
-                tc = np.unique(want["c"].to_numpy())
-                sc, sr = have["c"].to_numpy().astype(np.int64), have["src_r"].to_numpy().astype(np.int64)
-                best, d2 = _best_columns(tc, sc, ((sr - row) * dy) ** 2, sr * ncols + sc, dx)
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "r": row,
-                            "c": tc,
-                            "src_r": sr[best],
-                            "src_c": sc[best],
-                            "dist": np.sqrt(d2),
-                            "v": have["v"].to_numpy()[best],
-                        }
-                    )
-                )
-        empty = pd.DataFrame({n: pd.Series(dtype=float) for n in ("r", "c", "src_r", "src_c", "dist", "v")})
-        out = pd.concat(parts, ignore_index=True) if parts else empty
+        have = right.sort_values(["r", "c"])
+        row, sc, sr = (have[n].to_numpy(np.int64) for n in ("r", "c", "src_r"))
+        place = np.unique(left["r"].to_numpy(np.int64) * ncols + left["c"].to_numpy(np.int64))
+        place = place[np.isin(place // ncols, row)]
+        tr, tc = np.divmod(place, ncols)
+        # all rows of the block at once, each a range of targets and one of sources
+        rows, lo, size = np.unique(tr, return_index=True, return_counts=True)
+        ranges = lo, lo + size, np.searchsorted(row, rows), np.searchsorted(row, rows, "right") - 1
+        best, d2 = _best_columns(tc, sc, ((sr - row) * dy) ** 2, sr * ncols + sc, dx, ranges)
+        out = pd.DataFrame({"r": tr, "c": tc, "src_r": sr[best], "src_c": sc[best], "dist": np.sqrt(d2), "v": have["v"].to_numpy()[best]})
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out.astype({"r": "int32", "c": "int32", "src_r": "int32", "src_c": "int32"})
@@ -113,15 +98,15 @@ def nearest_source(targets: DataFrame, sources: DataFrame, grid: Grid, value: st
     )
 
 
-def _best_columns(tc, sc, g2, rank, dx):
-    """Per target column the index of the best source column, and the squared distance.
+def _best_columns(tc, sc, g2, rank, dx, ranges):
+    """Per target the index of the best source of its row, and the squared distance.
 
-    The pair (squared distance, rank) is minimised in that order.
+    The pair (squared distance, rank) is minimised in that order. ``ranges`` has, for each row, the first and
+    the end of its targets, the first and the last of its sources; both are in order of their columns.
     """
     best = np.zeros(len(tc), dtype=np.int64)
     dist = np.zeros(len(tc))
-    lo, hi = np.array([0]), np.array([len(tc)])
-    a, b = np.array([0]), np.array([len(sc) - 1])
+    lo, hi, a, b = ranges
     while len(lo):
         mid = (lo + hi) // 2
         size = b - a + 1
