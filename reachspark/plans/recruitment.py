@@ -9,8 +9,9 @@ years are scored in one job: a season is a row of a table that meets the tiles o
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ from ..sources.lookup import RecruitmentParameters
 
 #: Days of one season at most, and the width of the square tiles a season is walked in.
 MAX_DAYS, TILE = 400, 64
+#: Seasons that meet a tile at once; their cells are shuffled and read once for all of them.
+SEASONS = 16
+#: Cells walked at once.
+CELLS = 256
 
 
 def mobilising_discharge(
@@ -52,6 +57,13 @@ def bracket(modelled: list[float], q: float) -> tuple[int, int, float]:
     return high - 1, high, (q - modelled[high - 1]) / (modelled[high] - modelled[high - 1])
 
 
+def brackets(m: Sequence[float], flows: Sequence[float]) -> tuple[np.ndarray, ...]:
+    """Positions and weights of :func:`bracket` for many discharges."""
+    modelled = list(m)
+    lo, hi, weight = (np.array(x) for x in zip(*[bracket(modelled, q) for q in flows]))
+    return lo, hi, weight
+
+
 def flow_brackets(flow: DataFrame, discharges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``d, q, q_lo, q_hi, weight``: modelled discharges around every day's flow, clamped.
 
@@ -78,14 +90,17 @@ def surfaces(wle: DataFrame, discharges: list[float] | None = None, keys: Sequen
     modelled ``discharges`` if all keys share known ones; else they are aggregated from the table.
     """
     keys = list(keys)
-    level = F.struct(F.col("q").cast("double").alias("q"), F.col("wle").cast("double").alias("wle"))
-    known = spread(wle.filter("wle IS NOT NULL"), *keys, "r", "c").dropDuplicates([*keys, "r", "c", "q"])
-    packed = known.groupBy(*keys, "r", "c").agg(F.map_from_entries(F.collect_list(level)).alias("_levels"))
+    at, q = [*keys, "r", "c"], F.col("q").cast("double")
+    known = wle.filter("wle IS NOT NULL")
     if discharges is not None:
-        packed = packed.withColumn("m", F.array(*[F.lit(float(q)) for q in sorted(discharges)]))
-    else:
-        packed = with_list(packed, wle, F.array_sort(F.collect_set(F.col("q").cast("double"))), "m", keys)
-    return packed.select(*keys, "r", "c", "m", F.transform("m", lambda q: F.try_element_at("_levels", q)).alias("w"))
+        # a cell's surfaces become one row before they are shuffled
+        m = [float(x) for x in sorted(discharges)]
+        packed = known.groupBy(*at).agg(*[F.first(F.when(q == F.lit(x), F.col("wle")), ignorenulls=True).alias(f"_w{i}") for i, x in enumerate(m)])
+        return packed.select(*at, F.array(*map(F.lit, m)).alias("m"), F.array(*[F.col(f"_w{i}") for i in range(len(m))]).alias("w"))
+    packed = spread(known, *at).groupBy(*at).agg(F.collect_list(F.struct(q.alias("q"), F.col("wle").cast("double").alias("wle"))).alias("_levels"))
+    packed = with_list(packed, wle, F.array_sort(F.collect_set(q)), "m", keys)
+    found = lambda q: F.get(F.filter("_levels", lambda x: x["q"] == q), F.lit(0))["wle"]
+    return packed.select(*at, "m", F.transform("m", found).alias("w"))
 
 
 def with_list(rows: DataFrame, other: DataFrame, made: Column, name: str, keys: list[str]) -> DataFrame:
@@ -96,8 +111,7 @@ def with_list(rows: DataFrame, other: DataFrame, made: Column, name: str, keys:
 
 def water_levels(w: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Water surfaces of cells at any discharges: linear between the modelled ones, held beyond them."""
-    marks = [bracket(list(m), x) for x in np.atleast_1d(q)]
-    lo, hi, weight = (np.array(x) for x in zip(*marks))
+    lo, hi, weight = brackets(m, np.atleast_1d(q))
     return w[:, lo] * (1.0 - weight) + w[:, hi] * weight
 
 
@@ -164,7 +178,7 @@ def seasons(
 
 
 def _season_tiles(dem, wle, flow, p, years, unit, discharges, keys, flow_keys, missing, vegetated=None) -> tuple[DataFrame, str]:
-    """Tiles of cells with every season of their key, and the DDL of the columns that name a row."""
+    """Tiles of cells with the seasons of their key, some to a row, and the DDL of the columns that name a result's row."""
     keys, flow_keys = list(keys), list(flow_keys)
     ground = dem.select(*keys, "r", "c", F.col("v").cast("double").alias("dem")).join(surfaces(wle, discharges, keys), [*keys, "r", "c"])
     if vegetated is not None:
@@ -174,17 +188,29 @@ def _season_tiles(dem, wle, flow, p, years, unit, discharges, keys, flow_keys, m
     tiles = ground.groupBy(*tile).agg(F.first("m").alias("m"), F.collect_list(cell).alias("cells"))
     table = seasons(flow, p, years, [k for k in keys if k in flow.columns] + flow_keys, missing)
     shared = [k for k in keys if k in flow.columns]
-    inside = F.struct(*[c for c in table.columns if c not in shared])
-    tiles = with_list(tiles, table, F.collect_list(inside), "_s", shared).withColumn("_s", F.explode("_s"))
-    tiles = tiles.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in table.columns if c not in shared], "m", *[F.col(f"cells.{n}").alias(n) for n in ("r", "c", "dem", "w")])
-    names = [*keys, *flow_keys, "year"]
-    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
-    return spread(tiles, *names, F.col("r")[0], F.col("c")[0]), ", ".join(f"{n} {kinds[n]}" for n in names)
+    own = [c for c in table.columns if c not in shared]
+    listed = F.array_sort(F.collect_list(F.struct(*own)))
+    tiles = with_list(tiles, table, listed, "_s", shared)
+    chunk = F.sequence(F.lit(1), F.size("_s"), F.lit(SEASONS))
+    tiles = tiles.filter(F.size("_s") > 0).withColumn("_from", F.explode(chunk)).withColumn("seasons", F.slice("_s", F.col("_from"), SEASONS))
+    tiles = tiles.select(*keys, "_from", "seasons", "m", *[F.col(f"cells.{n}").alias(n) for n in ("r", "c", "dem")], F.flatten("cells.w").alias("w"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*dem.schema.fields, *table.schema.fields]}
+    return spread(tiles, *keys, "_from", F.col("r")[0], F.col("c")[0]), ", ".join(f"{n} {kinds[n]}" for n in [*keys, *flow_keys, "year"])
+
+
+def _each_season(batches, keys: Sequence[str]) -> Iterator[SimpleNamespace]:
+    """Every tile with every one of its seasons."""
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            m, dem = np.asarray(row.m, dtype=float), np.asarray(row.dem, dtype=float)
+            shared = {k: getattr(row, k) for k in keys} | {"r": row.r, "c": row.c, "m": m, "dem": dem, "w": np.asarray(row.w, dtype=float).reshape(len(dem), len(m))}
+            for season in row.seasons:
+                yield SimpleNamespace(**shared, **{k: season[k] for k in season})
 
 
 def _crop(row, p: RecruitmentParameters, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which cells of a tile can recruit in its season, with all elevations and modelled surfaces."""
-    w, dem, m = np.stack([np.asarray(x, dtype=float) for x in row.w]), np.asarray(row.dem, dtype=float), np.asarray(row.m, dtype=float)
+    w, dem, m = row.w, row.dem, row.m
     if p.band_lower is not None and p.band_upper is not None:
         above = dem - water_levels(w, m, row.base_flow)[:, 0]
         return (above >= p.band_lower / scale) & (above <= p.band_upper / scale), dem, w
@@ -213,10 +239,9 @@ def crop_area(
     names, scale = [f.split()[0] for f in ddl.split(", ")], K.CM_PER_LENGTH[unit]
 
     def cut_out(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                keep, z, _ = _crop(row, p, scale)
-                yield pd.DataFrame({"r": row.r[keep], "c": row.c[keep], "dem": z[keep]}).assign(**{n: getattr(row, n) for n in names})[[*names, "r", "c", "dem"]]
+        for row in _each_season(batches, keys):
+            keep, z, _ = _crop(row, p, scale)
+            yield pd.DataFrame({"r": row.r[keep], "c": row.c[keep], "dem": z[keep]}).assign(**{n: getattr(row, n) for n in names})[[*names, "r", "c", "dem"]]
 
     return tiles.mapInPandas(cut_out, f"{ddl}, r int, c int, dem double")
 
@@ -244,34 +269,37 @@ def recession(
 
     def walk(row) -> pd.DataFrame:
         keep, z, w = _crop(row, p, scale)
-        level = water_levels(w[keep], np.asarray(row.m, dtype=float), np.asarray(row.flows, dtype=float))
         after_start, seeding = np.asarray(row.after, dtype=bool), np.asarray(row.seeding, dtype=bool)
         n, total = len(after_start), int(after_start.sum())
         elapsed = np.concatenate(([0], np.cumsum(after_start)[:-1]))
         counted = after_start & (np.arange(n) >= 3)
-        dry = ~(level > z[keep][:, None])
-        place = np.arange(n)
-        fell = np.zeros_like(dry)
-        fell[:, 1:] = dry[:, 1:] & ~dry[:, :-1]
-        reset = np.where(fell & seeding, place, -1).max(axis=1)
-        since = place >= reset[:, None]
-        drop = np.zeros_like(level)
-        drop[:, 3:] = (level[:, :-3] - level[:, 3:]) / 3.0 * scale
-        counts = dry & since & counted
-        lethal = (counts & (drop >= p.recession_lethal)).sum(axis=1)
-        stress = (counts & (drop >= p.recession_stress) & (drop < p.recession_lethal)).sum(axis=1)
-        tracked = np.where(reset >= 0, np.maximum(total - elapsed[reset], 1), total)
-        last_dry = np.maximum.accumulate(np.where(dry, place, -1), axis=1)
-        longest = np.where(since, place - last_dry, 0).max(axis=1)
-        mortality = (lethal / tracked * 100.0 * 3.0 + stress / tracked * 100.0) / 3.0
-        cells = pd.DataFrame({"r": row.r[keep], "c": row.c[keep], "mortality": mortality, "longest": longest.astype("int32")})
-        return cells.assign(**{x: getattr(row, x) for x in (*names, "prep_peak", "scour_peak")})
+        place = np.arange(n, dtype=np.int16)[:, None]
+        lo, hi, weight = brackets(row.m, row.flows)
+        cells = np.flatnonzero(keep)
+        mortality, longest = np.zeros(len(cells)), np.zeros(len(cells), np.int32)
+        # a line a day; some cells at a time, whose days fit a core's cache
+        for at in range(0, len(cells), CELLS):
+            some = cells[at : at + CELLS]
+            modelled = np.ascontiguousarray(w[some].T)
+            level = modelled[lo] * (1.0 - weight)[:, None] + modelled[hi] * weight[:, None]
+            dry = ~(level > z[some])
+            fell = dry[1:] & ~dry[:-1] & seeding[1:, None]
+            reset = np.where(fell, place[1:], np.int16(-1)).max(axis=0, initial=-1)
+            since = place >= reset
+            drop = (level[:-3] - level[3:]) / 3.0 * scale
+            counts = (dry & since & counted[:, None])[3:]
+            lethal = (counts & (drop >= p.recession_lethal)).sum(axis=0)
+            stress = (counts & (drop >= p.recession_stress) & (drop < p.recession_lethal)).sum(axis=0)
+            tracked = np.where(reset >= 0, np.maximum(total - elapsed[reset], 1), total)
+            last_dry = np.maximum.accumulate(np.where(dry, place, np.int16(-1)), axis=0)
+            longest[at : at + CELLS] = np.where(since, place - last_dry, np.int16(0)).max(axis=0)
+            mortality[at : at + CELLS] = (lethal / tracked * 100.0 * 3.0 + stress / tracked * 100.0) / 3.0
+        out = pd.DataFrame({"r": row.r[cells], "c": row.c[cells], "mortality": mortality, "longest": longest})
+        return out.assign(**{x: getattr(row, x) for x in names}, **{x: np.full(len(cells), getattr(row, x), float) for x in ("prep_peak", "scour_peak")})
 
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                out = walk(row)
-                yield out.assign(**{x: out[x].astype(float) for x in ("prep_peak", "scour_peak")})
+        for row in _each_season(batches, keys):
+            yield walk(row)
 
     tracked = tiles.mapInPandas(run, f"r int, c int, mortality double, longest int, {ddl}, prep_peak double, scour_peak double")
     tracked = tracked.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in ("prep_peak", "scour_peak")})

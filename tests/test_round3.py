@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+
 from reachspark.grid import Grid
 from reachspark.operators import nearest, routes
+from reachspark.plans import recruitment
+from reachspark.sources.lookup import RecruitmentParameters
 
 
 def test_small_tiles_do_not_cost_a_round_each(spark, monkeypatch):
@@ -37,3 +40,15 @@ def test_best_columns_of_many_rows_at_once():
         own = np.flatnonzero(row_s == row_t[i])
         least = min(own, key=lambda j: ((tc[i] - sc[j]) ** 2 + g2[j], rank[j]))
         assert (d2[i], rank[best[i]]) == ((tc[i] - sc[least]) ** 2 + g2[least], rank[least])
+
+
+def test_all_seasons_meet_a_tile_in_one_row(spark):
+    """A tile's cells are shuffled once for all its seasons, not once for each."""
+    dem = spark.range(16).selectExpr("cast(id div 4 as int) r", "cast(id % 4 as int) c", "10.0D v")
+    wle = dem.selectExpr("r", "c", "explode(array(1000D, 2000D)) q").selectExpr("*", "q / 100 wle")
+    flow = spark.sql("select explode(sequence(date '1994-01-01', date '1996-12-31')) d").selectExpr("d", "1000D + dayofyear(d) q")
+    p = RecruitmentParameters()
+    tiles, _ = recruitment._season_tiles(dem, wle, flow, p, (1995, 1996), "us", None, [], [], "error")
+    assert tiles.count() == 1
+    crop = recruitment.crop_area(dem, wle, flow, p, (1995, 1996), discharges=[1000.0, 2000.0])
+    assert sorted(crop.select("year").distinct().collect()) == sorted(recruitment.crop_area(dem, wle, flow, p, (1995, 1996)).select("year").distinct().collect())
