@@ -35,8 +35,10 @@ SKETCH = [f"p{i}" for i in range(16)]
 #: The same sketch folded to 256 bits for rows that are joined many times: parities add up, so its bound is exact too.
 FOLDED = [f"f{i}" for i in range(4)]
 
-#: Members of a bucket whose pairs between components meet directly.
+#: Probing members of a bucket up to which its pairs between components meet directly: its members times so many at most.
 FEW = 32
+#: Smaller shingles of its set that a row of a difference carries.
+EARLIER = 6
 #: Pairs whose texts are joined at a time.
 AT_A_TIME = 400_000
 
@@ -244,33 +246,33 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         return on_texts(_near_sketches(pairs, needed, num, den), _linked(k, num, den), "a long, b long")
 
     def across(parted: DataFrame) -> DataFrame:
-        """Pairs between components that can still link: met in small buckets, else found in how they differ from their hub.
+        """Pairs between components that can still link: met in buckets with few probing members, else found in how they differ from their hub.
 
         Let x lack ``gone`` shingles of the hub and have ``fresh`` ones beyond it. If x and y share no
         fresh shingle they differ in all fresh ones and in at least the difference of their gone
         ones. If they share no gone one either, their distance is the sum of their distances to
         the hub; if they link, so does each with the hub, at a smaller distance, and nothing is lost.
+        A pair is not made again where both rows have a shared shingle shortly before.
         """
         brief = needed.select("node", "n_shingles", *_folded())
-        few = cut(small_join(parted.where(F.col("size") <= FEW).select("key", "node", "component", "probe", "exact"), brief, "node"))
-        x, y = few.alias("x"), few.alias("y")
+        few = cut(small_join(parted.where(F.col("probers") <= FEW).select("key", "node", "component", "probe", "exact"), brief, "node"))
+        x, y = few.where("probe").alias("x"), few.alias("y")
         bits = reduce(add, [F.bit_count(F.col(f"x.{f}").bitwiseXOR(F.col(f"y.{f}"))) for f in FOLDED])
         n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
         direct = x.join(
             y,
             (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.node") < F.col("y.node"))
+            & (~F.col("y.probe") | (F.col("x.node") < F.col("y.node")))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.col("x.probe") | F.col("y.probe"))
             & (F.col("x.exact") | F.col("y.exact"))
             & (F.greatest(F.abs(n - m), bits.cast("long")) * (den + num) <= (n + m) * (den - num)),
         )
-        direct = cut(direct.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        direct = cut(direct.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
         release(spark, few)
-        led = parted.where((F.col("size") > FEW) & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
+        led = parted.where((F.col("probers") > FEW) & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
         led = led.agg(F.max("probe").alias("probe"))
         led = cut(small_join(led, needed.select(F.col("node").alias("b"), *_folded()), "b"))
-        schema = "hub long, node long, n long, gone long, fresh long, is_new boolean, shingle long"
+        schema = "hub long, node long, n long, gone long, fresh long, is_new boolean, shingle long, before array<long>"
         rows = on_texts(led.select("a", "b"), _differences(k, num, den), schema)
         rows = cut(rows.join(led.withColumnsRenamed({"a": "hub", "b": "node"}), ["hub", "node"]))
         release(spark)
@@ -283,6 +285,7 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         found = x.join(
             y,
             same[0] & same[1] & same[2]
+            & ~F.arrays_overlap("x.before", "y.before")
             & (F.col("x.node") < F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
             & (F.col("x.probe") | F.col("y.probe"))
@@ -327,16 +330,17 @@ def _allocated(shared: DataFrame) -> DataFrame:
 
 
 def _differences(k: int, num: int, den: int):
-    """Rows ``hub, node, n, gone, fresh, is_new, shingle``: how a set differs from its hub's.
+    """Rows ``hub, node, n, gone, fresh, is_new, shingle, before``: how a set differs from its hub's.
 
     Two sets that link differ in at most ``H`` shingles, so of the shingles that one lacks (or has
-    beyond its hub) the ``H + 1`` with the smallest fingerprints meet those of the other.
+    beyond its hub) the ``H + 1`` with the smallest fingerprints meet those of the other. ``before``
+    holds the ``EARLIER`` next smaller ones of the same set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(pieces(iter([whole]), "text_a"), "text_b"):
-                rows: list[list[np.ndarray]] = [[] for _ in range(7)]
+                rows: list[list[np.ndarray]] = [[] for _ in range(9)]
                 a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for x, y, s, t in zip(a, b, shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
                     if set_key(s) != x or set_key(t) != y:
@@ -349,10 +353,15 @@ def _differences(k: int, num: int, den: int):
                         for column, value in zip(rows, sizes):
                             column.append(np.full(len(part), value))
                         rows[6].append(part)
+                        at = np.arange(len(part))[:, None] - np.arange(1, EARLIER + 1)
+                        rows[7].append(part[at[at >= 0]])
+                        rows[8].append((at >= 0).sum(axis=1))
                 if rows[0]:
                     kinds = [np.int64] * 5 + [bool, np.int64]
-                    columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(rows, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["hub", "node", "n", "gone", "fresh", "is_new", "shingle"])
+                    columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(rows[:7], kinds, strict=True)]
+                    ends = np.cumsum(np.concatenate([[0], *rows[8]])).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows[7]))))
+                    yield pa.RecordBatch.from_arrays(columns, names=["hub", "node", "n", "gone", "fresh", "is_new", "shingle", "before"])
 
     return run
 

@@ -30,7 +30,7 @@ def link_components(
     the keys that a node shares with nobody, so the middle of a group has the least. A pair is a
     candidate if one of the two probes and one is exact. ``verify`` takes ``(a, b)`` pairs and
     returns those that are linked. The second round asks ``across`` for the pairs to verify; it gets
-    the members of parted buckets with ``component``, the bucket's ``size`` and one ``hub`` per bucket, a central node of its group;
+    the members of parted buckets with ``component``, the bucket's count of ``probers`` and one ``hub`` per bucket, a central node of its group;
     all pairs between components are the default. Buckets are combined before each shuffle and otherwise only
     joined, which adaptive execution may split; no bucket is gathered in a row.
     """
@@ -47,8 +47,8 @@ def link_components(
     # a bucket without a node that probes, or without a whole segment, holds no candidates
     now = led.where("n > 2 and l.probe and l.exact").drop("l", "n")
     now = now.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-    now = cut(now.join(parted.where("x != y").select("key", "size"), "key"))
+    parted = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.col("probe").cast("int")).alias("probers"))
+    now = cut(now.join(parted.where("x != y").select("key", "probers"), "key"))
     # buckets off the middle of a group take over the hub that their own most central node has elsewhere
     near_hubs = now.select(F.col("m.node").alias("node")).distinct()
     best = led.join(near_hubs, "node").groupBy("node").agg(F.max("m")["node"].alias("hub"))

@@ -6,8 +6,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from reachspark.llm import importance
+from reachspark.llm import importance, jaccard, linking
 
 
 class _Ratio:
@@ -32,3 +33,31 @@ def test_scoring_holds_the_words_of_a_small_piece_only():
     # pieces do not change what a text scores
     one = next(importance._scores(_Ratio)(iter([batch.slice(700, 1)])))
     assert np.isclose(found["log_weight"][700].as_py(), one.column(3)[0].as_py(), rtol=1e-12)
+
+
+def test_alike_differences_meet_about_once_a_pair():
+    """A pair that shares many shingles beyond its hub is made a few times, not once a shingle."""
+    hub = [f"w{i}" for i in range(400)]
+    texts = [" ".join(hub[:250] + [f"new{i}" for i in range(90)] + [f"own{t}"] + hub[300:]) for t in range(3)]
+    sets = list(jaccard.shingle_sets(pa.array([" ".join(hub), *texts]), 5))
+    keys = [jaccard.set_key(s) for s in sets]
+    batch = pa.RecordBatch.from_pydict({"a": [keys[0]] * 3, "b": keys[1:], "text_a": [" ".join(hub)] * 3, "text_b": texts})
+    rows = [x for b in jaccard._differences(5, 80, 100)(iter([batch])) for x in b.to_pylist() if x["is_new"]]
+    met = [(x["node"], y["node"], bool(set(x["before"]) & set(y["before"]))) for x in rows for y in rows if x["shingle"] == y["shingle"] and x["node"] < y["node"]]
+    made = [pair[:2] for pair in met if not pair[2]]
+    assert len(set(made)) == len({pair[:2] for pair in met}) == 3  # no pair is lost
+    assert len(met) > 100 and len(made) <= 6
+
+
+def test_buckets_are_told_by_their_probing_members(spark):
+    """A long bucket that two members probe is no large one: it costs two pairs a member."""
+    rows = [(1, n, 0, n < 2, True) for n in range(100)]
+    members = spark.createDataFrame(rows, "key long, node long, missing long, probe boolean, exact boolean")
+    seen = []
+
+    def across(parted):
+        seen.extend(parted.select("key", "node", "probers").collect())
+        return parted.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+    linking.link_components(members, lambda pairs: pairs.limit(0), across)
+    assert len(seen) == 100 and {x["probers"] for x in seen} == {2}
