@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid
 from ..session import cut, deal, spread
 from .align import _span
-from .regions import label_regions
+from .regions import region_measures
 from .stencil import grid_cells, neighbours
 
 
@@ -120,11 +120,15 @@ def boundary_sides(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def polygonize(cells: DataFrame, grid: Grid, value: str = "v", connectivity: int = 4, keys: Sequence[str] = (), labelled: DataFrame | None = None) -> DataFrame:
     """One row per region of equal integer value: ``label, gridcode, cells, area, perimeter``.
 
-    Values are truncated to integers first.
+    Values are truncated to integers first. A table of labels, if one is given, is measured as it is.
     """
     if labelled is None:
         coded = cells.filter(F.col(value).isNotNull()).withColumn("gridcode", F.col(value).cast("int"))
-        labelled = cut(label_regions(coded.select(*keys, "r", "c", "gridcode"), grid, connectivity, "gridcode", keys))
+        measured = region_measures(coded.select(*keys, "r", "c", "gridcode"), grid, connectivity, "gridcode", keys)
+        rim = F.col("flat") * F.lit(abs(grid.dx)) + F.col("steep") * F.lit(abs(grid.dy))
+        return measured.select(
+            *keys, "label", F.col("gridcode").cast("int").alias("gridcode"), (F.col("cells") * F.lit(grid.cell_area)).alias("area"), "cells", rim.cast("double").alias("perimeter")
+        )
     sizes = labelled.groupBy(*keys, "label").agg(
         F.first("gridcode").cast("int").alias("gridcode"), (F.count(F.lit(1)) * F.lit(grid.cell_area)).alias("area"), F.count(F.lit(1)).alias("cells")
     )

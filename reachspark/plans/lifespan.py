@@ -130,6 +130,7 @@ def lifespan_cells(
     codes: dict[str, int] | None = None,
     keys: Sequence[str] = (),
     per_pass: int = 48,
+    best: bool = False,
 ) -> DataFrame:
     """``r, c, fid, lifespan, design`` of every mapped cell.
 
@@ -138,17 +139,18 @@ def lifespan_cells(
     flood is not mapped. Without a hydraulic criterion the longest period of the list applies.
     ``design`` is the grain that just moves at the design flood, in inches for U.S. units.
     More than ``per_pass`` features are mapped in several passes, to keep generated code small.
+    ``best`` keeps the features that reach a cell's longest lifespan, as ``best_cells`` does, before they become rows.
     """
     features = list(features)
     if len(features) > per_pass:
         parts = [
-            lifespan_cells(hydraulics, floods, terrain, features[i : i + per_pass], unit, manning_n, codes, keys, per_pass)
+            lifespan_cells(hydraulics, floods, terrain, features[i : i + per_pass], unit, manning_n, codes, keys, per_pass, best)
             for i in range(0, len(features), per_pass)
         ]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        return out
+        return best_cells(out, keys) if best else out
     spark = hydraulics.sparkSession
     cell = [*keys, "r", "c"]
     has_grain = "dmean" in terrain.columns
@@ -193,6 +195,9 @@ def lifespan_cells(
         grain = F.col(f"d{i}") if at is not None else F.lit(None).cast("double")
         results.append(F.struct(F.lit(f.fid).alias("fid"), life.cast("double").alias("lifespan"), grain.alias("design")))
     mapped = F.filter(F.array(*results), lambda s: s["lifespan"].isNotNull())
+    if best:
+        wide = wide.select(*cell, mapped.alias("_all")).withColumn("_top", F.array_max(F.col("_all.lifespan")))
+        mapped = F.filter("_all", lambda s: s["lifespan"] == F.col("_top"))
     return wide.select(*cell, F.explode(mapped).alias("s")).select(*cell, "s.*")
 
 

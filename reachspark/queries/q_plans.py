@@ -33,9 +33,9 @@ def terrain_table(d: Data):
     return base.join(slope, ["r", "c"])
 
 
-def lifespans(d: Data, features=None):
+def lifespans(d: Data, features=None, best: bool = False):
     chosen = [f for f in FEATURES if f.lifespan_mapping] if features is None else features
-    return lifespan.lifespan_cells(d.hydraulics, FLOODS, terrain_table(d), chosen, "us", codes=CODES)
+    return lifespan.lifespan_cells(d.hydraulics, FLOODS, terrain_table(d), chosen, "us", codes=CODES, best=best)
 
 
 def fail_sql(f: Feature) -> str | None:
@@ -164,7 +164,7 @@ BEST = LIFE + ", best_v as (select *, max(lifespan) over (partition by r, c) bes
 
 @query("best_features", sql("cells_v", "hydraulics_v", ctes=BEST, body="select r, c, fid, lifespan from best_v where lifespan = best"))
 def best_features(d: Data):
-    return lifespan.best_cells(lifespans(d)).select("r", "c", "fid", "lifespan")
+    return lifespans(d, best=True).select("r", "c", "fid", "lifespan")
 
 
 @query(

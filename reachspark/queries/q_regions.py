@@ -275,6 +275,6 @@ def strand_velocity(d: Data):
     ),
 )
 def best_polygons(d: Data):
-    best = lifespan.best_cells(lifespans(d))
+    best = lifespans(d, best=True)
     coded = best.select("fid", "r", "c", F.lit(1).alias("v"))
     return rounded(polygons.polygonize(coded, d.grid, keys=["fid"]))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 from reachspark.grid import Grid
-from reachspark.operators import nearest, routes
-from reachspark.plans import recruitment
+from reachspark.operators import nearest, polygons, regions, routes
+from reachspark.plans import lifespan, recruitment
+from reachspark.queries.q_plans import lifespans
+from reachspark.queries.registry import Data
 from reachspark.sources.lookup import RecruitmentParameters
 
 
@@ -52,3 +54,24 @@ def test_all_seasons_meet_a_tile_in_one_row(spark):
     assert tiles.count() == 1
     crop = recruitment.crop_area(dem, wle, flow, p, (1995, 1996), discharges=[1000.0, 2000.0])
     assert sorted(crop.select("year").distinct().collect()) == sorted(recruitment.crop_area(dem, wle, flow, p, (1995, 1996)).select("year").distinct().collect())
+
+
+def test_regions_are_measured_in_their_tiles(spark, table):
+    """Cells, area and perimeter of regions across tile borders are those of the labelled cells."""
+    rng = np.random.default_rng(5)
+    rows = [(k, r, c, int(rng.random() < 0.55)) for k in "ab" for r in range(21) for c in range(19) if rng.random() < 0.9]
+    cells, grid = table(rows, "k string, r int, c int, gridcode int"), Grid(21, 19)
+    for way in (4, 8):
+        labelled = regions.label_regions(cells, grid, way, "gridcode", ["k"], tile=8)
+        want = polygons.polygonize(cells, grid, keys=["k"], labelled=labelled)
+        got = regions.region_measures(cells, grid, way, "gridcode", ["k"], tile=8)
+        sides = {(x["k"], x["label"]): (x["gridcode"], x["cells"], x["flat"] * abs(grid.dx) + x["steep"] * abs(grid.dy)) for x in got.collect()}
+        assert sides == {(x["k"], x["label"]): (x["gridcode"], x["cells"], x["perimeter"]) for x in want.collect()}
+
+
+def test_best_features_are_chosen_before_they_become_rows(spark):
+    data = Data(spark, "/root/testdata/sf0.001")
+    got = lifespans(data, best=True)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    rows = lambda df: sorted((x["r"], x["c"], x["fid"], x["lifespan"]) for x in df.collect())
+    assert rows(got) == rows(lifespan.best_cells(lifespans(data)))
