@@ -35,9 +35,10 @@ SKETCH = [f"p{i}" for i in range(16)]
 #: The same sketch folded to 256 bits for rows that are joined many times: parities add up, so its bound is exact too.
 FOLDED = [f"f{i}" for i in range(4)]
 
-#: Probing members of a bucket up to which its pairs between components meet directly: its members times so many at most.
-FEW = 32
-#: Smaller shingles of its set that a row of a difference carries.
+#: Probing members of a bucket, or members outside its largest component, up to which its pairs between components meet
+#: directly: its members times so many at most. A meeting compares four words; a difference from a hub needs both texts.
+FEW = 256
+#: Smaller shingles of its set that a row of a difference carries, and smaller keys of its node that a member carries.
 EARLIER = 6
 #: Pairs whose texts are joined at a time.
 AT_A_TIME = 400_000
@@ -232,13 +233,14 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         """``step`` on the texts of all pairs, so many pairs at a time that only texts they need are shuffled."""
         pairs, done = cut(pairs), []
         n = max(1, -(-pairs.count() // AT_A_TIME))
+        more = [c for c in pairs.columns if c not in ("a", "b")]
         for i in range(n):
             part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == i)
             ids = cut(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
             some = small_join(texts, ids, "node", "left_semi", 2 * AT_A_TIME)
-            second = part.select("a", "b").join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            second = part.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             both = second.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            done.append(cut(both.select("a", "b", "text_a", "text_b").mapInArrow(step, schema)))
+            done.append(cut(both.select("a", "b", "text_a", "text_b", *more).mapInArrow(step, schema)))
             release(spark)
         return reduce(DataFrame.unionByName, done)
 
@@ -246,36 +248,45 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         return on_texts(_near_sketches(pairs, needed, num, den), _linked(k, num, den), "a long, b long")
 
     def across(parted: DataFrame) -> DataFrame:
-        """Pairs between components that can still link: met in buckets with few probing members, else found in how they differ from their hub.
+        """Pairs between components that can still link: met in buckets with few probing members or few strangers, else found in how they differ from their hub.
 
         Let x lack ``gone`` shingles of the hub and have ``fresh`` ones beyond it. If x and y share no
         fresh shingle they differ in all fresh ones and in at least the difference of their gone
         ones. If they share no gone one either, their distance is the sum of their distances to
         the hub; if they link, so does each with the hub, at a smaller distance, and nothing is lost.
-        A pair is not made again where both rows have a shared shingle shortly before.
+        Two that link with the hub need no pair, so one of a pair is ``far``.
+        A pair is not made again where both rows have a shared shingle (or key) shortly before.
         """
         brief = needed.select("node", "n_shingles", *_folded())
-        few = cut(small_join(parted.where(F.col("probers") <= FEW).select("key", "node", "component", "probe", "exact"), brief, "node"))
-        x, y = few.where("probe").alias("x"), few.alias("y")
+        direct = F.least("probers", "strangers") <= FEW
+        lead = F.when(F.col("strangers") < F.col("probers"), F.col("stranger")).otherwise(F.col("probe"))
+        few = parted.where(direct).select("key", "node", "component", "probe", "exact", lead.alias("lead"))
+        # two rows that both probe a key as a whole segment meet there in any case
+        shortly = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)
+        few = few.withColumn("before", F.collect_list(F.when(F.col("probe") & F.col("exact"), F.col("key"))).over(shortly))
+        few = cut(small_join(few, brief, "node"))
+        x, y = few.where("lead").alias("x"), few.alias("y")
         bits = reduce(add, [F.bit_count(F.col(f"x.{f}").bitwiseXOR(F.col(f"y.{f}"))) for f in FOLDED])
         n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
-        direct = x.join(
-            y,
+        # the few that lead are on the right, which the join buffers
+        met = y.join(
+            x,
             (F.col("x.key") == F.col("y.key"))
-            & (~F.col("y.probe") | (F.col("x.node") < F.col("y.node")))
+            & (~F.col("y.lead") | (F.col("x.node") < F.col("y.node")))
             & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.probe") | F.col("y.probe"))
             & (F.col("x.exact") | F.col("y.exact"))
-            & (F.greatest(F.abs(n - m), bits.cast("long")) * (den + num) <= (n + m) * (den - num)),
+            & (F.greatest(F.abs(n - m), bits.cast("long")) * (den + num) <= (n + m) * (den - num))
+            & ~F.arrays_overlap("x.before", "y.before"),
         )
-        direct = cut(direct.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+        met = cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
         release(spark, few)
-        led = parted.where((F.col("probers") > FEW) & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
+        led = parted.where(~direct & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), "component")
         led = led.agg(F.max("probe").alias("probe"))
         led = cut(small_join(led, needed.select(F.col("node").alias("b"), *_folded()), "b"))
-        schema = "hub long, node long, n long, gone long, fresh long, is_new boolean, shingle long, before array<long>"
-        rows = on_texts(led.select("a", "b"), _differences(k, num, den), schema)
-        rows = cut(rows.join(led.withColumnsRenamed({"a": "hub", "b": "node"}), ["hub", "node"]))
-        release(spark)
+        schema = "hub long, node long, n long, gone long, fresh long, far boolean, is_new boolean, shingle long, before array<long>"
+        schema += ", component long, probe boolean, " + ", ".join(f"{f} long" for f in FOLDED)
+        rows = on_texts(led, _differences(k, num, den), schema)
         x, y = rows.alias("x"), rows.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("hub", "is_new", "shingle")]
         most = F.floor((F.col("x.n") + F.col("y.n")) * (den - num) / (den + num))
@@ -288,13 +299,14 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
             & ~F.arrays_overlap("x.before", "y.before")
             & (F.col("x.node") < F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.far") | F.col("y.far"))
             & (F.col("x.probe") | F.col("y.probe"))
             & F.when(F.col("x.is_new"), alike <= most).otherwise(apart <= most)
             & (bits <= most),
         )
         found = cut(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
         release(spark, rows)
-        return found.unionByName(led.select("a", "b")).unionByName(direct)
+        return found.unionByName(led.select("a", "b")).unionByName(met)
 
     linked = cut(link_components(members, verify, across))
     release(spark, members, needed, texts)
@@ -330,38 +342,49 @@ def _allocated(shared: DataFrame) -> DataFrame:
 
 
 def _differences(k: int, num: int, den: int):
-    """Rows ``hub, node, n, gone, fresh, is_new, shingle, before``: how a set differs from its hub's.
+    """Rows ``hub, node, n, gone, fresh, far, is_new, shingle, before``: how a set differs from its hub's; other columns follow.
 
-    Two sets that link differ in at most ``H`` shingles, so of the shingles that one lacks (or has
-    beyond its hub) the ``H + 1`` with the smallest fingerprints meet those of the other. ``before``
-    holds the ``EARLIER`` next smaller ones of the same set.
+    A set is ``far`` if it does not link with its hub. Fresh shingles come before gone ones, each by fingerprint.
+    Two sets that link differ in at most ``H`` shingles, so less than ``H + 1`` of a set's differences are not the
+    other's, and the first that both have is among the first ``H + 1`` of each. Beside a far partner, whose distance to the
+    hub exceeds that to the set, about half of a set's differences are the partner's too: a set that links with
+    its hub needs the first half only. ``before`` holds the ``EARLIER`` next smaller ones of the same set and kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(pieces(iter([whole]), "text_a"), "text_b"):
-                rows: list[list[np.ndarray]] = [[] for _ in range(9)]
+                rows: list[list[np.ndarray]] = [[] for _ in range(11)]
                 a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for x, y, s, t in zip(a, b, shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
+                for i, (x, y, s, t) in enumerate(zip(a, b, shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)):
                     if set_key(s) != x or set_key(t) != y:
                         continue
                     gone, fresh = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
-                    most = (len(t) + len(t) * den // num) * (den - num) // (den + num)
-                    for is_new, part in ((False, gone if len(fresh) <= most else gone[:0]), (True, fresh)):
-                        part = np.sort(mix(part).view(np.int64))[: most + 1]
-                        sizes = (x, y, len(t), len(gone), len(fresh), is_new)
+                    apart = len(gone) + len(fresh)
+                    far = apart * (den + num) > (len(s) + len(t)) * (den - num)
+                    first = (len(t) + len(t) * den // num) * (den - num) // (den + num) + 1
+                    if not far:
+                        first = min(first, apart - (apart * (den + num) + (len(s) - len(t)) * (den - num)) // (2 * (den + num)))
+                    for is_new, part, n in ((True, fresh, first), (False, gone, max(0, first - len(fresh)))):
+                        part = np.sort(mix(part).view(np.int64))[:n]
+                        sizes = (x, y, len(t), len(gone), len(fresh), far, is_new)
                         for column, value in zip(rows, sizes):
                             column.append(np.full(len(part), value))
-                        rows[6].append(part)
+                        rows[7].append(part)
                         at = np.arange(len(part))[:, None] - np.arange(1, EARLIER + 1)
-                        rows[7].append(part[at[at >= 0]])
-                        rows[8].append((at >= 0).sum(axis=1))
+                        rows[8].append(part[at[at >= 0]])
+                        rows[9].append((at >= 0).sum(axis=1))
+                        rows[10].append(np.full(len(part), i))
                 if rows[0]:
-                    kinds = [np.int64] * 5 + [bool, np.int64]
-                    columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(rows[:7], kinds, strict=True)]
-                    ends = np.cumsum(np.concatenate([[0], *rows[8]])).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows[7]))))
-                    yield pa.RecordBatch.from_arrays(columns, names=["hub", "node", "n", "gone", "fresh", "is_new", "shingle", "before"])
+                    kinds = [np.int64] * 5 + [bool, bool, np.int64]
+                    columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(rows[:8], kinds, strict=True)]
+                    ends = np.cumsum(np.concatenate([[0], *rows[9]])).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows[8]))))
+                    names = ["hub", "node", "n", "gone", "fresh", "far", "is_new", "shingle", "before"]
+                    others = batch.schema.names[4:]
+                    origin = pa.array(np.concatenate(rows[10]).astype(np.int64))
+                    columns += [batch.column(c).take(origin) for c in others]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *others])
 
     return run
 

@@ -30,8 +30,8 @@ def link_components(
     the keys that a node shares with nobody, so the middle of a group has the least. A pair is a
     candidate if one of the two probes and one is exact. ``verify`` takes ``(a, b)`` pairs and
     returns those that are linked. The second round asks ``across`` for the pairs to verify; it gets
-    the members of parted buckets with ``component``, the bucket's count of ``probers`` and one ``hub`` per bucket, a central node of its group;
-    all pairs between components are the default. Buckets are combined before each shuffle and otherwise only
+    the members of parted buckets with ``component``, whether they are a ``stranger`` to the bucket's largest component, the bucket's
+    counts of ``probers`` and ``strangers`` and one ``hub`` per bucket, a central node of its group; all pairs between components are the default. Buckets are combined before each shuffle and otherwise only
     joined, which adaptive execution may split; no bucket is gathered in a row.
     """
     rank = F.struct("probe", "exact", (-F.col("missing")).alias("shared"), "node")
@@ -50,6 +50,10 @@ def link_components(
     parted = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.col("probe").cast("int")).alias("probers"))
     now = cut(now.join(parted.where("x != y").select("key", "probers"), "key"))
     # buckets off the middle of a group take over the hub that their own most central node has elsewhere
+    sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    now = now.join(tops.select("key", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("strangers")), "key")
+    now = now.withColumn("stranger", F.col("component") != F.col("top")).drop("top")
     near_hubs = now.select(F.col("m.node").alias("node")).distinct()
     best = led.join(near_hubs, "node").groupBy("node").agg(F.max("m")["node"].alias("hub"))
     best = cut(best.withColumnRenamed("node", "near_hub"))
